@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -47,13 +48,46 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read again.
 
     This cuts the lineage, and lost executors only repeat the reading of it.
+    The shuffle files behind it go as soon as it is written.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffle_cleanup(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def shuffle_cleanup(spark: SparkSession) -> Iterator[None]:
+    """Spark deletes the shuffle files of the queries run inside once they end."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+class Units(dict):
+    """A bounded memo of ``compute`` by short strings: two generations of ``limit`` entries each."""
+
+    def __init__(self, compute: Callable, limit: int = 250_000, longest: int = 64):
+        self.compute, self.limit, self.longest, self.old = compute, limit, longest, {}
+
+    def __missing__(self, key):
+        if len(key) > self.longest:
+            return self.compute(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 def release(spark: SparkSession) -> None:
     """Delete all intermediate tables of this application; their readers must be done."""
     root = shared_root(spark)
