@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import sentence_pieces, simhash, token_files
+from colloquy.llm import quality_rules, sentence_pieces, simhash, token_files
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(_read(spark, sf_dir, "documents")).drop("n_lines", "n_failed")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
@@ -36,6 +40,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_quality_rules": op2_quality_rules,
     "op5_token_files": op5_token_files,
     "op10_simhash": op10_simhash}
-ORACLES: dict = {}
+ORACLES: dict = {"op2_quality_rules": quality_rules.ORACLE}
