@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import private_values, quality_rules, sentence_pieces, simhash, token_files
+from colloquy.llm import license_rules, private_values, quality_rules, sentence_pieces, simhash, token_files
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op7_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_rules.recognised(_read(spark, sf_dir, "documents"))
+
+
 def op9_private_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return private_values.pseudonymised(docs, spark.conf.get("colloquy.pseudonym.key", "change this key"))
@@ -47,6 +51,7 @@ QUERIES: dict = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality_rules": op2_quality_rules,
     "op5_token_files": op5_token_files,
+    "op7_license_rules": op7_license_rules,
     "op9_private_values": op9_private_values,
     "op10_simhash": op10_simhash}
-ORACLES: dict = {"op2_quality_rules": quality_rules.ORACLE}
+ORACLES: dict = {"op2_quality_rules": quality_rules.ORACLE, "op7_license_rules": license_rules.ORACLE}
