@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import license_rules, private_values, quality_rules, sentence_pieces, simhash, token_files
+from colloquy.llm import chat_format, license_rules, private_values, quality_rules, sentence_pieces, simhash, token_files
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(_read(spark, sf_dir, "documents")).drop("n_lines", "n_failed")
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat_format.adversarial(_read(spark, sf_dir, "conversations"))
+    return chat_format.digests(chat_format.formatted(turns))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
@@ -50,6 +55,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality_rules": op2_quality_rules,
+    "op4_chat_format": op4_chat_format,
     "op5_token_files": op5_token_files,
     "op7_license_rules": op7_license_rules,
     "op9_private_values": op9_private_values,
