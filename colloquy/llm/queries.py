@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import chat_format, license_rules, private_values, quality_rules, sentence_pieces, simhash, token_files
+from colloquy.llm import chat_format, decontamination, license_rules, private_values, quality_rules, sentence_pieces, simhash, token_files
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op7_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_rules.recognised(_read(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op9_private_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return private_values.pseudonymised(docs, spark.conf.get("colloquy.pseudonym.key", "change this key"))
@@ -58,6 +62,7 @@ QUERIES: dict = {
     "op4_chat_format": op4_chat_format,
     "op5_token_files": op5_token_files,
     "op7_license_rules": op7_license_rules,
+    "op8_decontamination": op8_decontamination,
     "op9_private_values": op9_private_values,
     "op10_simhash": op10_simhash}
 ORACLES: dict = {"op2_quality_rules": quality_rules.ORACLE, "op7_license_rules": license_rules.ORACLE}
