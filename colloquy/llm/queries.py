@@ -6,7 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import chat_format, decontamination, license_rules, private_values, quality_rules, sentence_pieces, simhash, token_files
+from colloquy.llm import (
+    chat_format,
+    decontamination,
+    language_id,
+    license_rules,
+    private_values,
+    quality_rules,
+    quality_votes,
+    sentence_pieces,
+    simhash,
+    token_files,
+)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,6 +40,14 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(_read(spark, sf_dir, "documents")).drop("n_lines", "n_failed")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    held_out = F.coalesce(quality_votes.remainder("doc_id", 3) == 1, F.lit(False))
+    model = language_id.fit(docs.where(~held_out))
+    done = language_id.predicted(docs, model)
+    return done.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat_format.adversarial(_read(spark, sf_dir, "conversations"))
     return chat_format.digests(chat_format.formatted(turns))
@@ -38,6 +57,19 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def quality_model(spark: SparkSession, sf_dir: str) -> quality_votes.Model:
+    """The model of op6 and of the pipeline's first stage."""
+    labels = _read(spark, sf_dir, "labels").where(quality_votes.remainder("doc_id", 4) != 2)
+    return quality_votes.fit(_read(spark, sf_dir, "documents"), labels, label="quality")
+
+
+def op6_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = quality_votes.scored(_read(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
+    held_out = F.coalesce(quality_votes.remainder("doc_id", 4) == 2, F.lit(False))
+    predicted = (F.col("score") >= quality_votes.THRESHOLD).cast("int")
+    return done.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
 def op7_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_rules.recognised(_read(spark, sf_dir, "documents"))
 
@@ -60,6 +92,8 @@ QUERIES: dict = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality_rules": op2_quality_rules,
     "op4_chat_format": op4_chat_format,
+    "op3_language_id": op3_language_id,
+    "op6_quality_votes": op6_quality_votes,
     "op5_token_files": op5_token_files,
     "op7_license_rules": op7_license_rules,
     "op8_decontamination": op8_decontamination,
