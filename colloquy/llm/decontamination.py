@@ -1,11 +1,12 @@
 """Benchmark items in documents: rare n-grams as seeds, local alignment as the score.
 
 Documents and items are sequences of words in lower case without the signs around
-them. Three items' words in a row that occur in a document are a hit. How many
-documents each of the items' n-grams occurs in is counted over all documents; the
-rare ones are seeds. Around the seeds of an item a Smith-Waterman alignment of the
-item with the document's words finds the best local match, so that a copy with
-words changed, left out or put in still scores high.
+them. Three words in a row that an item and a document share are a hit. One pass
+over the texts counts the documents that each of the items' n-grams occurs in, and
+keeps the words around an item's hits where enough of the item's words stand for
+a match. The n-grams that few documents have are seeds; around the seeds of an item
+a Smith-Waterman alignment with the document's words finds the best local match,
+so that a copy with words changed, left out or put in still scores high.
 
 Items are taken in blocks of bounded size, and each block's n-grams are broadcast.
 """
@@ -15,12 +16,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.shared import Units, small_batches
+from colloquy.llm.shared import Units, small_batches, written
 
 #: Words of an n-gram; items of a block; signs taken from words' ends.
 GRAM, BLOCK_ITEMS = 3, 5000
@@ -55,6 +55,10 @@ class Items:
         order = np.argsort(number, kind="stable")
         self.owner, self.place, self.number = owner[order], place[order], number[order]
         self.first = np.searchsorted(self.number, np.arange(self.grams.size + 1))
+        self.size = np.array([w.size for w in self.words], np.int64)
+        self.flat = np.concatenate(self.words) if self.words else np.empty(0, np.int64)
+        self.offset = np.cumsum(self.size) - self.size
+        self.need = np.maximum(THRESHOLD * MATCH * self.size, np.minimum(MATCH * self.size, MATCH * LEAST_WORDS))
         self.seed = np.ones(self.number.size, bool)
 
     def codes(self, words: np.ndarray) -> np.ndarray:
@@ -95,43 +99,41 @@ class Items:
         few = np.bincount(self.owner[rare], minlength=len(self.ids)) < SEEDS
         self.seed = rare | few[self.owner] if self.number.size else rare
 
-    def matches(self, words: np.ndarray) -> Iterator[tuple[int, float, int, int]]:
-        """Items that the document's words hold: id, score, first and last word's place."""
-        at, number = self.hits(words)
-        if not at.size:
-            return
+    def candidates(self, words: np.ndarray, at: np.ndarray, number: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """From a document's hits: item's number, first place, words around, and n-grams hit there.
+
+        An alignment scores at most :data:`MATCH` for each of the item's words that the
+        window has, so windows with too few are left out without loss.
+        """
         count = self.first[number + 1] - self.first[number]
-        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        row = np.repeat(self.first[number], count) + step
-        at, row = np.repeat(at, count)[self.seed[row]], row[self.seed[row]]
-        owners = self.owner[row]
-        for item in np.unique(owners):
-            own = self.words[item]
-            m = own.size
+        row = _runs(self.first[number], count)
+        at, grams = np.repeat(at, count), np.repeat(number, count)
+        owner = self.owner[row]
+        items = np.unique(owner)
+        present = np.zeros(self.base, bool)
+        present[words[words >= 0]] = True
+        inside = np.add.reduceat(present[self.flat[_runs(self.offset[items], self.size[items])]], np.cumsum(self.size[items]) - self.size[items], dtype=np.int64)
+        for item in items[MATCH * inside >= self.need[items]]:
+            own, m = owner == item, int(self.size[item])
             slack = m // 2 + 2
-            start = at[owners == item] - self.place[row[owners == item]]
-            lo, hi = np.maximum(start - slack, 0), np.minimum(start + m + slack, words.size)
-            order = np.argsort(lo)
-            best = (0.0, 0, 0)
-            need = max(THRESHOLD * MATCH * m, min(MATCH * m, MATCH * LEAST_WORDS))
-            a, b = lo[order[0]], hi[order[0]]
-            spans = []
-            for x, y in zip(lo[order[1:]], hi[order[1:]]):
-                if x <= b:
-                    b = max(b, y)
-                else:
-                    spans.append((a, b))
-                    a, b = x, y
-            spans.append((a, b))
-            for a, b in spans:
-                window = words[a:b]
-                # Every word that agrees is in the window: no alignment scores more.
-                if MATCH * np.isin(own, window).sum() >= need:
-                    score, first, last = align(own, window)
-                    if score > best[0]:
-                        best = (score, a + first, a + last)
-            if best[0] >= need:
-                yield self.ids[item], best[0] / (MATCH * m), int(best[1]), int(best[2])
+            start = at[own] - self.place[row[own]]
+            order = np.argsort(start, kind="stable")
+            lo, hi = np.maximum(start[order] - slack, 0), np.minimum(start[order] + m + slack, words.size)
+            cut = np.flatnonzero(np.r_[True, lo[1:] > np.maximum.accumulate(hi)[:-1], True])
+            for x, y in zip(cut, cut[1:]):
+                window = words[lo[x] : hi[x:y].max()]
+                if MATCH * np.isin(self.words[item], window).sum() >= self.need[item]:
+                    yield int(item), int(lo[x]), window, grams[own][order][x:y]
+
+    def seeded(self, item: int, grams: np.ndarray) -> bool:
+        """Whether one of the n-grams is a seed of the item."""
+        own = np.flatnonzero(self.owner == item)
+        return bool(np.isin(grams, self.number[own[self.seed[own]]]).any())
+
+
+def _runs(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers of all runs of ``count`` from ``first`` on."""
+    return np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
 
 
 def align(item: np.ndarray, window: np.ndarray) -> tuple[float, int, int]:
@@ -171,7 +173,9 @@ def contaminated(
     item_text: str = "text",
     block_items: int = BLOCK_ITEMS,
 ) -> DataFrame:
-    """``(doc_id, item_id, score, first_word, last_word)`` of every document and item that match.
+    """``(doc_id, item_id, score, first_word, last_word)`` of every match of a document and an item.
+
+    An item that stands in a document at several places gives several rows.
 
     ``score`` is the alignment's part of the item's score with itself, at least
     :data:`THRESHOLD`; at least five words must agree, or all of an item with fewer.
@@ -197,31 +201,51 @@ def contaminated(
             return found if found is not None else spark.createDataFrame([], OUTPUT)
 
 
+FOUND = "gram long, n long, doc_id long, item long, first long, words binary, grams binary"
+
+
 def _block(source: DataFrame, items: Items, total: int) -> DataFrame:
     spark = source.sparkSession
     plain = spark.sparkContext.broadcast(items)
+    names = [x.split()[0] for x in FOUND.split(", ")]
+    kinds = [pa.int64()] * 5 + [pa.binary()] * 2
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = plain.value
         read, n = items.reader(), np.zeros(items.grams.size, np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                n[np.unique(items.hits(read(text))[1])] += 1
+            out = []
+            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+                words = read(text)
+                at, number = items.hits(words)
+                if at.size:
+                    n[np.unique(number)] += 1
+                    for item, first, window, grams in items.candidates(words, at, number):
+                        out.append((None, None, doc_id, item, first, window.astype("<i4").tobytes(), grams.astype("<i4").tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=names)
         grams = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n[grams])], names=["gram", "n"])
+        empty = [pa.nulls(grams.size, k) for k in kinds[2:]]
+        yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n[grams]), *empty], names=names)
 
-    counts = source.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    found = written(source.mapInArrow(scan, FOUND), "hits")
+    counts = found.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n"))
     items.choose({r["gram"]: r["n"] for r in counts.collect()}, total)
     chosen = spark.sparkContext.broadcast(items)
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = chosen.value
-        read = items.reader()
         for batch in batches:
-            out = [(i, *m) for i, t in zip(*(c.to_pylist() for c in batch.columns)) for m in items.matches(read(t))]
+            out = []
+            for doc_id, item, first, words, grams in zip(*(c.to_pylist() for c in batch.columns)):
+                if items.seeded(item, np.frombuffer(grams, "<i4")):
+                    got, begin, end = align(items.words[item], np.frombuffer(words, "<i4"))
+                    if got >= items.need[item]:
+                        out.append((doc_id, items.ids[item], got / (MATCH * items.size[item]), first + begin, first + end))
             if out:
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
                 names = ["doc_id", "item_id", "score", "first_word", "last_word"]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=names)
 
-    return source.mapInArrow(search, OUTPUT)
+    windows = found.where("item is not null").select("doc_id", "item", "first", "words", "grams")
+    return windows.mapInArrow(score, OUTPUT)
