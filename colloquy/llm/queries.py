@@ -78,9 +78,14 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def pseudonym_key(spark: SparkSession) -> str:
+    """The session's key of pseudonyms; the default is for trials only."""
+    return spark.conf.get("colloquy.pseudonym.key", "change this key")
+
+
 def op9_private_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    return private_values.pseudonymised(docs, spark.conf.get("colloquy.pseudonym.key", "change this key"))
+    return private_values.pseudonymised(docs, pseudonym_key(spark))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
