@@ -42,7 +42,7 @@ def decimated(pcm: Column, rate: Column, to: int = RATE) -> Column:
     n = F.floor(F.size(pcm) * F.lit(float(to)) / rate).cast("int")
     every = rate / F.lit(float(to))
     cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(pcm, F.floor(i * every).cast("int")))
-    return F.when(rate == to, pcm).when(n > 0, cut).otherwise(F.array().cast("array<float>"))
+    return F.when(pcm.isNull() | (rate == to), pcm).when(n > 0, cut).otherwise(F.array().cast("array<float>"))
 
 
 def level(energy: Column, gate: float = FAR_GATE) -> Column:

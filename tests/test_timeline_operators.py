@@ -1,0 +1,238 @@
+"""Interval joins, runs, folds, clusters and signals on hand-made cases and against plain versions."""
+
+import math
+import random
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from colloquy import schemas
+from colloquy.functions import signal, vectors
+from colloquy.operators import cluster, intervals, ordered
+
+REGION = "session_id string, reg_ord bigint, start_s double, end_s double, speaker_id int"
+
+
+def frames(spark, times, pitch=None):
+    pitch = pitch or [100.0] * len(times)
+    return spark.createDataFrame([("s", float(t), float(p), 500.0, 0.1) for t, p in zip(times, pitch)], schemas.FRAMES)
+
+
+def test_nearest_region(spark):
+    regions = spark.createDataFrame([("s", 0, 0.0, 1.0, 7), ("s", 1, 2.0, 3.0, 8)], REGION)
+    points = spark.createDataFrame([("s", i, t) for i, t in enumerate((0.5, 1.5, 3.9, 4.2))], "session_id string, p bigint, t double")
+    for bucket in (60.0, 0.3):
+        intervals.BUCKET_S = bucket
+        got = intervals.nearest_region(points, regions, F.col("t"), "p").orderBy("p").collect()
+        assert [r.speaker_id for r in got] == [7, 7, 8, -1]
+    intervals.BUCKET_S = 60.0
+
+
+def test_overlaps_once(spark):
+    rng = random.Random(4)
+    make = lambda n: [("s", i, (a := rng.uniform(0, 300)), a + rng.choice([0.5, 20, 150])) for i in range(n)]
+    a, b = make(40), make(40)
+    left = spark.createDataFrame(a, "session_id string, i bigint, a0 double, a1 double")
+    right = spark.createDataFrame(b, "session_id string, j bigint, b0 double, b1 double")
+    got = intervals.overlaps(left, F.col("a0"), F.col("a1"), right, F.col("b0"), F.col("b1"), 7.0).collect()
+    want = {(i, j): min(x1, y1) - max(x0, y0) for _, i, x0, x1 in a for _, j, y0, y1 in b if min(x1, y1) > max(x0, y0)}
+    assert len(got) == len(want) and all(abs(want[r.i, r.j] - r.overlap_s) < 1e-9 for r in got)
+
+
+def test_runs_and_windows(spark):
+    spans = intervals.voiced_spans(frames(spark, [0, 0.75, 1.51])).orderBy("run").collect()
+    assert [(r.start_s, r.end_s, r.n_frames) for r in spans] == [(0.0, 0.75, 2), (1.51, 1.51, 1)]
+    times = [k / 4 for k in range(20)] + [7.0, 7.25]
+    got = intervals.hop_windows(frames(spark, times)).orderBy("win_ord").collect()
+    want = [(0, 2.4), (1.2, 3.6), (2.4, 4.8), (3.6, 5.0)]
+    assert np.allclose([(r.start_s, r.end_s) for r in got], want) and [r.win_ord for r in got] == [0, 1, 2, 3]
+    got = intervals.hop_windows(frames(spark, [0, 0.25] + [2 + k / 4 for k in range(8)])).orderBy("win_ord").collect()
+    assert np.allclose([(r.start_s, r.end_s) for r in got], [(0, 0.5), (2, 4)])
+    many = intervals.hop_windows(frames(spark, [k / 4 for k in range(8000)]))
+    assert 395 <= many.count() <= 400
+
+
+def test_segments(spark):
+    words = [("s", i, f"w{i}", i * 0.5, i * 0.5 + 0.4, 1) for i in range(121)] + [("s", 121, "x", 62.2, 62.3, 1), ("s", 122, "y", 62.4, 62.5, 2)]
+    got = intervals.word_segments(spark.createDataFrame(words, schemas.WORDS + ", speaker_id int")).orderBy("seg_ord").collect()
+    assert [len(r.text.split()) for r in got] == [120, 1, 1, 1] and [r.speaker_id for r in got] == [1, 1, 1, 2]
+    assert got[0].seg_id == "file-0" and got[0].start_s == 0 and got[0].end_s == 59.9
+    chunks = [("s", 0, " a ", 0.0, 1.0), ("s", 1, "b", 2.9, 3.0), ("s", 2, "c", 5.0, 6.0), ("s", 3, " ", 6.0, 7.0)]
+    regions = spark.createDataFrame([("s", 0, 0.0, 3.0, 4)], REGION)
+    chunks = spark.createDataFrame(chunks, "session_id string, chunk_ord bigint, text string, start_s double, end_s double")
+    got = intervals.chunk_segments(chunks, regions).orderBy("seg_ord").collect()
+    assert [(r.text, r.speaker_id) for r in got] == [("a b", 4), ("c", 4)]
+
+
+def plain_fold(labels, both):
+    out = list(labels)
+    for i in range(1, len(out) - 1):
+        if out[i] not in (out[i - 1], out[i + 1]) and (not both or out[i - 1] == out[i + 1]):
+            out[i] = out[i - 1]
+    return out
+
+
+def test_folds(spark):
+    rng = random.Random(1)
+    cases = [[0, 1, 2, 3], [0, 1, 2, 2], [0, 1, 0, 1, 0], [], [5]] + [[rng.randrange(3) for _ in range(rng.randrange(12))] for _ in range(60)]
+    rows = spark.createDataFrame([(c,) for c in cases], "l array<int>").select("l", ordered.absorbed(F.col("l")).alias("a"), ordered.smoothed(F.col("l")).alias("b"))
+    for r in rows.collect():
+        assert r.a == plain_fold(r.l, False) and r.b == plain_fold(r.l, True)
+    rows = spark.createDataFrame([("s", i, i % 2) for i in range(9)], "session_id string, k bigint, label int").repartition(4)
+    assert {r.label for r in ordered.by_session(rows, "k", "label", ordered.smoothed).collect()} == {0}
+
+
+def test_medians(spark):
+    rows = spark.createDataFrame([(g, float(v)) for g, vs in {"a": [100, 102, 204, 98], "b": [100, 200, 200, 210]}.items() for v in vs], "g string, v double")
+    got = {r.g: r.folded_median for r in vectors.octave_folded_median(rows, ["g"], "v").collect()}
+    assert got == {"a": 101.0, "b": 200.0}
+    upper = spark.range(1).select(vectors.upper_median(F.array(F.lit(4.0), F.lit(1.0), F.lit(3.0), F.lit(2.0))).alias("x"), vectors.upper_median(F.array().cast("array<double>")).alias("y")).first()
+    assert (upper.x, upper.y) == (3.0, 0.0)
+
+
+def plain_regions(rows):
+    """Runs split at jumps, as lists of frames."""
+    groups, out = [], []
+    for f in rows:
+        if not groups or f[0] - groups[-1][-1][0] > 0.75:
+            groups.append([])
+        groups[-1].append(f)
+    for g in groups:
+        cur, pend, run, plog = [], [], None, None
+        for f in g:
+            if f[1] <= 0:
+                (pend or cur).append(f)
+                continue
+            x = math.log(f[1])
+            if run is None:
+                run = x
+                cur.append(f)
+            elif abs(x - run) <= 0.45:
+                cur, pend, plog = [*cur, *pend, f], [], None
+                run += (x - run) * 0.3
+            elif plog is not None and abs(x - plog) < 0.2:
+                out.append(cur)
+                cur, run, pend, plog = [*pend, f], (plog + x) / 2, [], None
+            else:
+                cur, pend, plog = [*cur, *pend], [f], x
+        out.append(cur + pend)
+    return out
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([0.0, 100.0, 110.0, 200.0, 210.0, 330.0]), min_size=1, max_size=25))
+def test_jump_runs(pitch):
+    rows = [(k / 4, p) for k, p in enumerate(pitch)]
+    runs = cluster.jump_runs(np.array(pitch))
+    assert [len(x) for x in plain_regions(rows)] == np.bincount(runs).tolist()
+
+
+def plain_labels(vectors_, most=8):
+    """Agglomeration with plain lists, renewed in full each time."""
+    unit = lambda v: [x / (math.sqrt(sum(y * y for y in v)) or 1) for x in v]
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    x = [unit(v) for v in vectors_]
+    limit = cluster.threshold(np.array([dot(x[i], x[j]) for i in range(len(x)) for j in range(i + 1, len(x))]))
+    if limit is None:
+        return [0] * len(x)
+    groups = [([i], v) for i, v in enumerate(x)]
+
+    def shrink(least, until):
+        while len(groups) > until:
+            pairs = [(dot(groups[a][1], groups[b][1]), a, b) for a in range(len(groups)) for b in range(a + 1, len(groups))]
+            sim, a, b = max(pairs)
+            if sim < least:
+                return
+            (ia, ca), (ib, cb) = groups[a], groups[b]
+            n = len(ia) + len(ib)
+            groups[a] = (ia + ib, unit([(p * len(ia) + q * len(ib)) / n for p, q in zip(ca, cb)]))
+            groups.pop(b)
+
+    shrink(limit, 1)
+    for k in reversed(range(len(groups))):
+        if len(groups) > 1 and len(groups[k][0]) < 3:
+            to = max((o for o in range(len(groups)) if o != k), key=lambda o: (dot(groups[k][1], groups[o][1]), -o))
+            groups[to] = (groups[to][0] + groups[k][0], groups[to][1])
+            groups.pop(k)
+    shrink(-1, most)
+    groups.sort(key=lambda g: min(g[0]))
+    means = [unit([sum(x[i][d] for i in g) / len(g) for d in range(len(x[0]))]) for g, _ in groups]
+    return [max(range(len(means)), key=lambda c: (dot(v, means[c]), -c)) for v in x]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_adaptive_labels(seed):
+    rng = np.random.default_rng(seed)
+    centers = rng.normal(size=(1 + seed % 5, 6))
+    rows = [(centers[rng.integers(len(centers))] + rng.normal(scale=0.3, size=6)).tolist() for _ in range(25)]
+    assert cluster.adaptive_labels(rows).tolist() == plain_labels(rows)
+    assert cluster.adaptive_labels([None, *rows, []]).tolist() == [-1, *plain_labels(rows), -1]
+
+
+def test_labels_edges(spark):
+    assert cluster.adaptive_labels([[1.0, 0.0]] * 4).tolist() == [0, 0, 0, 0]
+    assert cluster.adaptive_labels([[1.0, 0.0], None]).tolist() == [0, -1]
+    assert cluster.adaptive_labels([]).tolist() == [] and cluster.fixed_labels([None]).tolist() == [-1]
+    assert cluster.fixed_labels([[0.0, 1.0], [1.0, 0.0], [0.0, 1.0]]).tolist() == [0, 1, 0]
+    rows = spark.createDataFrame([("s", i, [float(i % 2), 1.0 - i % 2]) for i in range(12)], "session_id string, win_ord bigint, vector array<double>").repartition(5)
+    assert [r.label for r in cluster.cluster_vectors(rows).orderBy("win_ord").collect()] == [0, 1] * 6
+
+
+def test_voices():
+    v = cluster.Voices()
+    low, high = np.array([100.0, 104, 98]), np.array([210.0, 220, 215])
+    timbre = np.array([500.0, 510, 490])
+    assert v.classify(low, timbre)[0] == 0 and v.classify(high, timbre)[0] == 1
+    assert v.classify(low * 1.05, timbre)[0] == 0 and v.classify(low[:2], timbre[:2]) is None
+    again = cluster.Voices(v.state())
+    for _ in range(12):  # the voices drift towards each other and merge
+        again.classify(high * 0.74, timbre)
+        again.classify(low * 1.35, timbre)
+    assert again.alias and len({again.resolve(0), again.resolve(1)}) == 1
+
+
+def test_regions_are_stable(spark):
+    rng = random.Random(2)
+    times = sorted(rng.uniform(0, 200) for _ in range(300))
+    pitch = [rng.choice([0.0, 100, 105, 210, 220]) for _ in times]
+    one = cluster.voiced_regions(frames(spark, times, pitch)).orderBy("reg_ord").collect()
+    two = cluster.voiced_regions(frames(spark, times, pitch).repartition(7).orderBy(F.desc("time_s"))).orderBy("reg_ord").collect()
+    assert one == two and len(one) == len(plain_regions(list(zip(times, pitch))))
+
+
+def slow_pitch(x, rate):
+    power = sum(v * v for v in x)
+    corr = {lag: sum(a * b for a, b in zip(x, x[lag:])) / power for lag in range(rate // 400, rate // 60 + 1)}
+    lag = max(corr, key=lambda k: (corr[k], -k))
+    bend = corr.get(lag - 1, 0) - 2 * corr[lag] + corr.get(lag + 1, 0)
+    return rate / (lag + max(-1, min(1, 0.5 * (corr[lag - 1] - corr[lag + 1]) / bend)))
+
+
+@pytest.mark.parametrize("hz", [90.0, 151.3, 333.0])
+def test_pitch(hz):
+    x = (0.3 * np.sin(2 * np.pi * hz * np.arange(1024) / 8000)).astype(np.float32)
+    pitch, centroid, energy = signal.analyze(x, 8000)
+    assert abs(pitch - slow_pitch(x.tolist(), 8000)) < 0.01 and abs(pitch - hz) < 3
+    assert abs(energy - 0.3 / math.sqrt(2)) < 0.01 and 90 < centroid < 600
+    assert signal.analyze(x * 0.001, 8000) is None
+
+
+def test_signal_expressions(spark):
+    pcm = F.array(*(F.lit(x).cast("float") for x in (0.1, -0.2, 0.05, 0.1)))
+    row = spark.range(1).select(
+        signal.leveled(pcm).alias("l"), signal.decimated(pcm, F.lit(32000)).alias("d"), signal.is_silent(pcm).alias("s"), signal.level(F.lit(0.3)).alias("m"),
+        signal.adapted_gains(F.array(F.lit(0.02), F.lit(0.0), F.lit(0.9))).alias("g"),
+    ).first()
+    assert np.allclose(row.l, [0.45, -0.9, 0.225, 0.45]) and np.allclose(row.d, [0.1, 0.05]) and not row.s and row.m == 1.0
+    assert np.allclose(row.g, [1.15, 1.15, 1.0])
+
+
+def test_frames(spark):
+    x = (0.3 * np.sin(2 * np.pi * 150 * np.arange(16000) / 16000)).astype(np.float32)
+    x[8000:] = 0
+    audio = spark.createDataFrame([("s", 16000, x.tolist())], "session_id string, sample_rate int, pcm array<float>")
+    got = signal.frames(audio).orderBy("time_s").collect()
+    assert [r.time_s for r in got] == [0.0, 0.25] and all(abs(r.pitch_hz - 150) < 2 for r in got[:1])
