@@ -54,7 +54,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(spark, name)
     with shuffle_cleanup(spark):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.shared_path = path
+    return table
 
 
 @contextlib.contextmanager
@@ -72,7 +74,7 @@ def shuffle_cleanup(spark: SparkSession) -> Iterator[None]:
 class Units(dict):
     """A bounded memo of ``compute`` by short strings: two generations of ``limit`` entries each."""
 
-    def __init__(self, compute: Callable, limit: int = 250_000, longest: int = 64):
+    def __init__(self, compute: Callable, limit: int = 250_000, longest: int = 32):
         self.compute, self.limit, self.longest, self.old = compute, limit, longest, {}
 
     def __missing__(self, key):
@@ -88,11 +90,18 @@ class Units(dict):
         return value
 
 
+def dropped(table: DataFrame) -> None:
+    """Delete a table of :func:`written`; all its readers must be done."""
+    _delete(table.sparkSession, table.shared_path)
+
+
 def release(spark: SparkSession) -> None:
     """Delete all intermediate tables of this application; their readers must be done."""
-    root = shared_root(spark)
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
+    _delete(spark, shared_root(spark))
+
+
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
