@@ -11,6 +11,8 @@ holds the piece it ends and the state behind it.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -176,9 +178,11 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     for r in counts:
         part = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, SAMPLE_DOCS / r["count"]))).otherwise(part)
     place = (F.xxhash64("doc_id") / F.lit(float(1 << 64))) + 0.5
-    rows = source.where(place < part).select("lang", "doc_id", F.substring("text", 1, 4 * chars).alias("text")).collect()
+    # A row of an id and language stands for all of them, so repeated rows don't swell the sample;
+    # no more than ``chars`` of one text can be used.
+    rows = source.where(place < part).groupBy("lang", "doc_id").agg(F.left(F.min("text"), F.lit(chars)).alias("text")).collect()
     samples: dict[str, str] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], hash_order(r["doc_id"]), r["text"])):
+    for r in sorted(rows, key=lambda r: (r["lang"], hash_order(r["doc_id"]), r["doc_id"])):
         held = samples.get(r["lang"], "")
         if len(held) < chars:
             samples[r["lang"]] = (held + "\n" + r["text"])[:chars]
@@ -187,8 +191,6 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 
 def hash_order(doc_id) -> int:
     """An order of ids that has nothing to do with their size."""
-    import zlib
-
     return zlib.crc32(f"sample {doc_id}".encode())
 
 
