@@ -101,12 +101,14 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         known = known.where(hashed < int(-(1 << 63) + (1 << 64) * min(1.0, 1.5 * limit / total)))
     chosen = known.orderBy(hashed, "doc_id", "label").limit(limit)
     source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    sample = source.join(F.broadcast(chosen), "doc_id")  # at most ``limit`` rows
+    # At most ``limit`` rows, broadcast; of an id's documents the least text stands for all.
+    own = source.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    sample = own.join(F.broadcast(chosen), "doc_id")
     vector = T.StructType([T.StructField("vector", T.BinaryType())])
     rows = arrow_map(sample, ["text"], vector, lambda: lambda texts: [[features(t).tobytes() for t in texts]], ("doc_id", "label")).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["label"], bytes(r["vector"])))
-    matrix = np.array([np.frombuffer(r["vector"], np.float32) for r in rows[: 2 * limit]], np.float32).reshape(-1, WIDTH)
-    return Model(matrix, np.array([r["label"] for r in rows[: 2 * limit]]))
+    rows.sort(key=lambda r: (r["doc_id"], r["label"]))
+    matrix = np.array([np.frombuffer(r["vector"], np.float32) for r in rows], np.float32).reshape(-1, WIDTH)
+    return Model(matrix, np.array([r["label"] for r in rows]))
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
