@@ -213,8 +213,13 @@ def firsts(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str
     """The rows of ``docs`` that stay: one of each component of :func:`near_duplicates`."""
     from pyspark.sql import Window
 
-    least = found.where("first").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    key = F.xxhash64(f"`{text}`")
-    kept = docs.join(least, F.col(f"`{doc_id}`").eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left_semi")
-    by = Window.partitionBy(F.col(f"`{doc_id}`"), key).orderBy(*(F.col(f"`{c}`") for c in docs.columns if c != text))
+    # One hash partitioning by these three serves the join and the window.
+    row = ["_id", "_no_id", "_key"]
+    least = found.where("first").select(
+        F.coalesce("doc_id", F.lit(0)).alias("_id"), F.isnull("doc_id").alias("_no_id"), F.col("text_key").alias("_key")
+    )
+    own = F.col(f"`{doc_id}`")
+    keyed = docs.withColumns({"_id": F.coalesce(own, F.lit(0)), "_no_id": F.isnull(own), "_key": F.xxhash64(f"`{text}`")})
+    kept = keyed.join(least.distinct(), row, "left_semi")
+    by = Window.partitionBy(*row).orderBy(*(F.col(f"`{c}`") for c in docs.columns if c != text))
     return kept.withColumn("_nth", F.row_number().over(by)).where("_nth = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
