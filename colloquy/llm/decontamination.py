@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.shared import Units, small_batches, written
+from colloquy.llm.shared import Units, forget, small_batches, written
 
 #: Words of an n-gram; items of a block; signs taken from words' ends.
 GRAM, BLOCK_ITEMS = 3, 5000
@@ -211,6 +211,7 @@ def _block(source: DataFrame, items: Items, total: int) -> DataFrame:
     kinds = [pa.int64()] * 5 + [pa.binary()] * 2
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         items = plain.value
         read, n = items.reader(), np.zeros(items.grams.size, np.int64)
         for batch in batches:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colloquy.llm.shared import arrow_map
+from colloquy.llm.shared import arrow_map, forget
 
 #: Feature columns, of them steps; latent directions; labelled texts at most; voters;
 #: the power of similarity by which they weigh; the score from which quality is predicted.
@@ -116,6 +116,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, .
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
+        forget()
         model = shared.value
 
         def batch(texts):

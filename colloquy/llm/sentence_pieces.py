@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2
 
-from colloquy.llm.shared import Units, arrow_map
+from colloquy.llm.shared import Units, arrow_map, kept
 
 SPACE = "▁"
 _MARK = SPACE.encode()
@@ -167,15 +167,9 @@ class Encoder:
         return begin[stop - size], end[stop - 1]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(model: bytes) -> Encoder:
     """The process's encoder for a model; Python workers keep it from task to task."""
-    key = hashlib.sha256(model).hexdigest()
-    if key not in _encoders:
-        _encoders[key] = Encoder(model)
-    return _encoders[key]
+    return kept(hashlib.sha256(model).hexdigest(), lambda: Encoder(model))
 
 
 def _lists(flat: list[np.ndarray]) -> pa.Array:

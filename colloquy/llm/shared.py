@@ -74,7 +74,7 @@ def shuffle_cleanup(spark: SparkSession) -> Iterator[None]:
 class Units(dict):
     """A bounded memo of ``compute`` by short strings: two generations of ``limit`` entries each."""
 
-    def __init__(self, compute: Callable, limit: int = 250_000, longest: int = 32):
+    def __init__(self, compute: Callable, limit: int = 100_000, longest: int = 32):
         self.compute, self.limit, self.longest, self.old = compute, limit, longest, {}
 
     def __missing__(self, key):
@@ -105,6 +105,22 @@ def _delete(spark: SparkSession, where: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_kept: dict[str, object] = {}
+
+
+def kept(key: str, build: Callable) -> object:
+    """What a Python worker keeps from task to task: one object, which gives way to another key's."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = build()
+    return _kept[key]
+
+
+def forget() -> None:
+    """Free what is kept; operators that keep nothing call it, as workers serve all of them in turn."""
+    _kept.clear()
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches to :data:`BATCH_ROWS` rows, so that long texts fit in memory."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colloquy.llm.components import components
-from colloquy.llm.shared import arrow_map, written
+from colloquy.llm.shared import arrow_map, forget, written
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -56,6 +56,7 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     """``keep`` columns and ``fp``, the fingerprint's 64 bits as a signed long."""
 
     def make():
+        forget()
         return lambda texts: [np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)]
 
     return arrow_map(docs, [text], T.StructType([T.StructField("fp", T.LongType())]), make, keep)
