@@ -87,7 +87,7 @@ def repeated_words(t: Column) -> Column:
     """
     low = F.lower(t)
     tokens = F.regexp_extract_all(low, F.lit(rf"{X.EDGE}[a-z']{{{REPEATED_LETTERS},}}{X.EDGE}"), F.lit(0))
-    ordered = F.array_sort(F.transform(tokens, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    ordered = F.sort_array(F.transform(tokens, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
     nothing = F.array().cast("array<struct<w: string, i: int, n: int>>")
 
     def fold(s: Column, e: Column) -> Column:
@@ -100,7 +100,7 @@ def repeated_words(t: Column) -> Column:
     start = F.struct(F.lit(None).cast("string").alias("w"), F.lit(0).alias("i"), F.lit(0).alias("n"), nothing.alias("out"))
     end = F.array(F.struct(F.lit(None).cast("string").alias("w"), F.lit(0).alias("i")))
     runs = F.aggregate(F.concat(ordered, end), start, fold, lambda s: s["out"])
-    by_place = F.array_sort(F.transform(runs, lambda r: F.struct(r["i"].alias("i"), r["w"].alias("w"), r["n"].alias("n"))))
+    by_place = F.sort_array(F.transform(runs, lambda r: F.struct(r["i"].alias("i"), r["w"].alias("w"), r["n"].alias("n"))))
 
     def item(r: Column, k: Column) -> Column:
         at = F.call_function("locate", r["w"], low) - 1
