@@ -1,12 +1,11 @@
-"""Benchmark items in documents: rare n-grams as seeds, local alignment as the score.
+"""Benchmark items in documents: shared n-grams as seeds, local alignment as the score.
 
 Documents and items are sequences of words in lower case without the signs around
-them. Three words in a row that an item and a document share are a hit. One pass
-over the texts counts the documents that each of the items' n-grams occurs in, and
-keeps the words around an item's hits where enough of the item's words stand for
-a match. The n-grams that few documents have are seeds; around the seeds of an item
-a Smith-Waterman alignment with the document's words finds the best local match,
-so that a copy with words changed, left out or put in still scores high.
+them. Three words in a row that an item and a document share are a hit. In one pass over
+the texts, the words around an item's hits are looked at where enough of the item's
+words stand for a match; there a Smith-Waterman alignment finds the best local match,
+so that a copy with words changed, left out or put in still scores high. Every hit
+counts, however many documents have its n-gram: a passage copied widely is a match too.
 
 Items are taken in blocks of bounded size, and each block's n-grams are broadcast.
 """
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.shared import Units, forget, small_batches, written
+from colloquy.llm.shared import Units, forget, small_batches
 
 #: Words of an n-gram; items of a block; signs taken from words' ends.
 GRAM, BLOCK_ITEMS = 3, 5000
@@ -29,9 +28,6 @@ SIGNS = ".,;:!?\"'()[]{}<>*#$%&|-_/\\…“”«»¿¡"
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
 #: A match scores this part of the item's own score at least, and this many words.
 THRESHOLD, LEAST_WORDS = 0.5, 5
-#: An n-gram is rare if at most this part of all documents, or this many, has it. An
-#: item with fewer rare n-grams than SEEDS takes all of its n-grams as seeds.
-RARE_PART, RARE_DOCS, SEEDS = 0.0005, 5, 8
 
 
 class Items:
@@ -59,7 +55,6 @@ class Items:
         self.flat = np.concatenate(self.words) if self.words else np.empty(0, np.int64)
         self.offset = np.cumsum(self.size) - self.size
         self.need = np.maximum(THRESHOLD * MATCH * self.size, np.minimum(MATCH * self.size, MATCH * LEAST_WORDS))
-        self.seed = np.ones(self.number.size, bool)
 
     def codes(self, words: np.ndarray) -> np.ndarray:
         """The numbers of n-grams of known words (-1: a word is unknown)."""
@@ -92,22 +87,15 @@ class Items:
         same = self.grams[number] == codes[at]
         return at[same], number[same]
 
-    def choose(self, documents: dict[int, int], total: int) -> None:
-        """Mark each item's seeds by the n-grams' document counts."""
-        counts = np.array([documents.get(k, 0) for k in range(self.grams.size)])
-        rare = (counts <= max(RARE_DOCS, RARE_PART * total))[self.number] if self.number.size else self.seed
-        few = np.bincount(self.owner[rare], minlength=len(self.ids)) < SEEDS
-        self.seed = rare | few[self.owner] if self.number.size else rare
-
-    def candidates(self, words: np.ndarray, at: np.ndarray, number: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """From a document's hits: item's number, first place, words around, and n-grams hit there.
+    def candidates(self, words: np.ndarray, at: np.ndarray, number: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """From a document's hits: item's number, first place and words around.
 
         An alignment scores at most :data:`MATCH` for each of the item's words that the
         window has, so windows with too few are left out without loss.
         """
         count = self.first[number + 1] - self.first[number]
         row = _runs(self.first[number], count)
-        at, grams = np.repeat(at, count), np.repeat(number, count)
+        at = np.repeat(at, count)
         owner = self.owner[row]
         items = np.unique(owner)
         present = np.zeros(self.base, bool)
@@ -123,12 +111,7 @@ class Items:
             for x, y in zip(cut, cut[1:]):
                 window = words[lo[x] : hi[x:y].max()]
                 if MATCH * np.isin(self.words[item], window).sum() >= self.need[item]:
-                    yield int(item), int(lo[x]), window, grams[own][order][x:y]
-
-    def seeded(self, item: int, grams: np.ndarray) -> bool:
-        """Whether one of the n-grams is a seed of the item."""
-        own = np.flatnonzero(self.owner == item)
-        return bool(np.isin(grams, self.number[own[self.seed[own]]]).any())
+                    yield int(item), int(lo[x]), window
 
 
 def _runs(first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -188,65 +171,37 @@ def contaminated(
     rows = benchmark.where(F.col(f"`{item_text}`").isNotNull()).select(F.col(f"`{item_id}`"), F.col(f"`{item_text}`")).distinct()
     found, block = None, []
     listed = rows.orderBy(F.col(f"`{item_id}`"), F.col(f"`{item_text}`")).toLocalIterator()
-    total = None
     while True:
         row = next(listed, None)
         if row is not None:
             block.append((row[0], row[1]))
         if block and (row is None or len(block) == block_items):
-            total = docs.count() if total is None else total
-            one = _block(source, Items(block), total)
+            one = _block(source, Items(block))
             found, block = one if found is None else found.unionByName(one), []
         if row is None:
             return found if found is not None else spark.createDataFrame([], OUTPUT)
 
 
-FOUND = "gram long, n long, doc_id long, item long, first long, words binary, grams binary"
-
-
-def _block(source: DataFrame, items: Items, total: int) -> DataFrame:
-    spark = source.sparkSession
-    plain = spark.sparkContext.broadcast(items)
-    names = [x.split()[0] for x in FOUND.split(", ")]
-    kinds = [pa.int64()] * 5 + [pa.binary()] * 2
+def _block(source: DataFrame, items: Items) -> DataFrame:
+    plain = source.sparkSession.sparkContext.broadcast(items)
+    names = [x.split()[0] for x in OUTPUT.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         items = plain.value
-        read, n = items.reader(), np.zeros(items.grams.size, np.int64)
+        read = items.reader()
         for batch in batches:
             out = []
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
                 words = read(text)
                 at, number = items.hits(words)
                 if at.size:
-                    n[np.unique(number)] += 1
-                    for item, first, window, grams in items.candidates(words, at, number):
-                        out.append((None, None, doc_id, item, first, window.astype("<i4").tobytes(), grams.astype("<i4").tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=names)
-        grams = np.flatnonzero(n)
-        empty = [pa.nulls(grams.size, k) for k in kinds[2:]]
-        yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n[grams]), *empty], names=names)
-
-    found = written(source.mapInArrow(scan, FOUND), "hits")
-    counts = found.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n"))
-    items.choose({r["gram"]: r["n"] for r in counts.collect()}, total)
-    chosen = spark.sparkContext.broadcast(items)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = chosen.value
-        for batch in batches:
-            out = []
-            for doc_id, item, first, words, grams in zip(*(c.to_pylist() for c in batch.columns)):
-                if items.seeded(item, np.frombuffer(grams, "<i4")):
-                    got, begin, end = align(items.words[item], np.frombuffer(words, "<i4"))
-                    if got >= items.need[item]:
-                        out.append((doc_id, items.ids[item], got / (MATCH * items.size[item]), first + begin, first + end))
+                    for item, first, window in items.candidates(words, at, number):
+                        got, begin, end = align(items.words[item], window)
+                        if got >= items.need[item]:
+                            out.append((doc_id, items.ids[item], got / (MATCH * items.size[item]), first + begin, first + end))
             if out:
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
-                names = ["doc_id", "item_id", "score", "first_word", "last_word"]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=names)
 
-    windows = found.where("item is not null").select("doc_id", "item", "first", "words", "grams")
-    return windows.mapInArrow(score, OUTPUT)
+    return source.mapInArrow(scan, OUTPUT)

@@ -56,6 +56,16 @@ def test_common_passage(spark):
     assert D.contaminated(docs, spark.createDataFrame([(1, ITEM)], "item_id long, text string")).count() == 60
 
 
+def test_common_edited_passage(spark):
+    """Copies with changed words, or of a part of the item, are found however many documents hold them."""
+    changed = ITEM.replace("fox", "cat").replace("seven", "nine").replace("strong", "weak")
+    part = " ".join(ITEM.split()[:11])
+    items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    for copy in (changed, part):
+        docs = spark.createDataFrame([(i, f"d{i} {copy} {FILL}") for i in range(60)], "doc_id long, text string")
+        assert D.contaminated(docs, items).count() == 60
+
+
 def test_all_pairs(spark):
     """Every pair whose whole alignment reaches the threshold is found on the small tables."""
     name = "/root/testdata/sf0.001"
