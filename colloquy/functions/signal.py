@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -62,6 +63,13 @@ def adapted_gains(energies: Column) -> Column:
     return F.aggregate(energies, start, step, lambda s: s["out"])
 
 
+@lru_cache(8)
+def _bands(rate: float, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Centres of the bands and their unit turns over a frame; the same for all frames of a rate and size."""
+    hz = BAND_LOW * (BAND_HIGH / BAND_LOW) ** (np.arange(BANDS) / (BANDS - 1))
+    return hz, np.exp(-2j * np.pi * np.outer(hz / rate, np.arange(size)))
+
+
 def analyze(frame: np.ndarray, rate: float, gate: float = GATE) -> tuple[float, float, float] | None:
     """Pitch (0: unvoiced), spectral centre and energy of one frame; None below the energy gate."""
     x = np.asarray(frame, float)
@@ -84,8 +92,7 @@ def analyze(frame: np.ndarray, rate: float, gate: float = GATE) -> tuple[float,
             if abs(bend) >= 1e-9:
                 place += float(np.clip((left - right) / (2 * bend), -1, 1))
         pitch = rate / place if lag > 0 else 0.0
-    hz = BAND_LOW * (BAND_HIGH / BAND_LOW) ** (np.arange(BANDS) / (BANDS - 1))
-    turns = np.exp(-2j * np.pi * np.outer(hz / rate, np.arange(x.size)))
+    hz, turns = _bands(rate, x.size)
     bands = np.abs(turns @ x) ** 2
     return pitch, float(bands @ hz / bands.sum()) if bands.sum() > 0 else 0.0, energy
 

@@ -598,8 +598,9 @@ def signal_levels(spark, sf_dir):
 
 @query()
 def audio_frames(spark, sf_dir):
-    """Frames of tones whose pitch comes from events."""
-    tones = D.table(spark, sf_dir, "events").where("event_id % 100 = 0").select(F.col("event_id").cast("string").alias("session_id"), "value")
+    """Frames of every event's tone, whose pitch comes from its value; events are dealt out before they become samples."""
+    tones = D.table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("session_id"), "value")
+    tones = tones.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "session_id")
     hz = 80 + F.pmod("value", F.lit(300.0))
     pcm = F.transform(F.sequence(F.lit(0), F.lit(7999)), lambda i: (0.4 * F.sin(i * hz * 6.283185307179586 / 16000)).cast("float"))
     audio = tones.select("session_id", F.lit(signal.RATE).alias("sample_rate"), pcm.alias("pcm"))

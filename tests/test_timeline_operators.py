@@ -236,3 +236,12 @@ def test_frames(spark):
     audio = spark.createDataFrame([("s", 16000, x.tolist())], "session_id string, sample_rate int, pcm array<float>")
     got = signal.frames(audio).orderBy("time_s").collect()
     assert [r.time_s for r in got] == [0.0, 0.25] and all(abs(r.pitch_hz - 150) < 2 for r in got[:1])
+
+
+def test_audio_frames_of_every_event(spark):
+    from colloquy.plans.catalogue import QUERIES
+
+    name = "/root/testdata/sf0.001"
+    want = {str(r.event_id) for r in spark.read.parquet(f"{name}/events.parquet").where("value IS NOT NULL").collect()}
+    got = QUERIES["audio_frames"](spark, name).collect()
+    assert {r.session_id for r in got} == want and len(got) == 2 * len(want)
