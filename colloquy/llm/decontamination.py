@@ -155,6 +155,7 @@ def contaminated(
     item_id: str = "item_id",
     item_text: str = "text",
     block_items: int = BLOCK_ITEMS,
+    text_key: bool = False,
 ) -> DataFrame:
     """``(doc_id, item_id, score, first_word, last_word)`` of every match of a document and an item.
 
@@ -163,11 +164,16 @@ def contaminated(
     ``score`` is the alignment's part of the item's score with itself, at least
     :data:`THRESHOLD`; at least five words must agree, or all of an item with fewer.
     Items under three words are not looked for. Null and empty texts match
-    nothing. Rows that are repeated give repeated results.
+    nothing. Rows that are repeated give repeated results. With ``text_key`` there is
+    a last column of that name, xxhash64 of the document's text, which tells texts
+    with the same id, or none, apart.
     """
     spark = docs.sparkSession
     small_batches(spark)
     source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    output = OUTPUT
+    if text_key:
+        source, output = source.withColumn("text_key", F.xxhash64("text")), f"{OUTPUT}, text_key long"
     rows = benchmark.where(F.col(f"`{item_text}`").isNotNull()).select(F.col(f"`{item_id}`"), F.col(f"`{item_text}`")).distinct()
     found, block = None, []
     listed = rows.orderBy(F.col(f"`{item_id}`"), F.col(f"`{item_text}`")).toLocalIterator()
@@ -176,16 +182,16 @@ def contaminated(
         if row is not None:
             block.append((row[0], row[1]))
         if block and (row is None or len(block) == block_items):
-            one = _block(source, Items(block))
+            one = _block(source, Items(block), output)
             found, block = one if found is None else found.unionByName(one), []
         if row is None:
-            return found if found is not None else spark.createDataFrame([], OUTPUT)
+            return found if found is not None else spark.createDataFrame([], output)
 
 
-def _block(source: DataFrame, items: Items) -> DataFrame:
+def _block(source: DataFrame, items: Items, output: str) -> DataFrame:
     plain = source.sparkSession.sparkContext.broadcast(items)
-    names = [x.split()[0] for x in OUTPUT.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+    names = [x.split()[0] for x in output.split(", ")]
+    kinds = [pa.float64() if x == "score" else pa.int64() for x in names]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -193,15 +199,15 @@ def _block(source: DataFrame, items: Items) -> DataFrame:
         read = items.reader()
         for batch in batches:
             out = []
-            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc_id, text, *key in zip(*(c.to_pylist() for c in batch.columns)):
                 words = read(text)
                 at, number = items.hits(words)
                 if at.size:
                     for item, first, window in items.candidates(words, at, number):
                         got, begin, end = align(items.words[item], window)
                         if got >= items.need[item]:
-                            out.append((doc_id, items.ids[item], got / (MATCH * items.size[item]), first + begin, first + end))
+                            out.append((doc_id, items.ids[item], got / (MATCH * items.size[item]), first + begin, first + end, *key))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=names)
 
-    return source.mapInArrow(scan, OUTPUT)
+    return source.mapInArrow(scan, output)

@@ -60,3 +60,12 @@ def test_hostile(spark, tmp_path):
             if name == "near_duplicates" and rows_out:
                 assert len(rows_out) == 3
 
+
+
+def test_decontaminated_rows(spark, tmp_path):
+    """One contaminated text takes no other text of its id, or of no id, with it."""
+    item = "the quick brown fox jumps over a lazy dog while seven wizards quietly brew strong tea"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"so {item}"), (None, "clean without an id"), (None, None), (7, item), (7, item), (7, "clean with an id"), (8, "clean too")]
+    got = corpus_pipeline.decontaminated(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect()
+    assert {tuple(r) for r in got} == {(None, "clean without an id"), (None, None), (7, "clean with an id"), (8, "clean too")} and len(got) == 4
