@@ -104,38 +104,56 @@ assert all(any(any(c in p for c in CUES) for s in rule for p in _parts(s)) for _
 CUE = "(?i)" + "|".join(c.replace(" ", "[^A-Za-z0-9]+") for c in CUES)
 
 
+#: What ends a paragraph; what stands between words.
+PARAGRAPH, OTHER = r"\n[ \t]*\n", "[^a-z0-9]+"
+
+
+def _marked(text: Column) -> Column:
+    """In lower case, with an empty line behind each mark that ends a sentence."""
+    plain = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ\r", "abcdefghijklmnopqrstuvwxyz\n")
+    return F.regexp_replace(plain, rf"(?<=[{MARKS}])[ \t-\r]+", "\n\n")
+
+
 def _cut(text: Column, wrapped: bool) -> Column:
     """Normalised sentences; with ``wrapped``, only empty lines end one as a mark does."""
-    plain = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ\r", "abcdefghijklmnopqrstuvwxyz\n")
-    marked = F.regexp_replace(plain, rf"(?<=[{MARKS}])[ \t-\r]+", "\n\n")
-    ends, part = (r"\n[ \t]*\n", "[^a-z0-9]+") if wrapped else (r"\n", "[^a-z0-9]+")
-    return F.transform(F.split(marked, ends), lambda x: F.trim(F.regexp_replace(x, part, " ")))
+    return F.transform(F.split(_marked(text), PARAGRAPH if wrapped else r"\n"), lambda x: F.trim(F.regexp_replace(x, OTHER, " ")))
 
 
 def recognised(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, ``sentence_ids``, ``n_license_sentences`` and ``licenses``.
 
     ``sentence_ids`` lists the known sentences in order (",3,4,"; "" if none) and
-    ``licenses`` the recognised licences, sorted and separated by commas. Lines count
-    as sentences, or else as parts of wrapped ones, whichever finds more. Null and
-    empty texts have none. Everything stays in the document's row.
+    ``licenses`` the recognised licences, sorted and separated by commas. For
+    ``sentence_ids`` lines count as sentences, or else as parts of wrapped ones,
+    whichever finds more. ``licenses`` are those of both cuttings and of the two merged
+    by their place in the text: of each paragraph that is one known sentence that
+    sentence, of the others the known lines. Null and empty texts have none.
+    Everything stays in the document's row.
     """
     known = F.create_map(*(F.lit(x) for pair in SENTENCES.items() for x in pair))
     t = F.col("_text")
     cue = t.rlike(CUE)
     rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("_text"))
     none = F.array().cast("array<int>")
-    for wrapped, name in ((False, "_lines"), (True, "_wrapped")):
-        ids = F.filter(F.transform(_cut(t, wrapped), lambda x: known[x]), lambda x: x.isNotNull())
+    found = lambda parts: F.filter(F.transform(parts, lambda x: known[x]), lambda x: x.isNotNull())
+    whole = lambda p: known[F.trim(F.regexp_replace(p, OTHER, " "))]
+    lines = lambda p: found(F.transform(F.split(p, r"\n"), lambda x: F.trim(F.regexp_replace(x, OTHER, " "))))
+    merged = F.flatten(F.transform(F.split(_marked(t), PARAGRAPH), lambda p: F.when(whole(p).isNotNull(), F.array(whole(p))).otherwise(lines(p))))
+    for ids, name in ((found(_cut(t, False)), "_lines"), (found(_cut(t, True)), "_wrapped"), (merged, "_merged")):
         rows = rows.withColumn(name, F.when(cue, ids).otherwise(none))
     rows = rows.withColumn("_ids", F.when(F.size("_wrapped") > F.size("_lines"), F.col("_wrapped")).otherwise(F.col("_lines")))
-    rows = rows.drop("_text", "_lines", "_wrapped")
-    ids = F.when(F.size("_ids") > 0, F.concat(F.lit(","), F.array_join(F.col("_ids").cast("array<string>"), ","), F.lit(","))).otherwise("")
-    rows = rows.withColumns({"sentence_ids": ids, "n_license_sentences": F.size("_ids").cast("long")}).drop("_ids")
-    hits = F.array(*(F.when(F.contains(F.col("sentence_ids"), F.lit(p)), F.lit(n)) for n, p in PATTERNS))
+    listed = lambda c: F.when(F.size(c) > 0, F.concat(F.lit(","), F.array_join(F.col(c).cast("array<string>"), ","), F.lit(","))).otherwise("")
+    rows = rows.withColumns(
+        {
+            "sentence_ids": listed("_ids"), "n_license_sentences": F.size("_ids").cast("long"),
+            # No rule has a bar, so none reaches from one sequence into the next.
+            "_all": F.concat_ws("|", listed("_lines"), listed("_wrapped"), listed("_merged")),
+        }
+    ).drop("_text", "_lines", "_wrapped", "_merged", "_ids")
+    hits = F.array(*(F.when(F.contains(F.col("_all"), F.lit(p)), F.lit(n)) for n, p in PATTERNS))
     return rows.withColumn(
         "licenses", F.when(F.col("n_license_sentences") > 0, F.array_join(F.array_sort(F.array_distinct(F.array_compact(hits))), ",")).otherwise("")
-    )
+    ).drop("_all")
 
 
 def _quoted(value: str) -> str:

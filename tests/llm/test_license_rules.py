@@ -38,3 +38,14 @@ def test_every_rule(spark):
 
 def test_empty(spark):
     assert L.recognised(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_both_cuttings(spark):
+    """What only lines show and what only wrapped sentences show are both recognised, whichever finds more."""
+    apache = L.RULES[1][1]
+    wrap = lambda x: x.replace(" use ", "\nuse ").replace(" copy ", "\ncopy ")
+    isc = [r for n, r in L.RULES if n == "ISC"][0][0].replace(", ", ",\n")
+    spdx = "SPDX-License-Identifier: MIT\nmore text\n\n"
+    texts = [spdx + wrap("\n\n".join(apache)), spdx + spdx + isc, f"{MIT[0]}\n{'x' * 5}\n\n{wrap(MIT[1]).replace(' and this', chr(10) + 'and this')}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.licenses for r in L.recognised(docs).collect()} == {0: "Apache-2.0,MIT", 1: "ISC,MIT", 2: "MIT"}
