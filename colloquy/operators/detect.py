@@ -166,6 +166,8 @@ def spacing(t: Column) -> Column:
 
 
 DETECTORS = dict(zip(KINDS, (fillers, stutters, repeated_words, hedges, weak_phrases, run_ons, spacing)))
+#: Kinds whose suggestions have a replacement, always; the others' never have one.
+FIXABLE = ("filler", "stutter", "weak-phrase", "spacing")
 
 
 def suggestions(segments: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:

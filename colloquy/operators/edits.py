@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as X
@@ -49,8 +49,44 @@ def apply_first(segments: DataFrame) -> DataFrame:
     return rows.withColumn("text", F.when(F.col("_m").isNull(), t).otherwise(text)).drop("_m")
 
 
-def apply_all(segments: DataFrame, passes: int = 10) -> DataFrame:
-    """Passes of :func:`apply_first`, each over the texts that the last one left; a fixed number, in one plan."""
-    for _ in range(passes):
-        segments = apply_first(segments)
-    return segments
+def apply_all(segments: DataFrame, passes: int | None = None) -> DataFrame:
+    """Passes of :func:`apply_first`, each over the text that the last one left, until no fix is left; or a fixed number.
+
+    Without ``passes`` a text is fixed to its end in a fold over its row. Every fix
+    makes a text shorter, so there are fewer passes than characters. They come as
+    rounds of as many passes as there are rounds, and a text that has no fix left
+    skips what remains of both.
+    """
+    if passes is not None:
+        for _ in range(passes):
+            segments = apply_first(segments)
+        return segments
+    t = F.col("text")
+    looked_at = ~F.coalesce(F.col("interim"), F.lit(False)) & ~X.is_blank(t)
+    rounds = F.sequence(F.lit(1), F.ceil(F.sqrt(F.length(t))).cast("int"))
+    start = F.struct(t.alias("text"), F.lit(True).alias("more"))
+
+    def one(s: Column, _: Column) -> Column:
+        return F.when(s["more"], _fixed_once(s["text"])).otherwise(s)
+
+    def several(s: Column, _: Column) -> Column:
+        return F.when(s["more"], F.aggregate(rounds, s, one)).otherwise(s)
+
+    return segments.withColumn("text", F.when(looked_at, F.aggregate(rounds, start, several, lambda s: s["text"])).otherwise(t))
+
+
+def _fixed_once(t: Column) -> Column:
+    """A text with its first fix applied, and whether there was one; detectors are asked in their order, up to the first that has one."""
+    def first(kind: str) -> Column:
+        return F.array_min(F.transform(detect.DETECTORS[kind](t).cast(detect.ITEM), lambda m: F.struct(*(m[c] for c in (*ORDER, "replacement")))))
+
+    best = F.coalesce(*(first(kind) for kind in detect.FIXABLE))
+    # An array of one binds the fix, which is used several times and found once.
+    done = F.transform(
+        F.array(best),
+        lambda m: F.struct(
+            F.when(m.isNull(), t).otherwise(X.trim(X.one_space(X.spliced(t, m["start"], m["end"], m["replacement"])))).alias("text"),
+            m.isNotNull().alias("more"),
+        ),
+    )
+    return F.get(done, F.lit(0))

@@ -231,7 +231,7 @@ def apply_first_fix(spark, sf_dir):
 
 @query()
 def apply_all_fixes(spark, sf_dir):
-    return edits.apply_all(D.document_segments(spark, sf_dir), 3).select("session_id", "seg_id", "text")
+    return edits.apply_all(D.document_segments(spark, sf_dir)).select("session_id", "seg_id", "text")
 
 
 @query(f"WITH {D.SPOKEN}, {_SENTENCES} SELECT session_id, ord, kind, round(score, 6) AS score FROM scored")

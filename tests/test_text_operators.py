@@ -128,3 +128,24 @@ def test_summary_against_plain(spark):
 )
 def test_functions(spark, expression, want):
     assert spark.range(1).select(expression().alias("x")).first().x == want
+
+
+def test_all_fixes_to_the_end(spark):
+    """Without a number of passes no fix is left, and the text is that of as many single passes as it takes."""
+    texts = [
+        "um " + " and the the cat , uh, sat  in order to, er, rest" * 9, "going um forward we we touch base .", "plain words", "", "  ", None, "um",
+        " ".join(["so so"] * 20) + " due to the fact that (you know) it\t\t  , is  ",
+    ]
+    rows = segments(spark, texts)
+    done = edits.apply_all(rows)
+    assert detect.fixable(detect.suggestions(done)).count() == 0
+    want = {r.seg_ord: r.text for r in rows.collect()}
+    for _ in range(100):
+        frame = segments(spark, [want[k] for k in sorted(want)])
+        new = {r.seg_ord: r.text for r in edits.apply_first(frame).collect()}
+        if new == want:
+            break
+        want = new
+    assert {r.seg_ord: r.text for r in done.collect()} == want
+    interim = segments(spark, ["um the the"]).withColumn("interim", F.lit(True))
+    assert edits.apply_all(interim).first().text == "um the the"
