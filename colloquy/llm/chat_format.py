@@ -44,7 +44,7 @@ def parse(rendered: str) -> Iterator[tuple[str, str, int, int]]:
             raise ValueError(f"no turn at {at}")
         line = rendered.find("\n", at)
         end = rendered.find(END, at)
-        if line < 0 or end < line or rendered[end + len(END) : end + len(END) + 1] != "\n":
+        if line < 0 or end < line or rendered.find(START, line, end) >= 0 or rendered[end + len(END) : end + len(END) + 1] != "\n":
             raise ValueError(f"no whole turn at {at}")
         role = rendered[at + len(START) : line]
         for char, code in reversed(_ROLE_CODES.items()):
