@@ -161,5 +161,6 @@ def arrow_map(
             ]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(n_kept)] + new, names=schema.names)
 
-    source = df.select([F.col(f"`{c}`") for c in kept] + [F.col(f"`{c}`").alias(f"_in{i}") for i, c in enumerate(inputs)])
+    # Names of their own for all columns on the way, so that no name clashes or needs quoting.
+    source = df.select([F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate([*kept, *inputs])])
     return source.mapInArrow(run, schema)
