@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.shared import written
+from colloquy.llm.shared import dropped, written
 
 
 def _mark(links: DataFrame) -> tuple:
@@ -39,6 +39,7 @@ def components(links: DataFrame) -> DataFrame:
         moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = written(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
         now = _mark(after)
+        dropped(at)
         at = after
         if now == mark:
             break

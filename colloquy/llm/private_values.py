@@ -9,7 +9,10 @@ Validated means: account numbers of 13 to 19 digits pass the Luhn check (and the
 pseudonyms do), dates exist, social security numbers have no forbidden area, group
 or serial, octets of addresses are below 256, telephone numbers have an area in
 brackets or a country code. Numbers that fail are left as they are. Mail
-addresses and long hexadecimal secrets get keyed hashes of their format.
+addresses and long hexadecimal secrets, of any length, get keyed hashes of their format.
+
+The key comes to the rows as a column that a subquery fills, so it stands in no
+plan, and in no log of plans.
 """
 
 from __future__ import annotations
@@ -17,16 +20,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.llm.shared import unused
+
 ROUNDS = 10
 #: 1900-01-01 to 2099-12-31 are 73049 = 319 * 229 days.
 FIRST_DAY, DAYS_A, DAYS_B = "1900-01-01", 319, 229
 
 _DAY, _MONTH, _YEAR = "(?:0[1-9]|[12][0-9]|3[01])", "(?:0[1-9]|1[0-2])", "(?:19|20)[0-9]{2}"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
-#: The kinds in the order in which they are tried; fixed values.
+_LABEL, _TOP = "[A-Za-z0-9-]++", r"[A-Za-z]{2,}+(?![A-Za-z0-9])"
+#: The kinds in the order in which they are tried; fixed values. Repetitions have no upper end and
+#: give nothing back, so no text, however long its runs, is read more than a few times.
+#: A mail's domain ends in its last label, or else in the first that can be a top one.
 KINDS = {
-    "mail": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}",
-    "secret": r"[0-9a-f]{32,128}|[0-9A-F]{32,128}",
+    "mail": rf"(?<![._%+-])[A-Za-z0-9._%+-]++@(?:(?:{_LABEL}\.(?=[A-Za-z0-9-]))++{_TOP}|{_LABEL}(?:\.(?!{_TOP}){_LABEL})*+\.{_TOP})",
+    "secret": r"[0-9a-f]{32,}+|[0-9A-F]{32,}+",
     "address": rf"{_OCTET}(?:\.{_OCTET}){{3}}(?!\.[0-9])",
     "iso_date": rf"{_YEAR}-{_MONTH}-{_DAY}",
     "slash_date": rf"{_DAY}/{_MONTH}/{_YEAR}",
@@ -47,7 +55,7 @@ def _text(value: str) -> str:
 
 def _shift(key: str, kind: str, round_: str, half: str) -> str:
     """A keyed number of 48 bits from a round and a half."""
-    return f"cast(conv(substr(sha2(concat_ws('|', {_text(key)}, '{kind}', {round_}, {half}), 256), 1, 12), 16, 10) as bigint)"
+    return f"cast(conv(substr(sha2(concat_ws('|', {key}, '{kind}', {round_}, {half}), 256), 1, 12), 16, 10) as bigint)"
 
 
 def _feistel(key: str, kind: str, left: str, right: str, a: str, b: str) -> str:
@@ -100,10 +108,10 @@ def _date(key: str, m: str, form: str) -> str:
 
 
 def _pseudonym(key: str) -> str:
-    """SQL of a match ``m``'s pseudonym; what is not valid stays."""
+    """SQL of a match ``m``'s pseudonym; what is not valid stays. ``key`` is the name of the key's column."""
     plain = "regexp_replace(m, '[^0-9]', '')"
     is_ = lambda kind: f"m rlike {_text('^(?:' + KINDS[kind] + ')$')}"
-    hash_ = f"sha2(concat_ws('|', {_text(key)}, 'text', m), 512)"
+    hash_ = f"sha2(concat_ws('|', {key}, 'text', m), 512)"
     octet = lambda k: f"cast(split(m, '[.]')[{k}] as int)"
     address = _with(
         _feistel(key, "address", f"{octet(0)} * 256 + {octet(1)}", f"{octet(2)} * 256 + {octet(3)}", "65536", "65536"),
@@ -127,8 +135,10 @@ def _pseudonym(key: str) -> str:
     body = f"left({plain}, length({plain}) - 1)"
     check = f"concat(b, pmod(-{_luhn_sum('b', 1)}, 10))"
     account = _with(_with(_digits_permuted(key, "account", body), "b", check), "q", _filled("m", "q"))
-    mail = f"concat('user-', substr({hash_}, 1, 12), '@mail.invalid')"
-    secret = f"if(m rlike '[A-F]', upper(left({hash_}, length(m))), left({hash_}, length(m)))"
+    mail = f"concat('user-', substr({hash_}, 1, 32), '@mail.invalid')"
+    # As many hashes as the secret has room for; the first is of the secret alone.
+    more = f"transform(sequence(1, (length(m) - 1) div 128 + 1), i -> if(i = 1, {hash_}, sha2(concat_ws('|', {key}, 'text', i, m), 512)))"
+    secret = _with(f"left(array_join({more}, ''), length(m))", "x", "if(m rlike '[A-F]', upper(x), x)")
     return f"""case
         when {is_("mail")} then {mail}
         when {is_("secret")} and m rlike '[A-Fa-f]' and m rlike '[0-9]' then {secret}
@@ -144,18 +154,19 @@ def _pseudonym(key: str) -> str:
 def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with private values in ``text`` replaced, and ``n_private``, how many were.
 
-    Rows and other columns stay as they are (a column named ``n_private`` is
-    replaced); null stays null and counts none. Two columns ``_found`` and
-    ``_names`` of the input would be lost and are refused.
+    Rows and other columns stay as they are, whatever their names (a column named
+    ``n_private`` is replaced); null stays null and counts none, as empty texts do. Texts and
+    values of any length are read whole. Rows that are repeated give repeated results, an
+    empty table none.
     """
-    if {"_found", "_names"} & set(docs.columns):
-        raise ValueError("columns _found and _names are used here")
-    t = F.col(f"`{text}`")
-    found = docs.withColumn("_found", F.when(t.rlike(HINT) & t.rlike(PATTERN), F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0))))
-    named = found.withColumn("_names", F.expr(f"transform(_found, m -> {_pseudonym(key)})"))
-    between = F.split(t, PATTERN)
-    woven = F.array_join(F.flatten(F.zip_with(between, "_names", lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    changed = F.coalesce(F.expr("cast(size(filter(zip_with(_found, _names, (a, b) -> a <> b), x -> x)) as bigint)"), F.lit(0).cast("long"))
-    out = named.withColumn("n_private", F.when(F.col("_found").isNull(), F.lit(0).cast("long")).otherwise(changed))
-    columns = [F.when(F.col("_found").isNull(), t).otherwise(woven).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns if c != "n_private"]
-    return out.select(*columns, "n_private")
+    found, names, secret = unused(docs.columns, "found", "names", "key")
+    t, own = F.col(f"`{text}`"), [c for c in docs.columns if c != "n_private"]
+    given = docs.sparkSession.createDataFrame([(key,)], "key string").scalar()
+    rows = docs.select("*", F.when(t.rlike(HINT) & t.rlike(PATTERN), F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0))).alias(found))
+    rows = rows.select("*", F.when(F.col(found).isNotNull(), given).alias(secret))
+    rows = rows.select("*", F.expr(f"transform({found}, m -> {_pseudonym(secret)})").alias(names))
+    woven = F.array_join(F.flatten(F.zip_with(F.split(t, PATTERN), names, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    changed = F.expr(f"cast(size(filter(zip_with({found}, {names}, (a, b) -> a <> b), x -> x)) as bigint)")
+    none = F.col(found).isNull()
+    columns = [F.when(none, t).otherwise(woven).alias(text) if c == text else F.col(f"`{c}`") for c in own]
+    return rows.select(*columns, F.when(none, F.lit(0).cast("long")).otherwise(changed).alias("n_private"))

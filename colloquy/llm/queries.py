@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,9 +80,18 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+_own_key = secrets.token_hex(32)
+
+
 def pseudonym_key(spark: SparkSession) -> str:
-    """The session's key of pseudonyms; the default is for trials only."""
-    return spark.conf.get("colloquy.pseudonym.key", "change this key")
+    """The session's key of pseudonyms, the setting ``colloquy.pseudonym.secret``.
+
+    Logs hide settings of such a name. Without it, local masters, as in trials, use a fixed key;
+    elsewhere every application makes one of its own, which nobody knows, so its pseudonyms
+    are linked with each other only.
+    """
+    local = spark.sparkContext.master.startswith("local")
+    return spark.conf.get("colloquy.pseudonym.secret", "change this key" if local else _own_key)
 
 
 def op9_private_values(spark: SparkSession, sf_dir: str) -> DataFrame:

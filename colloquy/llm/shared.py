@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 BATCH_ROWS = 512
 
 _local_root: str | None = None
+_released: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -25,12 +26,18 @@ def shared_root(spark: SparkSession) -> str:
 
     Only a local master, as in tests, may do without that setting; it gets a
     temporary folder. On a cluster a missing setting is an error, as a folder of
-    one machine would not be seen by the others.
+    one machine would not be seen by the others. What an application leaves there goes
+    when it ends; :func:`release` deletes it before.
     """
     global _local_root
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
-        return f"{root.rstrip('/')}/colloquy-{spark.sparkContext.applicationId}"
+        own = f"{root.rstrip('/')}/colloquy-{spark.sparkContext.applicationId}"
+        if own not in _released:
+            _released.add(own)
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+        return own
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if _local_root is None:
@@ -121,8 +128,18 @@ def forget() -> None:
     _kept.clear()
 
 
+def unused(columns: Sequence[str], *names: str) -> list[str]:
+    """Names for columns on the way that no column has."""
+    taken = {c.lower() for c in columns}
+    return [next(f"_{'_' * k}{name}" for k in range(len(taken) + 1) if f"_{'_' * k}{name}" not in taken) for name in names]
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches to :data:`BATCH_ROWS` rows, so that long texts fit in memory."""
+    """Keep Arrow batches to :data:`BATCH_ROWS` rows, so that long texts fit in memory.
+
+    Spark reads the setting when a query runs, not when it is built, so the session keeps
+    it; a smaller one of the user's own stays.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))

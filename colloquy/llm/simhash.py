@@ -19,12 +19,12 @@ from itertools import islice
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colloquy.llm.components import components
-from colloquy.llm.shared import arrow_map, forget, written
+from colloquy.llm.shared import arrow_map, forget, unused, written
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -53,7 +53,7 @@ def fingerprint(text: str | None, width: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns and ``fp``, the fingerprint's 64 bits as a signed long."""
+    """``keep`` columns and ``fp``, the fingerprint's 64 bits as a signed long; a kept column of that name gives way."""
 
     def make():
         forget()
@@ -194,7 +194,8 @@ def near_duplicates(
     differing bits (null if all of them are null). ``text_key`` (xxhash64 of the
     text) with the id names a row; ``first`` is true for the component's least
     (id, text_key), so rows that are repeated whole share it. Null and empty texts
-    have fingerprint zero and link like any other.
+    have fingerprint zero and link like any other; very long texts are read whole. Other
+    columns of ``docs`` don't matter, whatever their names; an empty table gives no rows.
     """
     keyed = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.xxhash64(f"`{text}`").alias("text_key"))
     rows = written(fingerprints(keyed, "text", ("doc_id", "text_key")), "fingerprints")
@@ -211,16 +212,21 @@ def near_duplicates(
 
 
 def firsts(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: one of each component of :func:`near_duplicates`."""
-    from pyspark.sql import Window
+    """The rows of ``docs`` that stay: one of each component of :func:`near_duplicates`.
 
+    Of rows that have the least id and text of their component, the first by hash and values of
+    the other columns stays. Columns may have any names and come back unchanged.
+    """
     # One hash partitioning by these three serves the join and the window.
-    row = ["_id", "_no_id", "_key"]
-    least = found.where("first").select(
-        F.coalesce("doc_id", F.lit(0)).alias("_id"), F.isnull("doc_id").alias("_no_id"), F.col("text_key").alias("_key")
-    )
+    row = unused(docs.columns, "id", "no_id", "key")
+    other, nth = unused(docs.columns, "other", "nth")
     own = F.col(f"`{doc_id}`")
-    keyed = docs.withColumns({"_id": F.coalesce(own, F.lit(0)), "_no_id": F.isnull(own), "_key": F.xxhash64(f"`{text}`")})
+    values = lambda c: (F.coalesce(c, F.lit(0)), F.isnull(c))
+    least = found.where("first").select(*(x.alias(n) for x, n in zip((*values(F.col("doc_id")), F.col("text_key")), row)))
+    keyed = docs.select("*", *(x.alias(n) for x, n in zip((*values(own), F.xxhash64(f"`{text}`")), row)))
     kept = keyed.join(least.distinct(), row, "left_semi")
-    by = Window.partitionBy(*row).orderBy(*(F.col(f"`{c}`") for c in docs.columns if c != text))
-    return kept.withColumn("_nth", F.row_number().over(by)).where("_nth = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    # Maps have neither an order nor a hash of their own; as text they have both.
+    rest = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema if f.name != text]
+    kept = kept.withColumn(other, F.xxhash64(*rest))
+    by = Window.partitionBy(*row).orderBy(other, *rest)
+    return kept.withColumn(nth, F.row_number().over(by)).where(F.col(nth) == 1).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -83,3 +83,25 @@ def test_components_match_all_pairs(spark):
         for c in codes:
             got.setdefault(found.get(c, c), set()).add(c)
         assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups.values()))
+
+
+def test_clashes(spark):
+    """Columns named as those on the way, and maps, come back unchanged."""
+    docs = spark.createDataFrame(
+        [(1, "same text of a few words", 99, 1, 2, {"a": 1}), (1, "same text of a few words", 98, 3, 4, {"a": 2}), (2, "same text of a few words", 97, 5, 6, None)],
+        "doc_id long, text string, _id long, _key long, _nth long, _no_id map<string, int>",
+    )
+    kept = simhash.firsts(docs, simhash.near_duplicates(docs)).collect()
+    assert len(kept) == 1 and tuple(kept[0]) in {tuple(r) for r in docs.collect()} and kept[0].doc_id == 1
+
+
+def test_query(spark):
+    from colloquy.llm.queries import QUERIES
+
+    name = "/root/testdata/sf0.001"
+    docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{name}/documents.parquet").collect())
+    codes = [slow_fingerprint(t) for _, t in docs]
+    label = slow_components(codes)
+    want = {i: (f"{c:016x}", docs[label.index(l)][0]) for (i, _), c, l in zip(docs, codes, label)}
+    got = QUERIES["op10_simhash"](spark, name).collect()
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == want and len(got) == len(docs)
