@@ -6,12 +6,15 @@ the texts, the words around an item's hits are looked at where enough of the ite
 words stand for a match; there a Smith-Waterman alignment finds the best local match,
 so that a copy with words changed, left out or put in still scores high. Every hit
 counts, however many documents have its n-gram: a passage copied widely is a match too.
+Items of one or two words have no n-gram; they match where all of their words stand in a row.
 
-Items are taken in blocks of bounded size, and each block's n-grams are broadcast.
+Items are taken in blocks of bounded size, and each block's n-grams are broadcast. One
+block, so one scan of the texts, holds all public benchmarks in use today several times.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +24,8 @@ from pyspark.sql import functions as F
 
 from colloquy.llm.shared import Units, forget, small_batches
 
-#: Words of an n-gram; items of a block; signs taken from words' ends.
-GRAM, BLOCK_ITEMS = 3, 5000
+#: Words of an n-gram; words of a block's items, which take about 30 bytes each; signs taken from words' ends.
+GRAM, BLOCK_WORDS = 3, 4_000_000
 SIGNS = ".,;:!?\"'()[]{}<>*#$%&|-_/\\…“”«»¿¡"
 #: Scores of a word that agrees, differs, is missing or is added.
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
@@ -31,35 +34,55 @@ THRESHOLD, LEAST_WORDS = 0.5, 5
 
 
 class Items:
-    """A block of items as word numbers, and their n-grams."""
+    """A block of items as word numbers, and their n-grams; everything in flat arrays."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         self.vocabulary: dict[str, int] = {}
-        self.words: list[np.ndarray] = []
         self.ids: list[int] = []
+        sizes, flat = [], array("i")
         for item, text in rows:
             words = [w for w in (x.strip(SIGNS).lower() for x in text.split()) if w]
-            if len(words) >= GRAM:
+            if words:
                 self.ids.append(item)
-                self.words.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words], np.int64))
+                sizes.append(len(words))
+                flat.extend(self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words)
         self.base = len(self.vocabulary) + 1
-        codes = [self.codes(w) for w in self.words]
-        self.grams = np.unique(np.concatenate(codes)) if codes else np.empty(0, np.int64)
-        owner = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
-        place = np.concatenate([np.arange(len(c)) for c in codes]) if codes else owner
-        number = np.searchsorted(self.grams, np.concatenate(codes)) if codes else owner
-        order = np.argsort(number, kind="stable")
-        self.owner, self.place, self.number = owner[order], place[order], number[order]
-        self.first = np.searchsorted(self.number, np.arange(self.grams.size + 1))
-        self.size = np.array([w.size for w in self.words], np.int64)
-        self.flat = np.concatenate(self.words) if self.words else np.empty(0, np.int64)
+        if self.base**GRAM >= 1 << 63:
+            raise ValueError("too many different words in a block")
+        self.flat, self.size = np.array(flat, np.int32), np.array(sizes, np.int64)
         self.offset = np.cumsum(self.size) - self.size
+        owner = np.repeat(np.arange(self.size.size, dtype=np.int32), self.size)
+        place = (np.arange(self.flat.size) - self.offset[owner]).astype(np.int32)
+        code = self.codes(self.flat)
+        inside = np.flatnonzero(place[: code.size] <= self.size[owner[: code.size]] - GRAM)  # not over an item's end
+        self.grams, number = np.unique(code[inside], return_inverse=True)
+        order = np.argsort(number, kind="stable")
+        self.owner, self.place = owner[inside][order], place[inside][order]
+        self.first = np.searchsorted(number[order], np.arange(self.grams.size + 1))
         self.need = np.maximum(THRESHOLD * MATCH * self.size, np.minimum(MATCH * self.size, MATCH * LEAST_WORDS))
+        #: Items too short for an n-gram, by their words.
+        self.short: dict[tuple, list[int]] = {}
+        for item in np.flatnonzero(self.size < GRAM):
+            self.short.setdefault(tuple(self.words(item).tolist()), []).append(int(item))
+
+    def words(self, item: int) -> np.ndarray:
+        return self.flat[self.offset[item] : self.offset[item] + self.size[item]]
+
+    def whole(self, words: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Items under :data:`GRAM` words and the places where they stand."""
+        for own, items in self.short.items():
+            same = words[: max(words.size - len(own) + 1, 0)] == own[0]
+            for k, word in enumerate(own[1:], 1):
+                same = same & (words[k : k + same.size] == word)
+            for at in np.flatnonzero(same):
+                for item in items:
+                    yield item, int(at)
 
     def codes(self, words: np.ndarray) -> np.ndarray:
         """The numbers of n-grams of known words (-1: a word is unknown)."""
         if words.size < GRAM:
             return np.empty(0, np.int64)
+        words = words.astype(np.int64)
         parts = [words[k : words.size - GRAM + 1 + k] for k in range(GRAM)]
         code = np.zeros(parts[0].size, np.int64)
         for part in parts:
@@ -110,7 +133,7 @@ class Items:
             cut = np.flatnonzero(np.r_[True, lo[1:] > np.maximum.accumulate(hi)[:-1], True])
             for x, y in zip(cut, cut[1:]):
                 window = words[lo[x] : hi[x:y].max()]
-                if MATCH * np.isin(self.words[item], window).sum() >= self.need[item]:
+                if MATCH * np.isin(self.words(item), window).sum() >= self.need[item]:
                     yield int(item), int(lo[x]), window
 
 
@@ -154,7 +177,7 @@ def contaminated(
     text: str = "text",
     item_id: str = "item_id",
     item_text: str = "text",
-    block_items: int = BLOCK_ITEMS,
+    block_words: int = BLOCK_WORDS,
     text_key: bool = False,
 ) -> DataFrame:
     """``(doc_id, item_id, score, first_word, last_word)`` of every match of a document and an item.
@@ -163,10 +186,12 @@ def contaminated(
 
     ``score`` is the alignment's part of the item's score with itself, at least
     :data:`THRESHOLD`; at least five words must agree, or all of an item with fewer.
-    Items under three words are not looked for. Null and empty texts match
-    nothing. Rows that are repeated give repeated results. With ``text_key`` there is
-    a last column of that name, xxhash64 of the document's text, which tells texts
-    with the same id, or none, apart.
+    Whole texts of any length are read. Null and empty texts, and items without a word,
+    match nothing. Rows that are repeated give repeated results, an empty table on either
+    side none; other columns don't matter, whatever their names. With ``text_key``
+    there is a last column of that name, xxhash64 of the document's text, which tells
+    texts with the same id, or none, apart. Items of more than ``block_words`` words
+    together are looked for in several scans.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -174,16 +199,18 @@ def contaminated(
     output = OUTPUT
     if text_key:
         source, output = source.withColumn("text_key", F.xxhash64("text")), f"{OUTPUT}, text_key long"
-    rows = benchmark.where(F.col(f"`{item_text}`").isNotNull()).select(F.col(f"`{item_id}`"), F.col(f"`{item_text}`")).distinct()
-    found, block = None, []
-    listed = rows.orderBy(F.col(f"`{item_id}`"), F.col(f"`{item_text}`")).toLocalIterator()
+    item, words = F.col(f"`{item_id}`"), F.col(f"`{item_text}`")
+    rows = benchmark.where(words.isNotNull()).select(item.cast("long").alias("item"), words.alias("words")).distinct()
+    found, block, size = None, [], 0
+    listed = rows.orderBy("item", "words").toLocalIterator()
     while True:
         row = next(listed, None)
         if row is not None:
             block.append((row[0], row[1]))
-        if block and (row is None or len(block) == block_items):
+            size += len(row[1].split())
+        if block and (row is None or size >= block_words):
             one = _block(source, Items(block), output)
-            found, block = one if found is None else found.unionByName(one), []
+            found, block, size = one if found is None else found.unionByName(one), [], 0
         if row is None:
             return found if found is not None else spark.createDataFrame([], output)
 
@@ -204,9 +231,11 @@ def _block(source: DataFrame, items: Items, output: str) -> DataFrame:
                 at, number = items.hits(words)
                 if at.size:
                     for item, first, window in items.candidates(words, at, number):
-                        got, begin, end = align(items.words[item], window)
+                        got, begin, end = align(items.words(item), window)
                         if got >= items.need[item]:
                             out.append((doc_id, items.ids[item], got / (MATCH * items.size[item]), first + begin, first + end, *key))
+                for item, first in items.whole(words):
+                    out.append((doc_id, items.ids[item], 1.0, first, first + int(items.size[item]) - 1, *key))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=names)
 

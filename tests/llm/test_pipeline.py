@@ -28,7 +28,8 @@ def test_plain(spark):
     assert len(single) < len(kept)
     items = D.Items([(r.item_id, r.text) for r in spark.read.parquet(f"{NAME}/benchmark.parquet").collect()])
     read = items.reader()
-    bad = {i for i, t in single if any(np.isin(w, read(t)).sum() * 2 > w.size and D.align(w, read(t))[0] >= n for w, n in zip(items.words, items.need))}
+    words = [items.words(k) for k in range(len(items.ids))]
+    bad = {i for i, t in single if any(np.isin(w, read(t)).sum() * 2 > w.size and D.align(w, read(t))[0] >= n for w, n in zip(words, items.need))}
     assert bad
     want = {i: t for i, t in single if i not in bad}
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
@@ -42,26 +43,36 @@ def test_plain(spark):
     assert changed
 
 
+#: Names that operators use, or used, on the way.
+CLASHES = "_id _no_id _key _nth _other _bad _bad_key _quality _found _names _in0 c0 text_key fp score ids n_private a.b".split()
+
+
 def test_hostile(spark, tmp_path):
-    """Stages keep columns and don't fail on nulls, empty texts, repeated rows and other columns."""
+    """Stages keep columns, of any names, and don't fail on nulls, empty texts and repeated rows."""
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (None, "a plain text of a few words", "en", None, 1), (5, "x " * 50000, None, "s", 2)]
+    more = tuple(range(len(CLASHES)))
     schema = "doc_id long, text string, lang string, source string, n_chars long"
+    wide = f"{schema}, {', '.join(f'`{c}` long' for c in CLASHES)}, _map map<string, int>"
     for table, frame in {
         "documents": spark.createDataFrame(rows, schema),
         "labels": spark.createDataFrame([(1, 1, 0), (3, 0, 1)], "doc_id long, quality int, toxic int"),
         "benchmark": spark.createDataFrame([(1, None)], "item_id long, text string"),
     }.items():
         frame.write.parquet(f"{tmp_path}/{table}.parquet")
-    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+    for docs in (spark.createDataFrame([(*r, *more, {"k": 1}) for r in rows], wide), spark.createDataFrame([], wide)):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, str(tmp_path))
-            assert out.columns[:5] == docs.columns
+            last = name == "sentence_pieces"
+            own = [c for c in docs.columns if not last or c not in ("ids", "n_tokens")]
+            assert out.columns[: len(own)] == own
             rows_out = out.collect()
+            for r in rows_out:
+                values = dict(zip(out.columns, r))
+                assert all(values[c] == k for k, c in enumerate(CLASHES) if c in own) and r["_map"] == {"k": 1}
             if name == "near_duplicates" and rows_out:
                 assert len(rows_out) == 3
 
 
-
 def test_decontaminated_rows(spark, tmp_path):
     """One contaminated text takes no other text of its id, or of no id, with it."""
     item = "the quick brown fox jumps over a lazy dog while seven wizards quietly brew strong tea"
