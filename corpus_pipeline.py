@@ -13,43 +13,58 @@ from pyspark.sql import functions as F
 
 from colloquy.llm import decontamination, private_values, quality_votes, sentence_pieces, simhash
 from colloquy.llm.queries import pseudonym_key, quality_model
-from colloquy.llm.shared import written
+from colloquy.llm.shared import unused, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality is predicted as 1."""
-    done = quality_votes.scored(docs, quality_model(spark, sf_dir), keep=tuple(docs.columns), name="_quality")
-    return done.where(F.col("_quality") >= quality_votes.THRESHOLD).drop("_quality")
+    """Documents whose quality is predicted as 1.
+
+    Null and empty texts are scored like any other; rows that are repeated stay or go together.
+    """
+    (score,) = unused(docs.columns, "quality")
+    done = quality_votes.scored(docs, quality_model(spark, sf_dir), keep=tuple(docs.columns), name=score)
+    return done.where(F.col(score) >= quality_votes.THRESHOLD).drop(score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each component of linked fingerprints."""
+    """The document with the least id of each component of linked fingerprints.
+
+    Null and empty texts are one component; of rows that are repeated one stays.
+    """
     return simhash.firsts(docs, simhash.near_duplicates(docs))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item.
 
-    A row is known by its id and its text, so other texts of a contaminated one's id, or of no id, stay.
+    A row is known by its id and its text, so other texts of a contaminated one's id, or of no id, stay,
+    as null and empty texts do.
     """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontamination.contaminated(docs, benchmark, text_key=True)
-    bad = written(found.select(F.col("doc_id").alias("_bad"), F.col("text_key").alias("_bad_key")).distinct(), "contaminated")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")) & (F.xxhash64("text") == F.col("_bad_key")), "left_anti")
+    bad_id, bad_key = unused(docs.columns, "bad_id", "bad_key")
+    bad = written(found.select(F.col("doc_id").alias(bad_id), F.col("text_key").alias(bad_key)).distinct(), "contaminated")
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(bad_id)) & (F.xxhash64("text") == F.col(bad_key)), "left_anti")
 
 
 def pseudonymised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, private values in their texts replaced; n_chars counts the new text."""
-    done = private_values.pseudonymised(docs, pseudonym_key(spark)).drop("n_private")
+    """All documents, private values in their texts replaced; n_chars counts the new text, null for a null one."""
+    hidden, (own,) = "n_private", unused(docs.columns, "own_n_private")
+    kept = docs.withColumnRenamed(hidden, own)  # a column of the operator's name is put aside
+    done = private_values.pseudonymised(kept, pseudonym_key(spark)).drop(hidden).withColumnRenamed(own, hidden)
     return done.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with ``n_tokens``, ``ids`` and whether they decode to the text again."""
-    keep = tuple(docs.columns)
+    """Documents with ``n_tokens``, ``ids`` and whether they decode to the text again; null counts as empty.
+
+    Columns of the input with one of these names, or a name of the encoder's outputs, give way.
+    """
+    made = ("n_tokens", "ids", "decodes_to_text", *sentence_pieces.OUTPUTS.names)
+    keep = tuple(c for c in docs.columns if c not in made)
     done = sentence_pieces.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=keep)
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit(""))
-    return done.select(*keep, F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("decodes_to_text"))
+    return done.select(*(F.col(f"`{c}`") for c in keep), F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("decodes_to_text"))
 
 
 STAGES = [
