@@ -1,30 +1,36 @@
 """Quality scores by the votes of labelled nearest neighbours.
 
-A text's features are the trigrams of its characters' classes (letters in lower
-and upper case, digits, blanks, line ends, signs), counted over the whole text, and
-steps of its length and of how much it repeats itself. Weighted by rarity and
-projected to their strongest latent directions, a bounded sample of labelled
-texts is broadcast; each text is compared with all of it by blocks of exact
-cosine products, and its nearest neighbours vote with their similarity.
+A text's terms are its words (in lower case without the signs around them, hashed to
+columns) and the trigrams of its characters' classes (letters in lower and upper case,
+digits, blanks, line ends, signs), counted over the whole text, and steps of its length and of
+how much it repeats itself. Weighted by rarity and projected to their strongest
+latent directions, a bounded sample of labelled texts is broadcast; each text is
+compared with all of it by blocks of exact cosine products, and its nearest neighbours
+vote with their similarity.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colloquy.llm.shared import arrow_map, forget
+from colloquy.llm.shared import Units, arrow_map, forget, written
 
-#: Feature columns, of them steps; latent directions; labelled texts at most; voters;
-#: the power of similarity by which they weigh; the score from which quality is predicted.
-WIDTH, STEPS, LATENT = 2048, 48, 64
+#: Columns of words, of class trigrams and of steps; latent directions; labelled texts at most; voters (and those
+#: as near as the last of them); the power of similarity by which they weigh; the score from which quality is predicted.
+WORDS, TRIGRAMS, STEPS, LATENT = 2048, 2000, 48, 64
+WIDTH = WORDS + TRIGRAMS + STEPS
 MAX_LABELLED, VOTERS, POWER, THRESHOLD = 4000, 25, 8, 0.7
-#: Part of the steps in a text's features, and bytes counted at once.
-STEP_WEIGHT, CHUNK = 0.35, 1 << 20
+#: Part of the words and of the steps in a text's features (1: the trigrams'), and bytes counted at once.
+WORD_WEIGHT, STEP_WEIGHT, CHUNK = 0.5, 0.35, 1 << 20
+#: Similarities that differ by less are equal.
+TIE = 1e-5
+SIGNS = ".,;:!?\"'()[]{}<>*#$%&|-_/\\…“”«»¿¡"
 
 
 def _classes() -> np.ndarray:
@@ -38,81 +44,94 @@ def _classes() -> np.ndarray:
 _CLASSES = _classes()
 
 
+_columns = Units(lambda word: zlib.crc32(word.strip(SIGNS).encode()) % WORDS)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-9)
+
+
 def features(text: str | None) -> np.ndarray:
     """The feature vector of one whole text; null counts as empty."""
     text = text or ""
     raw = np.frombuffer(f" \n{text}\n ".encode(), np.uint8)
-    counts = np.zeros(WIDTH)
+    counts = np.zeros(TRIGRAMS)
     for at in range(0, raw.size - 2, CHUNK):
         c = _CLASSES[raw[at : at + CHUNK + 2]].astype(np.int64)
         code = (c[:-2] * 32 + c[1:-1]) * 32 + c[2:]
-        counts += np.bincount((code * 2654435761 >> 7) % (WIDTH - STEPS), minlength=WIDTH)
-    out = np.log1p(counts)
-    out /= np.linalg.norm(out)
+        counts += np.bincount((code * 2654435761 >> 7) % TRIGRAMS, minlength=TRIGRAMS)
     words = text.lower().split()
+    terms = np.bincount(np.fromiter(map(_columns.__getitem__, words), np.int64, len(words)), minlength=WORDS)
     pairs = max(len(words) - 1, 1)
     repeated = 1 - len(set(zip(words, words[1:]))) / pairs if len(words) > 1 else 0.0
     twice = sum(map(str.__eq__, words, words[1:])) / pairs
     step = np.arange(16) / 16
-    out[WIDTH - STEPS :] = STEP_WEIGHT * np.r_[repeated > step, twice > step, len(words) > 2.0 ** np.arange(16)]
-    return out.astype(np.float32)
+    steps = np.r_[repeated > step, twice > step, len(words) > 2.0 ** np.arange(16)]
+    return np.concatenate([WORD_WEIGHT * _unit(np.log1p(terms)), _unit(np.log1p(counts)), STEP_WEIGHT * steps]).astype(np.float32)
 
 
 class Model:
     """Weights, latent directions and the labelled vectors; its size is bounded by the parameters."""
 
     def __init__(self, rows: np.ndarray, labels: np.ndarray, seed: int = 0):
+        """``rows`` is used up: it is weighted in place, as it is the largest thing here."""
         self.labels = labels.astype(np.float64)
-        self.weight = np.log((1 + len(rows)) / (1 + (rows > 0).sum(0))) + 1
+        self.weight = (np.log((1 + len(rows)) / (1 + np.count_nonzero(rows, axis=0))) + 1).astype(np.float32)
         self.weight[WIDTH - STEPS :] = 1
-        self.weight = self.weight.astype(np.float32)
-        x = self._unit(rows * self.weight)
+        x = rows
+        x *= self.weight
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
         basis = np.random.default_rng(seed).standard_normal((WIDTH, LATENT + 16)).astype(np.float32)
-        for _ in range(4):
+        for _ in range(6):
             basis, _r = np.linalg.qr(x.T @ (x @ basis))
         _u, _s, right = np.linalg.svd(x @ basis, full_matrices=False)
         self.directions = np.ascontiguousarray((basis @ right.T)[:, :LATENT])
-        self.vectors = self._unit(x @ self.directions)
-
-    @staticmethod
-    def _unit(x: np.ndarray) -> np.ndarray:
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        self.vectors = _unit(x @ self.directions)
 
     def score(self, rows: np.ndarray) -> np.ndarray:
         if not self.labels.size:
             return np.full(len(rows), 0.5)
-        z = self._unit(self._unit(rows * self.weight) @ self.directions)
+        z = _unit(_unit(rows * self.weight) @ self.directions)
         near = z @ self.vectors.T
-        k = min(VOTERS, near.shape[1])
-        voters = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        votes = np.take_along_axis(near, voters, 1).clip(1e-6, 1).astype(np.float64) ** POWER
-        return (votes * self.labels[voters]).sum(1) / votes.sum(1)
+        k = near.shape[1] - min(VOTERS, near.shape[1])
+        last = np.partition(near, k, axis=1)[:, k : k + 1]
+        votes = np.where(near >= last - TIE, near.clip(1e-6, 1), 0).astype(np.float64) ** POWER
+        return ((votes @ self.labels) / votes.sum(1)).clip(0, 1)
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "label", limit: int = MAX_LABELLED) -> Model:
-    """A model of at most ``limit`` rows of ``labels(doc_id, label)``, those of the least hashed ids.
+    """A model of at most ``limit`` ids of ``labels(doc_id, label)``, those of the least hashes.
 
-    Rows with a null id or label, and ids without a document, teach nothing.
+    An id counts once however often it is labelled; labels that contradict each other
+    give their mean. Rows with a null id or label, and ids without a document, teach
+    nothing. Of several documents of an id the one with the least text stands for all.
     """
     known = labels.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{label}`").cast("double").alias("label")).dropna()
-    total = known.count()
-    hashed = F.xxhash64("doc_id")
-    if total > 2 * limit:  # only for speed: enough rows have hashes below this to choose from
-        known = known.where(hashed < int(-(1 << 63) + (1 << 64) * min(1.0, 1.5 * limit / total)))
-    chosen = known.orderBy(hashed, "doc_id", "label").limit(limit)
+    known = written(known.groupBy("doc_id").agg(F.avg("label").alias("label")), "labels")
+    total, hashed = known.count(), F.xxhash64("doc_id")
+    # Only for speed: enough ids have hashes below this to choose from, so that tasks sort few.
+    some = known.where(hashed < int(-(1 << 63) + (1 << 64) * min(1.0, 2 * limit / max(total, 1)))) if total > 4 * limit else known
+    chosen = (some if some is known or some.count() >= limit else known).orderBy(hashed, "doc_id").limit(limit)
     source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    # At most ``limit`` rows, broadcast; of an id's documents the least text stands for all.
-    own = source.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    # At most ``limit`` rows are broadcast.
+    own = source.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     sample = own.join(F.broadcast(chosen), "doc_id")
     vector = T.StructType([T.StructField("vector", T.BinaryType())])
-    rows = arrow_map(sample, ["text"], vector, lambda: lambda texts: [[features(t).tobytes() for t in texts]], ("doc_id", "label")).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["label"]))
-    matrix = np.array([np.frombuffer(r["vector"], np.float32) for r in rows], np.float32).reshape(-1, WIDTH)
+    rows = arrow_map(sample, ["text"], vector, lambda: lambda texts: [[zlib.compress(features(t).tobytes(), 1) for t in texts]], ("doc_id", "label")).collect()
+    rows.sort(key=lambda r: r["doc_id"])
+    matrix = np.zeros((len(rows), WIDTH), np.float32)
+    for k, r in enumerate(rows):
+        matrix[k] = np.frombuffer(zlib.decompress(r["vector"]), np.float32)
     return Model(matrix, np.array([r["label"] for r in rows]))
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
-    """``keep`` columns and the score, 0 to 1; null and empty texts get one as well."""
+    """``keep`` columns and the score, 0 to 1; whole texts of any length are read.
+
+    Null and empty texts get a score as well, and 0.5 is everyone's where nothing was
+    labelled. All neighbours as near as the last voter vote. Rows that are repeated
+    give repeated results, an empty table none; a kept column of the score's name gives way.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
