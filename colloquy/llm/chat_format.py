@@ -55,6 +55,11 @@ def parse(rendered: str) -> Iterator[tuple[str, str, int, int]]:
 
 def render(role: str | None, text: str | None) -> tuple[str, int, int]:
     """A turn that reads back identical, and the bounds of its text. Null counts as empty."""
+    return _rendered(role, text)[:3]
+
+
+def _rendered(role: str | None, text: str | None) -> tuple[str, int, int, str]:
+    """The same with the role as it reads back."""
     role, text = role or "", text or ""
     for as_role, as_text in (
         (role, text),
@@ -68,7 +73,7 @@ def render(role: str | None, text: str | None) -> tuple[str, int, int]:
         except ValueError:
             continue
         if len(turns) == 1 and turns[0][:2] == (role, text):
-            return out, turns[0][2], turns[0][3]
+            return out, turns[0][2], turns[0][3], turns[0][0]
     raise ValueError("a turn could not be escaped")
 
 
@@ -85,15 +90,17 @@ OUTPUTS = T.StructType(
 def formatted(turns: DataFrame, keep: tuple[str, ...] = ("conv_id", "turn"), role: str = "role", text: str = "text") -> DataFrame:
     """One row per turn: ``keep`` columns, ``rendered``, bounds of its text in it, and ``learned``.
 
-    ``learned`` marks the texts under the loss mask, those of the assistant. The
-    rendered turns of a conversation, in order, are its text; no turn needs another,
-    so a conversation of any length is spread over all tasks.
+    ``learned`` marks the texts under the loss mask, those of turns that read back as the
+    assistant's. The rendered turns of a conversation, in order, are its text; no turn needs
+    another, so a conversation of any length is spread over all tasks. Null roles and
+    texts count as empty. Rows that are repeated give repeated turns, an empty table
+    none; a kept column with the name of an output gives way.
     """
 
     def make():
         def batch(roles, texts):
-            done = [render(r, t) for r, t in zip(roles, texts)]
-            return [x[0] for x in done], [x[1] for x in done], [x[2] for x in done], [r == LEARNED for r in roles]
+            done = [_rendered(r, t) for r, t in zip(roles, texts)]
+            return [x[0] for x in done], [x[1] for x in done], [x[2] for x in done], [x[3] == LEARNED for x in done]
 
         return batch
 
@@ -108,7 +115,7 @@ def digests(rendered: DataFrame) -> DataFrame:
 
     A digest needs the turns one after the other, so each conversation passes one
     task, as a stream of which one batch is held. Turns go by ``turn`` (null first);
-    turns of one number by their rendered text.
+    turns of one number by their rendered text. A null id is a conversation of its own.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +129,7 @@ def digests(rendered: DataFrame) -> DataFrame:
 
         for batch in batches:
             done = []
-            for key, text, learned in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for key, text in zip(*(batch.column(k).to_pylist() for k in range(2))):
                 if state is None or key != conv:
                     if state is not None:
                         done.append(row())
@@ -130,7 +137,7 @@ def digests(rendered: DataFrame) -> DataFrame:
                 for role, content, begin, end in parse(text):
                     state[0] += 1
                     state[1].update(f"{role}\n{content}\n".encode())
-                    if learned:
+                    if role == LEARNED:
                         masked = _ESCAPED.sub(r"<\1|", text[begin:end])
                         state[2] += len(masked)
                         state[3].update(masked.encode())
@@ -142,7 +149,7 @@ def digests(rendered: DataFrame) -> DataFrame:
 
     small_batches(rendered.sparkSession)
     ordered = rendered.repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "turn", "rendered")
-    return ordered.select("conv_id", "rendered", "learned").mapInArrow(read, DIGEST)
+    return ordered.select("conv_id", "rendered").mapInArrow(read, DIGEST)
 
 
 def adversarial(turns: DataFrame) -> DataFrame:

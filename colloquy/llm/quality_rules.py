@@ -16,8 +16,8 @@ WINDOW = 8
 #: A document fails a rule beyond these: words at least; percent of words in repeated
 #: windows, of symbols to letters, of repeated lines among lines.
 MIN_WORDS, MAX_REPEAT, MAX_SYMBOLS, MAX_LINES = 20, 30, 10, 30
-#: A host is rejected if its shrunk failure rate is above this.
-MAX_HOST_RATE = 0.5
+#: A host is rejected if its shrunk failure rate, less so many standard deviations of it, is above the mean of all hosts.
+HOST_BOUND = 1.0
 #: Bounds of the prior's weight in documents; hosts that don't vary give the upper one.
 PRIOR_LEAST, PRIOR_MOST = 1.0, 1000.0
 
@@ -89,10 +89,12 @@ def with_rules(counts: DataFrame) -> DataFrame:
 
 
 def host_rates(ruled: DataFrame, host: str) -> DataFrame:
-    """``host, n_docs, n_bad, rate``: failure rates shrunk to all hosts' mean.
+    """``host, n_docs, n_bad, rate, rejected``: failure rates shrunk to all hosts' mean.
 
     The beta prior has the mean and, by the method of moments, the weight that the
-    hosts' own rates show. Documents without a host are a host of their own.
+    hosts' own rates show. A host whose posterior lies above the prior's mean, by
+    :data:`HOST_BOUND` deviations, is rejected; where hosts hardly vary, the prior weighs much and
+    none is. Documents without a host are a host of their own.
     """
     hosts = ruled.groupBy(F.col(f"`{host}`").alias("host")).agg(
         F.count("*").alias("n_docs"), F.count_if(F.col("n_failed") > 0).alias("n_bad")
@@ -104,28 +106,33 @@ def host_rates(ruled: DataFrame, host: str) -> DataFrame:
     )
     prior = prior.select("m", F.least(F.greatest("w", F.lit(PRIOR_LEAST)), F.lit(PRIOR_MOST)).alias("w")).first()
     m, w = (prior["m"] or 0.0, prior["w"] or PRIOR_MOST) if prior else (0.0, PRIOR_MOST)
-    return hosts.withColumn("rate", (F.col("n_bad") + F.lit(m) * w) / (F.col("n_docs") + F.lit(w)))
+    hosts = hosts.withColumn("rate", (F.col("n_bad") + F.lit(m) * w) / (F.col("n_docs") + F.lit(w)))
+    deviation = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n_docs") + F.lit(w) + 1))
+    return hosts.withColumn("rejected", F.col("rate") - HOST_BOUND * deviation > F.lit(m))
 
 
 def judged(docs: DataFrame, text: str = "text", host: str = "source", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, counts, ``base_failed``, ``n_failed``, ``host_rejected`` and ``kept``.
 
-    A document is kept unless it fails a base rule, or fails any rule on a host whose
-    shrunk failure rate is above :data:`MAX_HOST_RATE`; one that fails none is kept
-    on any host. Repeated rows give repeated results; an empty table gives none.
+    A document is kept unless it fails a base rule, or fails any rule on a rejected host (see
+    :func:`host_rates`); one that fails none is kept on any host. Null and empty texts
+    have no words and so fail. Repeated rows count and give results each; an empty table gives
+    none. A kept column with the name of an output gives way.
     The counts are written once and read for both the hosts and the result.
     """
-    own = [F.col(f"`{c}`") for c in keep]
+    # On the way kept columns have names of their own, so that none clashes.
+    made = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "n_failed", "host_rejected", "kept")
+    keep = tuple(c for c in keep if c not in made)
+    own = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)]
     counts = text_counts(docs.select(*own, F.col(f"`{host}`").alias("_host"), F.col(f"`{text}`").alias("_text")), "_text").drop("_text")
     ruled = written(with_rules(counts), "rules")
-    rejected = written(host_rates(ruled, "_host").where(F.col("rate") > MAX_HOST_RATE).select(F.col("host").alias("_rejected")), "verdicts")
+    rejected = written(host_rates(ruled, "_host").where("rejected").select(F.col("host").alias("_rejected")), "verdicts")
     joined = ruled.join(
         rejected.withColumn("_hit", F.lit(True)), F.col("_host").eqNullSafe(F.col("_rejected")), "left"
     )
     host_rejected = F.coalesce(F.col("_hit"), F.lit(False))
-    return joined.withColumns(
-        {"host_rejected": host_rejected, "kept": ~F.col("base_failed") & ~(host_rejected & (F.col("n_failed") > 0))}
-    ).drop("_host", "_rejected", "_hit")
+    done = joined.withColumns({"host_rejected": host_rejected, "kept": ~F.col("base_failed") & ~(host_rejected & (F.col("n_failed") > 0))})
+    return done.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(keep)), *made)
 
 
 ORACLE = r"""
@@ -160,8 +167,10 @@ WITH d AS (
   SELECT avg(bad / n) AS m, var_pop(bad / n) AS v FROM h
 ), q AS (
   SELECT m, least(1000.0, greatest(1.0, CASE WHEN v > 0 THEN m * (1 - m) / v - 1 ELSE 1000.0 END)) AS s FROM p
+), y AS (
+  SELECT source, m, n + s + 1 AS size, (bad + m * s) / (n + s) AS rate FROM h, q
 ), x AS (
-  SELECT source, (bad + m * s) / (n + s) > 0.5 AS rejected FROM h, q
+  SELECT source, rate - 1.0 * sqrt(rate * (1 - rate) / size) > m AS rejected FROM y
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT (x.rejected AND failed) AS kept, x.rejected AS host_rejected

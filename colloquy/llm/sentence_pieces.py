@@ -45,22 +45,29 @@ class CharacterMap:
 
     def longest(self, data: bytes, at: int) -> tuple[int, bytes] | None:
         """Length of the longest known prefix of ``data[at:]`` and its replacement."""
-        return self.memo[data[at : at + 32]] or None if self.units else None
-
-    def _longest(self, data: bytes):
+        if not self.units:
+            return None
+        found, more = self.memo[data[at : at + 32]]
+        if more and at + 32 < len(data):  # the trie goes on where the remembered bytes end
+            found, _ = self._longest(data, at)
+        return found or None
+
+    def _longest(self, data: bytes, at: int = 0) -> tuple[tuple, bool]:
+        """The prefix found, and whether the trie has more at the end of the data."""
         units, node, found = self.units, 0, ()
         step = lambda u: (u >> 10) << ((u & 512) >> 6)
         node ^= step(units[0])
-        for k, byte in enumerate(data):
+        for k in range(at, len(data)):
+            byte = data[k]
             node ^= byte
             if node >= len(units) or units[node] & 0x800000FF != byte:
-                break
+                return found, False
             unit = units[node]
             node ^= step(unit)
             if unit >> 8 & 1:
                 start = units[node] & 0x7FFFFFFF
-                found = (k + 1, self.targets[start : self.targets.index(b"\0", start)])
-        return found
+                found = (k + 1 - at, self.targets[start : self.targets.index(b"\0", start)])
+        return found, True
 
 
 class Encoder:
@@ -183,8 +190,9 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", keep: tu
 
     ``begins`` and ``ends`` are offsets in the UTF-8 bytes of the text; the end id
     stands at its end. A null text counts as empty: only the end id, decoded as
-    the empty string. Rows that are repeated give repeated results. An input
-    column that has the name of an output gives way to it.
+    the empty string. Whole texts of any length are encoded. Rows that are repeated give
+    repeated results, an empty table none. A kept column that has the name of an output gives
+    way to it; others may have any name.
     """
     with open(model_path, "rb") as file:
         shared = docs.sparkSession.sparkContext.broadcast(file.read())

@@ -51,5 +51,19 @@ def test_hosts(spark):
     assert got[100].kept and not got[100].host_rejected
 
 
+def test_verdicts_bite(spark):
+    """On the small tables some hosts are rejected, and then some documents that no base rule rejects."""
+    from colloquy.llm.queries import QUERIES
+
+    got = QUERIES["op2_quality_rules"](spark, "/root/testdata/sf0.01")
+    assert got.where("host_rejected").count() and got.where("not kept and not base_failed").count()
+
+
+def test_clashes(spark):
+    docs = spark.createDataFrame([(1, LONG, "a", 7, 8, 9)], "doc_id long, text string, source string, _t long, _host long, _hit long")
+    row = Q.judged(docs, keep=("doc_id", "_t", "_host", "_hit")).first()
+    assert (row._t, row._host, row._hit, row.n_words) == (7, 8, 9, 60)
+
+
 def test_empty(spark):
     assert Q.judged(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
