@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Search range, gates and bands of the analysis. Fixed values.
 MIN_HZ, MAX_HZ, GATE, FAR_GATE, VOICING = 60, 400, 0.008, 0.002, 0.45
@@ -51,16 +52,19 @@ def level(energy: Column, gate: float = FAR_GATE) -> Column:
     return F.when(energy < gate, 0.0).otherwise(F.least(F.lit(1.0), energy * 5))
 
 
-def adapted_gains(energies: Column) -> Column:
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def adapted_gains(energies: pd.Series) -> pd.Series:
     """Gain after each frame's energy: steps of 15 % at most toward 0.18, between 1 and 10; silence changes nothing."""
 
-    def step(s: Column, e: Column) -> Column:
-        move = F.least(F.greatest(F.lit(0.18) / e, F.lit(0.85)), F.lit(1.15))
-        gain = F.when(e > 0.001, F.least(F.lit(10.0), F.greatest(F.lit(1.0), s["gain"] * move))).otherwise(s["gain"])
-        return F.struct(gain.alias("gain"), F.concat(s["out"], F.array(gain)).alias("out"))
+    def fold(values: np.ndarray | None) -> list[float] | None:
+        gain, out = 1.0, []
+        for e in () if values is None else values:
+            if e is not None and e > 0.001:
+                gain = min(10.0, max(1.0, gain * min(max(0.18 / e, 0.85), 1.15)))
+            out.append(gain)
+        return None if values is None else out
 
-    start = F.struct(F.lit(1.0).alias("gain"), F.array().cast("array<double>").alias("out"))
-    return F.aggregate(energies, start, step, lambda s: s["out"])
+    return energies.map(fold)
 
 
 @lru_cache(8)

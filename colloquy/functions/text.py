@@ -5,8 +5,6 @@ Offsets count code points.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,8 +12,6 @@ from pyspark.sql import functions as F
 WS = r"\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 #: A word edge where words are ASCII letters, digits and the underscore.
 EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
-#: What stands before and behind a spoken phrase.
-LEAD, TRAIL = rf"(?<=^|[{WS}])", rf"(?=[{WS},.!?]|\z)"
 
 
 def trim(text: Column) -> Column:
@@ -49,36 +45,6 @@ def capitalized(text: Column) -> Column:
     return F.concat(F.upper(F.substring(text, 1, 1)), F.substr(text, F.lit(2)))
 
 
-def any_of(phrases: tuple[str, ...]) -> str:
-    """A pattern of literal phrases."""
-    return "(?:" + "|".join(map(re.escape, phrases)).replace(r"\ ", " ") + ")"
-
-
-def spans(text: Column, pattern: str) -> Column:
-    """All matches as ``array<struct<start, match>>``, found in the row.
-
-    Texts between the matches and the matches themselves give the offsets; both
-    come from the same leftmost scan. Patterns must not match the empty string.
-    """
-    parts = F.zip_with(
-        F.split(text, pattern),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-        lambda gap, match: F.struct(gap.alias("gap"), match.alias("match")),
-    )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, match: string>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        begin = s["at"] + F.length(x["gap"])
-        found = F.array(F.struct(begin.alias("start"), x["match"].alias("match")))
-        return F.struct(
-            (begin + F.coalesce(F.length(x["match"]), F.lit(0))).alias("at"),
-            F.when(x["match"].isNull(), s["out"]).otherwise(F.concat(s["out"], found)).alias("out"),
-        )
-
-    none = F.array().cast("array<struct<start: int, match: string>>")
-    return F.when(text.rlike(pattern), F.aggregate(parts, start, step, lambda s: s["out"])).otherwise(none)
-
-
 def spliced(text: Column, start: Column, end: Column, replacement: Column) -> Column:
     """``text`` with the characters from ``start`` to ``end`` replaced."""
     return F.concat(F.substr(text, F.lit(1), start), replacement, F.substr(text, end + 1))

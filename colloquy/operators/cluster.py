@@ -251,10 +251,16 @@ def fixed_labels(vectors: list, limit: float = FIXED, most: int = MAX_SPEAKERS)
     return out
 
 
-def cluster_vectors(vectors: DataFrame, adaptive: bool = True, most: int = MAX_SPEAKERS) -> DataFrame:
-    """``session_id, win_ord, label`` of every session's vectors; sessions have 400 windows at most."""
+def cluster_vectors(vectors: DataFrame, adaptive: bool = True, most: int = MAX_SPEAKERS, limit: int = 4096) -> DataFrame:
+    """``session_id, win_ord, label`` of every session's vectors.
+
+    Windows are made 400 to a session at most; a session of more than ``limit`` vectors,
+    whose similarities would not fit in a task, is refused.
+    """
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
+        if len(frame) > limit:
+            raise ValueError(f"more than {limit} vectors in session {frame['session_id'].iat[0]}")
         frame = frame.sort_values("win_ord", kind="stable")
         labels = (adaptive_labels if adaptive else fixed_labels)(frame["vector"].tolist(), most=most)
         return pd.DataFrame({"session_id": frame["session_id"], "win_ord": frame["win_ord"], "label": labels})

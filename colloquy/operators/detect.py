@@ -1,12 +1,22 @@
-"""Text detectors: seven kinds of suggestions with exact spans, found inside the segment's row."""
+"""Text detectors: seven kinds of suggestions with exact spans.
+
+Each detector reads a text once, in time in proportion to its length, and gives
+items ``(lex_ord, start, end, replacement, message)`` in their order. All of them look at
+a text in one Arrow pass over the segments; nothing is shuffled.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as X
-from colloquy.schemas import KINDS
+from colloquy.schemas import KINDS, SUGGESTIONS
 
 #: Lexicons; their order is the order of suggestions. Fixed values.
 FILLERS = (
@@ -28,164 +38,152 @@ WEAK_PHRASES = (
 )
 RUN_ON_WORDS, RUN_ON_SPAN, REPEATED_LETTERS, REPEATED_TIMES = 40, 80, 5, 3
 
-ITEM = "array<struct<det_ord: int, lex_ord: int, start: int, end: int, replacement: string, message: string>>"
-
 
-def _item(kind: str, lex: Column, start: Column, end: Column, replacement: Column | str | None, message: Column) -> Column:
-    new = F.lit(replacement) if not isinstance(replacement, Column) else replacement
-    return F.struct(
-        F.lit(KINDS.index(kind)).alias("det_ord"), lex.cast("int").alias("lex_ord"), start.cast("int").alias("start"),
-        end.cast("int").alias("end"), new.cast("string").alias("replacement"), message.alias("message"),
-    )
+Item = tuple[int, int, int, str | None, str]
 
+#: White space as in :data:`text.WS`, what may stand behind a spoken phrase, and letters of words.
+SPACES = frozenset(c for c in map(chr, range(0x10000)) if re.fullmatch(f"[{X.WS}]", c))
+BEHIND, LETTERS = SPACES | set(",.!?"), frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_")
+_RUN, _WORD, _TOKEN = re.compile(f"[{X.WS}]+"), re.compile("[A-Za-z0-9_]+"), re.compile(f"[^{X.WS}]+")
+_SEPARATOR = re.compile(f"[,.]?[{X.WS}]+")
+_ODD_SPACE = re.compile(f"  |[{X.WS}][,.!?]")
+_LONG_WORD = re.compile(rf"\b[a-z']{{{REPEATED_LETTERS},}}\b", re.ASCII)
+_SENTENCE_END = re.compile(f"(?<=[.!?])[{X.WS}]+")
+_LOWER = {c: c + 32 for c in range(65, 91)}
 
-def _lexicon(match: Column, phrases: tuple[str, ...]) -> Column:
-    return F.array_position(F.array(*map(F.lit, phrases)), F.lower(match)) - 1
 
+def lowered(text: str) -> str:
+    """ASCII letters in lower case, so that offsets stay."""
+    return text.lower() if text.isascii() else text.translate(_LOWER)
 
-def _quoted(before: str, word: Column, after: str) -> Column:
-    return F.concat(F.lit(before), word, F.lit(after))
 
+def phrase_starts(low: str, phrase: str, begin: int = 0, end: int | None = None, spoken: bool = True) -> Iterator[int]:
+    """Where a phrase stands in a text in lower case: between blanks or signs, or else (not ``spoken``) between word edges."""
+    at = low.find(phrase, begin, end)
+    while at >= 0:
+        before, behind = low[at - 1 : at], low[at + len(phrase) : at + len(phrase) + 1]
+        if (not before or before in SPACES) and (not behind or behind in BEHIND) if spoken else before not in LETTERS and behind not in LETTERS:
+            yield at
+        at = low.find(phrase, at + 1, end)
 
-def fillers(t: Column) -> Column:
-    """Phrases between blanks or signs; the span takes a space before and a comma behind.
 
-    No phrase overlaps another, so one scan finds what one scan for each would.
-    """
-    found = X.spans(t, f"(?i){X.LEAD}{X.any_of(FILLERS)}{X.TRAIL}")
+def filler(text: str, low: str, k: int, at: int) -> Item:
+    """The span of a filler takes a space before and a comma behind."""
+    end = at + len(FILLERS[k])
+    return k, at - (text[at - 1 : at] == " "), end + (text[end : end + 1] == ","), "", f'Filler word — remove "{text[at:end]}"'
 
-    def item(m: Column) -> Column:
-        end = m["start"] + F.length(m["match"])
-        space = (F.substr(t, m["start"], F.lit(1)) == " ") & (m["start"] > 0)
-        comma = F.substr(t, end + 1, F.lit(1)) == ","
-        return _item(
-            "filler", _lexicon(m["match"], FILLERS), m["start"] - space.cast("int"), end + comma.cast("int"), "",
-            _quoted('Filler word — remove "', m["match"], '"'),
-        )
 
-    return F.transform(found, item)
+def fillers(text: str, low: str) -> Iterator[Item]:
+    for k, phrase in enumerate(FILLERS):
+        for at in phrase_starts(low, phrase):
+            yield filler(text, low, k, at)
 
 
-def stutters(t: Column) -> Column:
+def stutters(text: str, low: str, begin: int = 0, end: int | None = None) -> Iterator[Item]:
     """A word said twice in a row, a comma or full stop between them or not."""
-    pattern = rf"(?i){X.EDGE}(\w+)([,.]?[{X.WS}]+)\1{X.EDGE}"
-    firsts = F.regexp_extract_all(t, F.lit(pattern), F.lit(1))
-    return F.zip_with(
-        X.spans(t, pattern),
-        firsts,
-        lambda m, word: _item(
-            "stutter", F.lit(0), m["start"], m["start"] + F.length(m["match"]), word, _quoted('Repeated word — keep one "', word, '"')
-        ),
-    )
-
-
-def repeated_words(t: Column) -> Column:
-    """Words of five and more letters or apostrophes said three times and more, at their first hit as text.
-
-    Counted by sorting the words with their places: of a word's run, the first
-    element whose second next is the same word stands for all.
-    """
-    low = F.lower(t)
-    tokens = F.regexp_extract_all(low, F.lit(rf"{X.EDGE}[a-z']{{{REPEATED_LETTERS},}}{X.EDGE}"), F.lit(0))
-    ordered = F.sort_array(F.transform(tokens, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
-    nothing = F.array().cast("array<struct<w: string, i: int, n: int>>")
-
-    def fold(s: Column, e: Column) -> Column:
-        same = s["w"].eqNullSafe(e["w"])
-        done = F.when(~same & (s["n"] >= REPEATED_TIMES), F.concat(s["out"], F.array(F.struct(s["w"], s["i"], s["n"])))).otherwise(s["out"])
-        return F.struct(
-            e["w"].alias("w"), F.when(same, s["i"]).otherwise(e["i"]).alias("i"), F.when(same, s["n"] + 1).otherwise(F.lit(1)).alias("n"), done.alias("out")
-        )
-
-    start = F.struct(F.lit(None).cast("string").alias("w"), F.lit(0).alias("i"), F.lit(0).alias("n"), nothing.alias("out"))
-    end = F.array(F.struct(F.lit(None).cast("string").alias("w"), F.lit(0).alias("i")))
-    runs = F.aggregate(F.concat(ordered, end), start, fold, lambda s: s["out"])
-    by_place = F.sort_array(F.transform(runs, lambda r: F.struct(r["i"].alias("i"), r["w"].alias("w"), r["n"].alias("n"))))
-
-    def item(r: Column, k: Column) -> Column:
-        at = F.call_function("locate", r["w"], low) - 1
-        message = F.concat(F.lit('"'), r["w"], F.lit('" appears '), r["n"].cast("string"), F.lit("× in this passage — consider varying the wording"))
-        return _item("repeated-word", k, at, at + F.length(r["w"]), None, message)
-
-    return F.transform(by_place, item)
-
-
-def hedges(t: Column) -> Column:
-    found = X.spans(t, f"(?i){X.LEAD}{X.any_of(HEDGES)}{X.TRAIL}")
-    return F.transform(
-        found,
-        lambda m: _item(
-            "hedge", _lexicon(m["match"], HEDGES), m["start"], m["start"] + F.length(m["match"]), None,
-            _quoted('Hedging phrase — "', m["match"], '" may weaken the point'),
-        ),
-    )
-
-
-def weak_phrases(t: Column) -> Column:
-    phrases, new, messages = zip(*WEAK_PHRASES)
-    found = X.spans(t, f"(?i){X.EDGE}{X.any_of(phrases)}{X.EDGE}")
-    pick = lambda values, m: F.element_at(F.array(*map(F.lit, values)), F.array_position(F.array(*map(F.lit, phrases)), F.lower(m)).cast("int"))
-    return F.transform(
-        found,
-        lambda m: _item(
-            "weak-phrase", _lexicon(m["match"], phrases), m["start"], m["start"] + F.length(m["match"]), pick(new, m["match"]), pick(messages, m["match"])
-        ),
-    )
-
-
-def run_ons(t: Column) -> Column:
-    """Sentences of more than forty words, from where they stand, eighty characters at most."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s: string, at: int>>").alias("out"))
+    last = None
+    for m in _WORD.finditer(low, begin, len(low) if end is None else end):
+        if last and last[0] == m[0] and _SEPARATOR.fullmatch(text, last.end(), m.start()):
+            word = text[last.start() : last.end()]
+            yield 0, last.start(), m.end(), word, f'Repeated word — keep one "{word}"'
+            last = None  # the second can't be the first of another
+        else:
+            last = m
 
-    def step(s: Column, x: Column) -> Column:
-        long = F.size(X.words(x)) > RUN_ON_WORDS
-        return F.struct(
-            (s["at"] + F.length(x)).alias("at"),
-            F.when(long, F.concat(s["out"], F.array(F.struct(x.alias("s"), s["at"].alias("at"))))).otherwise(s["out"]).alias("out"),
-        )
 
-    found = F.aggregate(X.sentences(t), start, step, lambda s: s["out"])
+def repeated_words(text: str, low: str) -> Iterator[Item]:
+    """Words of five and more letters or apostrophes said three times and more, at their first hit as text, in order of their first."""
+    low = text.lower()
+    often = [(w, n) for w, n in Counter(_LONG_WORD.findall(low)).items() if n >= REPEATED_TIMES]
+    for k, (word, n) in enumerate(often):
+        at = low.find(word)
+        yield k, at, at + len(word), None, f'"{word}" appears {n}× in this passage — consider varying the wording'
 
-    def item(m: Column) -> Column:
-        at = F.call_function("locate", m["s"], t, m["at"] + 1) - 1
-        n = F.size(X.words(m["s"])).cast("string")
-        return _item("run-on", F.lit(0), at, at + F.least(F.length(m["s"]), F.lit(RUN_ON_SPAN)), None, F.concat(F.lit("Long sentence ("), n, F.lit(" words) — consider splitting it up")))
 
-    return F.transform(found, item)
+def hedges(text: str, low: str) -> Iterator[Item]:
+    """Every phrase by itself, as phrases may share words."""
+    for k, phrase in enumerate(HEDGES):
+        for at in phrase_starts(low, phrase):
+            yield k, at, at + len(phrase), None, f'Hedging phrase — "{text[at:at + len(phrase)]}" may weaken the point'
 
 
-def spacing(t: Column) -> Column:
-    def item(m: Column) -> Column:
-        double = m["match"].contains("  ")
-        return _item(
-            "spacing", F.lit(0), m["start"], m["start"] + F.length(m["match"]), F.when(double, " ").otherwise(""),
-            F.when(double, "Extra whitespace").otherwise("Space before punctuation"),
-        )
+def weak_phrases(text: str, low: str) -> Iterator[Item]:
+    for k, (phrase, new, message) in enumerate(WEAK_PHRASES):
+        for at in phrase_starts(low, phrase, spoken=False):
+            yield k, at, at + len(phrase), new, message
 
-    return F.transform(X.spans(t, rf" {{2,}}|[{X.WS}]+(?=[,.!?])"), item)
 
-
-DETECTORS = dict(zip(KINDS, (fillers, stutters, repeated_words, hedges, weak_phrases, run_ons, spacing)))
+def run_ons(text: str, low: str) -> Iterator[Item]:
+    """Sentences of more than forty words, from where they stand, eighty characters at most."""
+    at = 0
+    for sentence in _SENTENCE_END.split(text):
+        if len(sentence) > 2 * RUN_ON_WORDS:
+            n = len(_TOKEN.findall(sentence))
+            if n > RUN_ON_WORDS:
+                begin = text.find(sentence, at)
+                yield 0, begin, begin + min(len(sentence), RUN_ON_SPAN), None, f"Long sentence ({n} words) — consider splitting it up"
+        at += len(sentence)
+
+
+def spacing(text: str, low: str, begin: int = 0, end: int | None = None) -> Iterator[Item]:
+    """Two spaces and more, and white space before a sign."""
+    end = len(text) if end is None else end
+    if not _ODD_SPACE.search(text, begin, min(end + 1, len(text))):
+        return
+    for run in _RUN.finditer(text, begin, end):
+        at, stop = run.span()
+        sign = text[stop : stop + 1] in (",", ".", "!", "?")
+        while at < stop:
+            to = stop if sign else at + 1
+            if text.startswith("  ", at):
+                to = at
+                while to < stop and text[to] == " ":
+                    to += 1
+            if sign or to - at > 1:
+                double = "  " in text[at:to]
+                yield (0, at, to, " ", "Extra whitespace") if double else (0, at, to, "", "Space before punctuation")
+            at = to
+
+
+DETECTORS: dict[str, Callable[[str, str], Iterator[Item]]] = dict(
+    zip(KINDS, (fillers, stutters, repeated_words, hedges, weak_phrases, run_ons, spacing))
+)
 #: Kinds whose suggestions have a replacement, always; the others' never have one.
 FIXABLE = ("filler", "stutter", "weak-phrase", "spacing")
 
 
+def found_in(text: str, kinds: tuple[str, ...] = KINDS) -> Iterator[tuple[str, Item]]:
+    """All suggestions for one text with their kinds."""
+    low = lowered(text)
+    for kind in kinds:
+        for item in DETECTORS[kind](text, low):
+            yield kind, item
+
+
 def suggestions(segments: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """One row per suggestion of final segments that are not blank; see ``schemas.SUGGESTIONS``.
 
-    All detectors look at a segment in one pass over its row, so nothing is shuffled
-    or read twice. Their order is (seg_ord, det_ord, lex_ord, start).
+    All detectors look at a segment in one pass, so nothing is shuffled or read
+    twice. Their order is (seg_ord, det_ord, lex_ord, start).
     """
-    t = F.col("text")
-    final = segments.where(~F.coalesce(F.col("interim"), F.lit(False)) & ~X.is_blank(t))
-    found = F.concat(*(DETECTORS[k](t).cast(ITEM) for k in kinds))
-    rows = final.select("session_id", "seg_id", "seg_ord", "text", F.explode(found).alias("m"))
-    kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("m.det_ord") + 1)
-    excerpt = F.substr(t, F.col("m.start") + 1, F.col("m.end") - F.col("m.start"))
-    return rows.select(
-        "session_id", "seg_id", "seg_ord", kind.alias("kind"), "m.det_ord", "m.lex_ord", "m.start", "m.end",
-        excerpt.alias("excerpt"), "m.replacement", "m.message",
-    )
+    final = segments.where(~F.coalesce(F.col("interim"), F.lit(False)) & ~X.is_blank(F.col("text")))
+    names = [field.split()[0] for field in SUGGESTIONS.split(", ")]
+    types = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    kinds_ = [types[field.split()[1]] for field in SUGGESTIONS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for session, segment, order, text in zip(*(c.to_pylist() for c in batch.columns)):
+                for kind, (lex, start, end, new, message) in found_in(text, kinds):
+                    out.append((session, segment, order, kind, KINDS.index(kind), lex, start, end, text[start:end], new, message))
+                if len(out) >= 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds_)], names=names)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds_)], names=names)
+
+    return final.select("session_id", "seg_id", F.col("seg_ord").cast("bigint").alias("seg_ord"), "text").mapInArrow(run, SUGGESTIONS)
 
 
 def counts_by_kind(found: DataFrame) -> DataFrame:

@@ -77,7 +77,8 @@ def overlap_vote(words: DataFrame, windows: DataFrame, key: str = "word_ord", pa
 
 
 def _voted(pairs: DataFrame, key: str, label: str, order: str) -> DataFrame:
-    votes = pairs.groupBy("session_id", key, label).agg(F.sum("overlap_s").alias("_vote"), F.min(order).alias("_first"))
+    # Rounded, as sums of doubles depend on the order of their parts, which no shuffle keeps.
+    votes = pairs.groupBy("session_id", key, label).agg(F.round(F.sum("overlap_s"), 9).alias("_vote"), F.min(order).alias("_first"))
     return votes.groupBy("session_id", key).agg(F.min_by(label, F.struct(-F.col("_vote"), "_first")).alias(label))
 
 
@@ -163,7 +164,6 @@ def hop_windows(frames: DataFrame, most: int = MAX_WINDOWS) -> DataFrame:
     rows = spans.select("session_id", "run", "_start", "_end", "_hop", k)
     begin = F.col("_start") + F.col("_k") * F.col("_hop")
     rows = rows.withColumns({"start_s": begin, "end_s": F.least(begin + WINDOW, F.col("_end"))})
-    long = F.col("end_s") - F.col("start_s") >= MIN_WINDOW
     short_first = (F.col("_k") == 0) & (F.col("run") == 0)
     rows = rows.where((F.col("end_s") - F.col("start_s") >= MIN_WINDOW) | short_first)
     number = F.row_number().over(Window.partitionBy("session_id").orderBy("run", "_k")) - 1

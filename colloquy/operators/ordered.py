@@ -2,46 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-
-def _folded(labels: Column, both: bool) -> Column:
-    """Inner labels unlike both neighbours take the left one's value, from left to right.
+from collections.abc import Callable, Iterator
 
-    ``both``: only where the neighbours agree.
-    """
-    n = F.size(labels)
-
-    def step(s: Column, i: Column) -> Column:
-        here, left, right = F.get(labels, i), s["last"], F.get(labels, i + 1)
-        alone = (i > 0) & (i < n - 1) & (here != left) & (here != right)
-        if both:
-            alone = alone & (left == right)
-        new = F.when(alone, left).otherwise(here)
-        return F.struct(new.alias("last"), F.concat(s["out"], F.array(new)).alias("out"))
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-    start = F.struct(F.lit(None).cast("int").alias("last"), F.array().cast("array<int>").alias("out"))
-    return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), start, step, lambda s: s["out"])).otherwise(labels)
+#: (label before, as changed; label; label behind) of an inner label -> whether it takes the one before.
+Alone = Callable[[int, int, int], bool]
 
 
-def absorbed(labels: Column) -> Column:
+def absorbed(left: int, here: int, right: int) -> bool:
     """A single label between others takes the one before: [0, 1, 2, 2] -> [0, 0, 2, 2]."""
-    return _folded(labels, both=False)
+    return here != left and here != right
 
 
-def smoothed(labels: Column) -> Column:
+def smoothed(left: int, here: int, right: int) -> bool:
     """A single label between two equal ones takes theirs: [0, 1, 0, 1, 0] -> [0, 0, 0, 0, 0]."""
-    return _folded(labels, both=True)
+    return here != left and left == right
 
 
-def by_session(rows: DataFrame, key: str, label: str, fold) -> DataFrame:
+def folded(labels: list[int | None], alone: Alone) -> list[int | None]:
+    """One session's labels; a missing label changes nothing and is not changed."""
+    out = list(labels)
+    for i in range(1, len(out) - 1):
+        if None not in (out[i - 1], out[i], out[i + 1]) and alone(out[i - 1], out[i], out[i + 1]):
+            out[i] = out[i - 1]
+    return out
+
+
+def by_session(rows: DataFrame, key: str, label: str, alone: Alone) -> DataFrame:
     """``rows`` with ``label`` folded in the order of ``key``.
 
-    A session's keys and labels are one array, twelve bytes for each row.
+    Rows are dealt by session once and pass in order as a stream, of which one batch and
+    the row before it are held, so a session may have any length.
     """
-    listed = rows.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(label).cast("int").alias("l")))).alias("_rows"))
-    keyed = listed.withColumn("_keys", F.transform("_rows", lambda x: x["k"])).withColumn("_labels", F.transform("_rows", lambda x: x["l"]))
-    new = keyed.withColumn("_new", fold(F.col("_labels")))
-    flat = new.select("session_id", F.explode(F.arrays_zip("_keys", "_new")).alias("x")).select("session_id", F.col("x._keys").alias(key), F.col("x._new").alias(label))
-    return rows.drop(label).join(flat, ["session_id", key]).select(*rows.columns)
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, left, held = object(), None, None  # the session and label before; the last row, which waits for the next
+        for batch in batches:
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            sessions, labels = batch.column("session_id").to_pylist(), batch.column(label).to_pylist()
+            new = labels[:-1]
+            for i, here in enumerate(new):
+                if sessions[i] == session and sessions[i + 1] == session and None not in (left, here, labels[i + 1]) and alone(left, here, labels[i + 1]):
+                    new[i] = here = left
+                session, left = sessions[i], here
+            held = batch.slice(len(new))
+            if new:
+                yield _with(batch.slice(0, len(new)), new)
+        if held is not None:
+            yield _with(held, held.column(label).to_pylist())  # a session's last label stays
+
+    def _with(batch: pa.RecordBatch, new: list) -> pa.RecordBatch:
+        own = batch.schema.get_field_index(label)
+        return pa.RecordBatch.from_arrays([pa.array(new, pa.int32()) if i == own else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+
+    source = rows.withColumn(label, F.col(label).cast("int"))
+    ordered = source.repartition("session_id").sortWithinPartitions("session_id", key)
+    return ordered.mapInArrow(run, ordered.schema).select(*names)

@@ -59,22 +59,30 @@ def renamed_speaker(speakers: DataFrame, session_id: str, speaker_id: int, name:
 
 def remapped(segments: DataFrame, speakers: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Segments and speakers after merges ``(session_id, from_id, to_id)``; chains are followed first."""
-    alias = resolved_aliases(merges)
+    alias = resolved_aliases(merges).where("from_id <> to_id")
     tagged = segments.join(alias.withColumnRenamed("from_id", "speaker_id"), ["session_id", "speaker_id"], "left")
     tagged = tagged.withColumn("speaker_id", F.coalesce("to_id", "speaker_id")).select(segments.columns)
     gone = alias.select("session_id", F.col("from_id").alias("id"))
     return tagged, speakers.join(gone, ["session_id", "id"], "left_anti")
 
 
-def resolved_aliases(merges: DataFrame, most: int = 8) -> DataFrame:
-    """Each merged speaker with the one that remains. A session has ``most`` speakers at once, chains are short.
+def resolved_aliases(merges: DataFrame) -> DataFrame:
+    """Each merged speaker with the one that remains: ``session_id, from_id, to_id``.
 
-    The chain is followed inside the session's map of merges.
+    Of several merges of one speaker the last by ``seq`` counts or, without such a column, the one
+    into the least id. Merges in a circle make all of it its least id. The chain is
+    followed inside the session's map of merges.
     """
-    maps = merges.groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct("from_id", "to_id"))).alias("_m"))
+    last = F.max_by("to_id", F.struct("seq", -F.col("to_id"))) if "seq" in merges.columns else F.min("to_id")
+    single = merges.groupBy("session_id", "from_id").agg(last.alias("to_id"))
+    maps = single.groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct("from_id", "to_id"))).alias("_m"))
     rows = maps.select("session_id", "_m", F.explode(F.map_keys("_m")).alias("from_id"))
-    follow = F.aggregate(F.sequence(F.lit(1), F.size("_m")), F.col("from_id"), lambda x, _: F.coalesce(F.try_element_at("_m", x), x))
-    return rows.select("session_id", "from_id", follow.alias("to_id"))
+    steps = F.sequence(F.lit(1), F.size("_m"))
+    follow = lambda x: F.coalesce(F.try_element_at("_m", x), x)
+    end = F.aggregate(steps, F.col("from_id"), lambda x, _: follow(x))
+    # As many steps again go round a circle, or stay at the end of a chain.
+    least = F.aggregate(steps, F.struct(end.alias("at"), end.alias("least")), lambda s, _: F.struct(follow(s["at"]).alias("at"), F.least(s["least"], follow(s["at"])).alias("least")))
+    return rows.select("session_id", "from_id", least["least"].alias("to_id"))
 
 
 def assigned(segments: DataFrame, speakers: DataFrame, session_id: str, seg_id: str, speaker_id: int | None) -> tuple[DataFrame, DataFrame]:

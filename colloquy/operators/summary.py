@@ -100,22 +100,30 @@ def _pick(ranked: Column, k: int) -> Column:
     return F.aggregate(ranked, F.array().cast(PICK), step)
 
 
+def _sections(prose: Column, template: str, body) -> Column:
+    """``body(overview, key points)`` of the prose of one session, best first."""
+    overview = lambda p, o: F.filter(p, lambda x: ~F.exists(o, lambda y: y["ord"] == x["ord"]))
+    return _let(F.array_sort(prose).cast(PICK), lambda p: _let(_pick(p, OVERVIEW), lambda o: body(o, _pick(overview(p, o), KEY_POINTS[template]))))
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _prose() -> Column:
+    """The sentences of prose as entries of which the best come first."""
+    return F.collect_list(F.when(F.col("kind") == "prose", F.struct((-F.col("score")).alias("rank"), "ord", "text", "words")))
+
+
 def picked(rows: DataFrame, template: str) -> DataFrame:
     """``session_id, section, ord, text`` of overview and key points, from classified sentences.
 
     The prose of one session is one array, best first; its size is that of the session.
     """
-    prose = rows.where(F.col("kind") == "prose").groupBy("session_id").agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("rank"), "ord", "text", "words"))).cast(PICK).alias("ranked")
-    )
-    prose = prose.withColumn("overview", _pick(F.col("ranked"), OVERVIEW))
-    rest = F.filter("ranked", lambda x: ~F.array_contains(F.transform("overview", lambda p: p["ord"]), x["ord"]))
-    prose = prose.withColumn("_rest", rest).withColumn("key_points", _pick(F.col("_rest"), KEY_POINTS[template]))
-    both = [
-        prose.select("session_id", F.lit(name).alias("section"), F.explode(name).alias("s")).select("session_id", "section", "s.ord", "s.text")
-        for name in ("overview", "key_points")
-    ]
-    return both[0].unionByName(both[1])
+    section = lambda name, x: F.transform(x, lambda s: F.struct(F.lit(name).alias("section"), s["ord"].alias("ord"), s["text"].alias("text")))
+    both = _sections(_prose(), template, lambda o, k: F.concat(section("overview", o), section("key_points", k)))
+    return rows.groupBy("session_id").agg(both.alias("both")).select("session_id", F.explode("both").alias("s")).select("session_id", "s.*")
 
 
 def first_items(rows: DataFrame, which: str, limit: int) -> DataFrame:
@@ -129,15 +137,21 @@ def top_questions(rows: DataFrame, limit: int) -> DataFrame:
     return rows.where(F.col("kind") == "question").withColumn("nth", nth).where(F.col("nth") <= limit).drop("nth")
 
 
-def qa_pairs(rows: DataFrame, limit: int = PAIRS) -> DataFrame:
-    """Questions with the first of the next three sentences that someone else says and that asks nothing."""
+def _answer() -> Column:
+    """Of a question, the first of the next three sentences that someone else says and that asks nothing."""
     by = Window.partitionBy("session_id").orderBy("ord")
     asks = F.col("kind") == "question"
     candidates = []
     for k in (1, 2, 3):
         ok = ~F.lead(asks, k).over(by) & (F.lead("speaker_id", k).over(by) != F.col("speaker_id"))
         candidates.append(F.when(ok, F.struct(F.lead("text", k).over(by).alias("text"), F.lead("speaker_id", k).over(by).alias("speaker_id"))))
-    pairs = rows.withColumn("_answer", F.coalesce(*candidates)).where(asks & F.col("_answer").isNotNull())
+    return F.when(asks, F.coalesce(*candidates))
+
+
+def qa_pairs(rows: DataFrame, limit: int = PAIRS) -> DataFrame:
+    """Questions with the first of the next three sentences that someone else says and that asks nothing."""
+    by = Window.partitionBy("session_id").orderBy("ord")
+    pairs = rows.withColumn("_answer", _answer()).where(F.col("_answer").isNotNull())
     pairs = pairs.withColumn("_nth", F.row_number().over(by)).where(F.col("_nth") <= limit)
     return pairs.select(
         "session_id", "ord", F.col("text").alias("question"), F.col("_answer.text").alias("answer"),
@@ -145,32 +159,40 @@ def qa_pairs(rows: DataFrame, limit: int = PAIRS) -> DataFrame:
     )
 
 
+_LINE = "array<struct<section: string, ord: int, text: string, owner_id: int, answer: string, answerer_id: int>>"
+
+
 def summary(segments: DataFrame, template: str = "meeting") -> DataFrame:
     """Long form: ``session_id, section, ord, text, owner_id, answer, answerer_id``.
 
     Sections are overview, key_points, action_items, decisions, questions and, for
-    interviews, qa_pairs.
+    interviews, qa_pairs. Sentences are made and classified once; windows over the
+    session number them, and one aggregation takes all sections.
     """
-    rows = classified(segments)
-    blank = {"owner_id": F.lit(None).cast("int"), "answer": F.lit(None).cast("string"), "answerer_id": F.lit(None).cast("int")}
-    named = lambda df, section: df.select("session_id", F.lit(section).alias("section"), "ord", "text")
-    out = picked(rows, template).withColumns(blank)
-    actions = first_items(rows, "action", ITEMS)
-    out = out.unionByName(
-        actions.select("session_id", F.lit("action_items").alias("section"), "ord", "text", F.col("speaker_id").alias("owner_id")).withColumns(
-            {k: v for k, v in blank.items() if k != "owner_id"}
-        )
-    )
-    out = out.unionByName(named(first_items(rows, "decision", DECISIONS_KEPT), "decisions").withColumns(blank))
-    out = out.unionByName(named(top_questions(rows, QUESTIONS[template]), "questions").withColumns(blank))
+    by = Window.partitionBy("session_id", "kind")
+    rows = classified(segments).withColumns({"_nth": F.row_number().over(by.orderBy("ord")), "_best": F.row_number().over(by.orderBy(F.desc("score"), "ord"))})
+    kind = F.col("kind")
+    none = {"owner_id": F.lit(None).cast("int"), "answer": F.lit(None).cast("string"), "answerer_id": F.lit(None).cast("int")}
+
+    def lines(which: Column, section: str, **more: Column) -> Column:
+        values = none | more
+        return F.collect_list(F.when(which, F.struct(F.lit(section).alias("section"), "ord", "text", *(v.alias(k) for k, v in values.items())))).cast(_LINE)
+
+    listed = [
+        lines((kind == "action") & (F.col("_nth") <= ITEMS), "action_items", owner_id=F.col("speaker_id")),
+        lines((kind == "decision") & (F.col("_nth") <= DECISIONS_KEPT), "decisions"),
+        lines((kind == "question") & (F.col("_best") <= QUESTIONS[template]), "questions"),
+    ]
     if template == "interview":
-        out = out.unionByName(
-            qa_pairs(rows).select(
-                "session_id", F.lit("qa_pairs").alias("section"), "ord", F.col("question").alias("text"),
-                F.col("asker_id").alias("owner_id"), "answer", "answerer_id",
-            )
-        )
-    return out
+        rows = rows.withColumn("_answer", _answer())
+        answered = F.count_if(F.col("_answer").isNotNull()).over(Window.partitionBy("session_id").orderBy("ord"))
+        rows = rows.withColumn("_pair", answered)
+        pair = F.col("_answer").isNotNull() & (F.col("_pair") <= PAIRS)
+        listed.append(lines(pair, "qa_pairs", owner_id=F.col("speaker_id"), answer=F.col("_answer.text"), answerer_id=F.col("_answer.speaker_id")))
+    section = lambda name, x: F.transform(x, lambda s: F.struct(F.lit(name).alias("section"), s["ord"].alias("ord"), s["text"].alias("text"), *(v.alias(k) for k, v in none.items())))
+    prose = _sections(_prose(), template, lambda o, k: F.concat(section("overview", o), section("key_points", k))).cast(_LINE)
+    whole = rows.groupBy("session_id").agg(F.concat(prose, *listed).alias("lines"))
+    return whole.select("session_id", F.explode("lines").alias("x")).select("session_id", "x.*")
 
 
 #: Sections in the order of the text, their headings and line starts. Fixed values.

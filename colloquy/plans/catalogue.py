@@ -135,6 +135,45 @@ def stutter_counts(spark, sf_dir):
     return found.groupBy("session_id").agg(F.count("*").alias("n"))
 
 
+#: The stutters of a run of equal words are its first and second, third and fourth, and so on.
+_STUTTER_SPANS = r"""w AS (
+  SELECT doc_id, text, unnest(t) AS word, unnest(s[2:]) AS sep, unnest(range(len(t))) AS i, s[1] AS head FROM (
+    SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z0-9_]+') AS t, regexp_split_to_array(text, '[A-Za-z0-9_]+') AS s FROM documents)
+), placed AS (
+  SELECT *, length(head) + sum(length(word) + length(sep)) OVER o - length(word) - length(sep) AS pos, lead(word) OVER p AS next,
+    lower(word) = lower(lag(word) OVER p) AND regexp_full_match(lag(sep) OVER p, '[,.]?\s+') AS same
+  FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i), p AS (PARTITION BY doc_id ORDER BY i)
+), runs AS (
+  SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM placed
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, run ORDER BY i) AS k, count(*) OVER (PARTITION BY doc_id, run) AS n FROM runs
+)"""
+
+
+@query(
+    f"""WITH {_STUTTER_SPANS} SELECT doc_id::VARCHAR AS session_id, pos::INTEGER AS start, (pos + length(word) + length(sep) + length(next))::INTEGER AS "end", word AS replacement
+FROM numbered WHERE k % 2 = 1 AND k < n"""
+)
+def stutter_spans(spark, sf_dir):
+    found = detect.suggestions(D.document_segments(spark, sf_dir), ("stutter",))
+    return found.select("session_id", "start", "end", "replacement")
+
+
+#: Spaces and the signs behind them, piece by piece: two spaces and more, or any white space before a sign.
+@query(
+    rf"""WITH {D.SPOKEN}, m AS (
+  SELECT session_id, seg_id, unnest(p) AS piece, unnest(range(len(p))) AS i, (SELECT regexp_split_to_array(text, ' {{2,}}|\s+[,.!?]')) AS gaps
+  FROM (SELECT *, regexp_extract_all(text, ' {{2,}}|\s+[,.!?]') AS p FROM seg)
+), placed AS (
+  SELECT *, (list_sum(list_transform(gaps[:i + 1], lambda g: length(g))) + coalesce(sum(length(piece)) OVER (PARTITION BY session_id, seg_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INTEGER AS start FROM m
+) SELECT session_id, seg_id, start, (start + length(regexp_replace(piece, '[,.!?]$', '')))::INTEGER AS "end",
+  CASE WHEN contains(piece, '  ') THEN ' ' ELSE '' END AS replacement FROM placed"""
+)
+def spacing_spans(spark, sf_dir):
+    found = detect.suggestions(D.spoken_segments(spark, sf_dir), ("spacing",))
+    return found.select("session_id", "seg_id", "start", "end", "replacement")
+
+
 _REPEATED = r"""rep AS (
   SELECT session_id, seg_ord, word, count(*) AS n, min(text) AS text
   FROM (SELECT session_id, seg_ord, text, unnest(regexp_extract_all(lower(text), '\b[a-z'']{5,}\b')) AS word FROM seg) GROUP BY 1, 2, 3 HAVING count(*) >= 3
@@ -150,10 +189,16 @@ def repeated_words(spark, sf_dir):
     return found.select("session_id", "seg_ord", "start", (F.col("end") - F.col("start")).alias("length"), "message")
 
 
+#: Every place of every phrase, one phrase at a time, between blanks or signs.
+_HEDGES = ", ".join(f"('{h}')" for h in detect.HEDGES)
+
+
 @query(
-    rf"""WITH {D.SPOKEN}, h AS (
-  SELECT session_id, seg_id, text, unnest(regexp_extract_all(text, '(?i)(^|\s)({"|".join(detect.HEDGES)})([\s,.!?]|$)', 2)) AS excerpt FROM seg
-) SELECT session_id, seg_id, (instr(text, excerpt) - 1)::INTEGER AS start, excerpt FROM h"""
+    rf"""WITH {D.SPOKEN}, p(phrase) AS (VALUES {_HEDGES}), places AS (
+  SELECT session_id, seg_id, text, phrase, unnest(range(1, length(text) + 1)) AS i FROM seg JOIN p ON contains(lower(text), phrase)
+) SELECT session_id, seg_id, (i - 1)::INTEGER AS start, substr(text, i, length(phrase)) AS excerpt FROM places
+WHERE lower(substr(text, i, length(phrase))) = phrase AND (i = 1 OR regexp_full_match(substr(text, i - 1, 1), '\s'))
+  AND (i + length(phrase) > length(text) OR regexp_full_match(substr(text, i + length(phrase), 1), '[\s,.!?]'))"""
 )
 def hedge_spans(spark, sf_dir):
     return detect.suggestions(D.spoken_segments(spark, sf_dir), ("hedge",)).select("session_id", "seg_id", "start", "excerpt")
@@ -275,12 +320,60 @@ def qa_pairs(spark, sf_dir):
     return summary.qa_pairs(summary.classified(D.spoken_segments(spark, sf_dir)))
 
 
-@query()
+def _picks(source: str, name: str, k: int) -> str:
+    """Sentences of ``source`` picked best first unless they are like one picked before, up to ``k``; name_rank and name are CTEs."""
+    return f"""{name}_rank AS (
+  SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, ord) AS rk FROM {source}
+), {name}_step AS (
+  SELECT session_id, 1::BIGINT AS rk, [words] AS held, [ord] AS ords FROM {name}_rank WHERE rk = 1
+  UNION ALL
+  SELECT s.session_id, s.rk + 1, CASE WHEN skip THEN held ELSE list_append(held, words) END, CASE WHEN skip THEN ords ELSE list_append(ords, ord) END
+  FROM (SELECT s.*, r.words, r.ord, len(held) >= {k} OR len(list_filter(held, lambda h: len(list_distinct(list_concat(h, r.words))) > 0
+      AND len(list_intersect(h, r.words)) / len(list_distinct(list_concat(h, r.words))) > 0.6)) > 0 AS skip
+    FROM {name}_step s JOIN {name}_rank r ON r.session_id = s.session_id AND r.rk = s.rk + 1) s
+), {name} AS (
+  SELECT r.* FROM {name}_rank r JOIN (SELECT session_id, arg_max(ords, rk) AS ords FROM {name}_step GROUP BY session_id) USING (session_id) WHERE list_contains(ords, ord)
+)"""
+
+
+def _sections_sql(template: str) -> str:
+    """Prose, overview and key points as CTEs."""
+    return f"""prose AS (SELECT * FROM scored WHERE kind = 'prose'), {_picks("prose", "overview", summary.OVERVIEW)},
+rest AS (SELECT * FROM prose WHERE (session_id, ord) NOT IN (SELECT (session_id, ord) FROM overview)), {_picks("rest", "key_points", summary.KEY_POINTS[template])}"""
+
+
+@query(
+    f"""WITH RECURSIVE {D.SEGMENTS}, {_SENTENCES}, {_sections_sql("meeting")}
+SELECT session_id, 'overview' AS section, ord, text FROM overview UNION ALL SELECT session_id, 'key_points', ord, text FROM key_points"""
+)
 def distinct_key_points(spark, sf_dir):
     return summary.picked(summary.classified(D.conversation_segments(spark, sf_dir)), "meeting")
 
 
-@query()
+def _summary_sql(template: str, name: str) -> str:
+    """CTE ``summaries``: each session's summary as text and whether it has more than pairs; ``name`` is an owner's name in SQL."""
+    pairs = f"""pair AS (
+  SELECT q.session_id, q.ord, q.text, min(a.ord) AS a_ord FROM scored q JOIN scored a ON q.session_id = a.session_id AND a.ord > q.ord AND a.ord <= q.ord + 3
+    AND a.speaker_id <> q.speaker_id AND a.kind <> 'question' WHERE q.kind = 'question' GROUP BY q.session_id, q.ord, q.text QUALIFY row_number() OVER (PARTITION BY q.session_id ORDER BY q.ord) <= 10
+)"""
+    asked = "SELECT p.session_id, 4, 'Q & A', p.ord, '  Q: ' || p.text || chr(10) || '  A: ' || a.text FROM pair p JOIN scored a ON p.session_id = a.session_id AND a.ord = p.a_ord UNION ALL" if template == "interview" else ""
+    unasked = "WHERE session_id NOT IN (SELECT session_id FROM pair)" if template == "interview" else ""
+    return f"""{_sections_sql(template)}, {pairs}, lines(session_id, place, heading, ord, line) AS (
+  SELECT session_id, 0, 'OVERVIEW', ord, '  ' || text FROM overview UNION ALL SELECT session_id, 1, 'KEY POINTS', ord, '  - ' || text FROM key_points UNION ALL
+  SELECT session_id, 2, 'ACTION ITEMS', ord, '  [ ] ' || text || ' (' || {name} || ')' FROM (SELECT * FROM scored WHERE kind = 'action' QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY ord) <= 12) UNION ALL
+  SELECT session_id, 3, 'DECISIONS', ord, '  - ' || text FROM (SELECT * FROM scored WHERE kind = 'decision' QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY ord) <= 8) UNION ALL
+  {asked}
+  SELECT session_id, 5, 'OPEN QUESTIONS', ord, '  - ' || text FROM (SELECT * FROM scored WHERE kind = 'question'
+    QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY score DESC, ord) <= {summary.QUESTIONS[template]}) {unasked}
+), bodies AS (
+  SELECT session_id, place, CASE WHEN place > 0 THEN chr(10) ELSE '' END || heading || chr(10) || string_agg(line, chr(10) ORDER BY ord) AS body FROM lines GROUP BY session_id, place, heading
+), summaries AS (SELECT session_id, string_agg(body, chr(10) ORDER BY place) AS summary FROM bodies GROUP BY session_id)"""
+
+
+@query(
+    f"""WITH RECURSIVE {D.SPOKEN}, {_SENTENCES}, {_summary_sql("interview", "CASE speaker_id WHEN 1 THEN 'Ada' ELSE 'Unassigned' END")}
+SELECT session_id, summary FROM summaries"""
+)
 def summary_texts(spark, sf_dir):
     segments = D.spoken_segments(spark, sf_dir)
     names = segments.select("session_id", F.lit(1).alias("id"), F.lit("Ada").alias("name")).distinct()
@@ -303,20 +396,41 @@ def srt_cues(spark, sf_dir):
     return exports.cues(D.conversation_segments(spark, sf_dir), D.speakers(spark, sf_dir))
 
 
+_OWNER = "CASE speaker_id WHEN 0 THEN 'Speaker 1' WHEN 1 THEN 'Speaker 2' ELSE 'Unassigned' END"
+
+
 @query(
-    f"""WITH {D.SEGMENTS} SELECT session_id, string_agg('[' || printf('%d:%02d', floor(start_s)::BIGINT // 60, floor(start_s)::BIGINT % 60) || '] ' || {_NAME} || ': ' || text,
-  chr(10) || chr(10) ORDER BY seg_ord) AS body FROM seg GROUP BY session_id"""
+    f"""WITH RECURSIVE {D.SEGMENTS}, {_SENTENCES}, {_summary_sql("meeting", _OWNER)}, body AS (
+  SELECT session_id, string_agg('[' || printf('%d:%02d', floor(start_s)::BIGINT // 60, floor(start_s)::BIGINT % 60) || '] ' || {_NAME} || ': ' || text,
+    chr(10) || chr(10) ORDER BY seg_ord) AS body FROM seg GROUP BY session_id
+) SELECT session_id, coalesce(summary || chr(10) || chr(10) || repeat('=', 40) || chr(10) || 'TRANSCRIPT' || chr(10) || chr(10), '') || body AS txt
+FROM body LEFT JOIN summaries USING (session_id)"""
 )
 def txt_bodies(spark, sf_dir):
-    """The transcript below the summary of the plain-text export."""
-    done = exports.txt(D.conversation_segments(spark, sf_dir), D.speakers(spark, sf_dir))
-    return done.select("session_id", F.regexp_replace("txt", r"(?s)\A.*?={40}\nTRANSCRIPT\n\n", "").alias("body"))
+    """The plain-text export: the transcript below the meeting's summary."""
+    return exports.txt(D.conversation_segments(spark, sf_dir), D.speakers(spark, sf_dir))
 
 
-@query()
+_ADA = "CASE speaker_id WHEN 1 THEN 'Ada' ELSE 'Unknown speaker' END"
+
+
+@query(
+    f"""WITH RECURSIVE {D.SPOKEN}, {_SENTENCES}, {_sections_sql("meeting")}, lines(session_id, place, ord, line) AS (
+  SELECT session_id, 2, ord, text FROM overview UNION ALL SELECT session_id, 4, ord, '• ' || text FROM key_points UNION ALL
+  SELECT session_id, 6, ord, '• ' || text || ' — ' || {_ADA} FROM (SELECT * FROM scored WHERE kind = 'action' QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY ord) <= 12) UNION ALL
+  SELECT session_id, 8, ord, '• ' || text FROM (SELECT * FROM scored WHERE kind = 'decision' QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY ord) <= 8)
+), titled AS (
+  SELECT * FROM lines UNION ALL SELECT DISTINCT session_id, place - 1, 0, ['', 'Key points', 'Action items', 'Decisions'][place // 2] FROM lines WHERE place > 2
+  UNION ALL SELECT DISTINCT session_id, 0, 0, 'Summary' FROM (SELECT session_id FROM lines UNION SELECT session_id FROM scored WHERE kind = 'question')
+  UNION ALL SELECT DISTINCT session_id, 100, 0, 'Meeting transcript' FROM seg
+  UNION ALL SELECT session_id, 101, seg_ord, {_ADA} || ' [' || printf('%d:%02d', floor(start_s)::BIGINT // 60, floor(start_s)::BIGINT % 60) || ']  ' || text FROM seg
+) SELECT session_id, string_agg(line, chr(10) ORDER BY place, ord) AS document FROM titled GROUP BY session_id"""
+)
 def docx_files(spark, sf_dir):
-    done = exports.docx(D.spoken_segments(spark, sf_dir), D.speakers(spark, sf_dir))
-    return done.select("session_id", F.length("content").alias("n_bytes"))
+    """The Word files' paragraphs, read back from the files."""
+    segments = D.spoken_segments(spark, sf_dir)
+    names = segments.select("session_id", F.lit(1).alias("id"), F.lit("Ada").alias("name")).distinct()
+    return exports.docx_texts(exports.docx(segments, names))
 
 
 _RUNS = """runs AS (

@@ -18,7 +18,7 @@ TEMPLATES = (
     "Send the {0} report by friday please.",
     "The river  runs past the {0} house , they say.",
     "Due to the fact that {0} works we literally won.",
-    "Many people walk along the {0} road today.",
+    "I just wanted to be honest about the {0} road today.",
     "Who will take care of the {0} desk?",
     "They touch base about {0} every single morning.",
     "The team agreed to the {0} budget of 300 euros.",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
 import pandas as pd
@@ -127,6 +128,21 @@ def docx(segments: DataFrame, speakers: DataFrame) -> DataFrame:
     return listed.mapInPandas(run, "session_id string, content binary")
 
 
+def docx_texts(files: DataFrame) -> DataFrame:
+    """``session_id, document``: the paragraphs of Word files, one a line."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            texts = []
+            for content in b["content"]:
+                with zipfile.ZipFile(io.BytesIO(bytes(content))) as file:
+                    body = ElementTree.fromstring(file.read("word/document.xml"))
+                texts.append("\n".join("".join(t.text or "" for t in p.iter(f"{{{_W}}}t")) for p in body.iter(f"{{{_W}}}p")))
+            yield pd.DataFrame({"session_id": b["session_id"], "document": texts})
+
+    return files.select("session_id", "content").mapInPandas(run, "session_id string, document string")
+
+
 def write_text(rows: DataFrame, column: str, path: str) -> None:
     """One directory for each session with its text."""
     rows.select("session_id", F.col(column).alias("value")).write.mode("overwrite").partitionBy("session_id").text(path)

@@ -63,11 +63,14 @@ def audio(spark: SparkSession, path: str) -> DataFrame:
 
 
 def mixed(sources: DataFrame) -> DataFrame:
-    """One signal from several of a session: samples of one place are added; ``session_id, pcm`` rows."""
-    flat = sources.select("session_id", F.posexplode("pcm").alias("at", "x"))
-    total = flat.groupBy("session_id", "at").agg(F.sum("x").cast("float").alias("x"))
-    listed = total.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("_p"))
-    return listed.select("session_id", F.transform("_p", lambda e: e["x"]).alias("pcm"))
+    """One signal from several of a session: samples of one place are added; ``session_id, pcm`` rows.
+
+    A session's few signals meet as arrays; no sample becomes a row.
+    """
+    listed = sources.where(F.col("pcm").isNotNull()).groupBy("session_id").agg(F.array_sort(F.collect_list(F.col("pcm").cast("array<double>"))).alias("_all"))
+    add = lambda a, b: F.zip_with(a, b, lambda x, y: F.coalesce(x, F.lit(0.0)) + F.coalesce(y, F.lit(0.0)))
+    total = F.aggregate("_all", F.array().cast("array<double>"), add)
+    return listed.select("session_id", total.cast("array<float>").alias("pcm"))
 
 
 def pcm_batches(buffers: DataFrame, samples: int, buffer: int = 4096) -> DataFrame:

@@ -1,8 +1,11 @@
 """Detectors, edits and summaries on hand-made cases."""
 
 import re
+import time
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from colloquy import schemas
@@ -52,6 +55,55 @@ def test_spans_are_kept(spark):
     assert len([x for x in got if x[0] == 5 and x[1] == "filler"]) == 5
 
 
+def test_phrases_that_share_words(spark):
+    got = found(spark, "I just wanted to be honest about it")
+    assert [(k, a, b) for _, k, a, b, _ in got] == [("hedge", 2, 16), ("hedge", 14, 26)]
+
+
+def plain_items(text):
+    """The detectors as plain patterns, one scan for each phrase."""
+    ws = X.WS
+    for k, phrase in enumerate(detect.FILLERS):
+        for m in re.finditer(rf"(?ai)(?<![^{ws}]){re.escape(phrase)}(?![^{ws},.!?])", text):
+            yield "filler", k, m.start() - (text[m.start() - 1 : m.start()] == " "), m.end() + (text[m.end() : m.end() + 1] == ",")
+    for m in re.finditer(rf"(?ai)\b(\w+)([,.]?[{ws}]+)\1\b", text):
+        yield "stutter", 0, m.start(), m.end()
+    for k, phrase in enumerate(detect.HEDGES):
+        for m in re.finditer(rf"(?ai)(?<![^{ws}]){re.escape(phrase)}(?![^{ws},.!?])", text):
+            yield "hedge", k, m.start(), m.end()
+    for k, (phrase, _, _) in enumerate(detect.WEAK_PHRASES):
+        for m in re.finditer(rf"(?ai)\b{re.escape(phrase)}\b", text):
+            yield "weak-phrase", k, m.start(), m.end()
+    for m in re.finditer(rf" {{2,}}|[{ws}]+(?=[,.!?])", text):
+        yield "spacing", 0, m.start(), m.end()
+
+
+PIECES = ["um", "Uh,", "the", "the", "The.", "you know", "i mean", "just wanted to", "be honest", "to be honest", "in order to", "touch base", ",", ".", "!", " ", "  ", "\n", "\t ", "é", "x_y", "so", "\u00a0", "kind of"]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(PIECES), st.sampled_from(["", " ", " ", ", ", "  ", " ,"])), max_size=15))
+def test_against_plain_patterns(parts):
+    text = "".join(a + b for a, b in parts)
+    kinds = ("filler", "stutter", "hedge", "weak-phrase", "spacing")
+    assert [(kind, i[0], i[1], i[2]) for kind, i in detect.found_in(text, kinds)] == list(plain_items(text))
+    slow, fast = text, edits.fixed_wholly(text)
+    while (new := edits.fixed_once(slow)) is not None:
+        slow = new
+    assert fast == slow
+
+
+def test_time_is_linear():
+    def seconds(n):
+        text = "um the the plan  , is in order to " * n + "\n" * n
+        began = time.perf_counter()
+        assert sum(1 for _ in detect.found_in(text)) >= 4 * n
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert seconds(16000) < 8 * max(seconds(4000), 0.02)
+
+
 def test_repeated_words_against_counter(spark):
     text = " ".join(f"word{'abcde'[i % 5]}x {'other' * (i % 3)}" for i in range(50))
     tokens = re.findall(r"\b[a-z']{5,}\b", text, re.ASCII)

@@ -78,11 +78,19 @@ def plain_fold(labels, both):
 def test_folds(spark):
     rng = random.Random(1)
     cases = [[0, 1, 2, 3], [0, 1, 2, 2], [0, 1, 0, 1, 0], [], [5]] + [[rng.randrange(3) for _ in range(rng.randrange(12))] for _ in range(60)]
-    rows = spark.createDataFrame([(c,) for c in cases], "l array<int>").select("l", ordered.absorbed(F.col("l")).alias("a"), ordered.smoothed(F.col("l")).alias("b"))
-    for r in rows.collect():
-        assert r.a == plain_fold(r.l, False) and r.b == plain_fold(r.l, True)
-    rows = spark.createDataFrame([("s", i, i % 2) for i in range(9)], "session_id string, k bigint, label int").repartition(4)
-    assert {r.label for r in ordered.by_session(rows, "k", "label", ordered.smoothed).collect()} == {0}
+    for c in cases:
+        assert ordered.folded(c, ordered.absorbed) == plain_fold(c, False) and ordered.folded(c, ordered.smoothed) == plain_fold(c, True)
+    # As a stream of small batches, sessions behind one another.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    rows = spark.createDataFrame([(f"s{k}", i, x, "kept") for k, c in enumerate(cases) for i, x in enumerate(c)], "session_id string, k bigint, label int, other string")
+    got = {}
+    for r in ordered.by_session(rows.repartition(3), "k", "label", ordered.absorbed).collect():
+        got.setdefault(r.session_id, {})[r.k] = r.label
+        assert r.other == "kept"
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {k: [v[i] for i in sorted(v)] for k, v in got.items()} == {f"s{k}": plain_fold(c, False) for k, c in enumerate(cases) if c}
+    many = spark.range(80000).selectExpr("'s' as session_id", "id as k", "cast(id % 2 as int) as label")
+    assert {r.label for r in ordered.by_session(many, "k", "label", ordered.smoothed).select("label").distinct().collect()} == {0, 1}
 
 
 def test_medians(spark):
