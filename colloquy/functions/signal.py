@@ -101,16 +101,18 @@ def analyze(frame: np.ndarray, rate: float, gate: float = GATE) -> tuple[float,
     return pitch, float(bands @ hz / bands.sum()) if bands.sum() > 0 else 0.0, energy
 
 
-def frames(audio: DataFrame, gate: float = GATE) -> DataFrame:
-    """``schemas.FRAMES`` of ``session_id, sample_rate, pcm``: 2048 samples every quarter of a second.
+def frames(audio: DataFrame, gate: float = GATE, fps: float = 1 / STEP_S) -> DataFrame:
+    """``schemas.FRAMES`` of ``session_id, sample_rate, pcm``: 2048 samples every quarter of a second, or ``fps`` times a second.
+
+    Live sampling has the rate of the power profile, see ``readers.duty_cycle``.
 
     Frames under the energy gate are dropped by a plain expression before any
     reaches Python.
     """
     seconds = F.size("pcm") / F.col("sample_rate")
-    last = F.floor((seconds - FRAME / F.col("sample_rate")) / STEP_S).cast("int")
+    last = F.floor((seconds - FRAME / F.col("sample_rate")) * fps).cast("int")
     at = audio.where(F.size("pcm") > FRAME).select("session_id", "sample_rate", "pcm", F.explode(F.sequence(F.lit(0), last)).alias("k"))
-    time = F.col("k") * STEP_S
+    time = F.col("k") / fps
     cut = F.slice("pcm", (F.floor(time * F.col("sample_rate")) + 1).cast("int"), FRAME)
     rows = at.where(time + FRAME / F.col("sample_rate") < seconds).select("session_id", time.alias("time_s"), "sample_rate", cut.alias("frame"))
     loud = rows.where((F.size("frame") == FRAME) & (rms(F.col("frame")) >= gate))

@@ -66,6 +66,27 @@ def default_name(speaker_id: Column) -> Column:
     return F.concat(F.lit("Speaker "), (speaker_id + 1).cast("string"))
 
 
+#: What kinds of suggestions are called. Fixed values.
+LABELS = {
+    "filler": "Filler", "stutter": "Stutter", "repeated-word": "Repetition", "hedge": "Hedging", "weak-phrase": "Wordy", "run-on": "Run-on", "spacing": "Spacing",
+}
+
+
+def kind_label(kind: Column) -> Column:
+    """What a kind of suggestion is called; null for a kind that there isn't."""
+    return F.element_at(F.create_map(*(F.lit(x) for pair in LABELS.items() for x in pair)), kind)
+
+
+def counted(n: Column, one: str) -> Column:
+    """'1 speaker', '2 speakers'."""
+    return F.concat(n.cast("string"), F.when(n == 1, F.lit(f" {one}")).otherwise(F.lit(f" {one}s")))
+
+
+def pitch_label(hz: Column) -> Column:
+    """'~120 Hz', null without a pitch."""
+    return F.when(hz > 0, F.concat(F.lit("~"), F.floor(hz + 0.5).cast("string"), F.lit(" Hz")))
+
+
 #: Colours of speakers by id. Fixed values.
 PALETTE = ("#4f8ef7", "#e2557b", "#3bb273", "#e8a13c", "#9b6bd3", "#38b6b6", "#c96f4a", "#7a86e8")
 

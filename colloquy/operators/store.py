@@ -160,6 +160,15 @@ def renamed_draft(drafts: DataFrame, draft_id: str, name: str) -> DataFrame:
     return drafts.withColumn("name", F.when(F.col("id") == draft_id, name).otherwise(F.col("name")))
 
 
+def with_state(state: DataFrame, changes: DataFrame) -> DataFrame:
+    """Single values of sessions ``(session_id, name, value, seq)``, such as mode, error, status and progress.
+
+    The newest value of a name counts; a null one changes nothing, so progress without a status leaves the status.
+    """
+    both = state.unionByName(changes.where(F.col("value").isNotNull()))
+    return both.groupBy("session_id", "name").agg(F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq"))
+
+
 def written_sessions(table: DataFrame, path: str) -> None:
     """Overwrite the partitions of the sessions in ``table``; other sessions stay."""
     table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(path)

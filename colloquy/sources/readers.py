@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import wave
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,8 @@ TEMPLATES = ("meeting", "lecture", "interview")
 PROFILES = {"balanced": (4, 120, 1200), "saver": (2, 0, 3000), "hidden": (1, 0, 3000)}
 SAVER_BELOW = 0.25
 MIN_VOICE_S, CHUNK_S = 0.8, 6.0
+#: Seconds of the pieces in which long audio is heard, of what they share, and of a model's call at most. Fixed values.
+LONG_CHUNK_S, STRIDE_S, LIMIT_S = 30.0, 5.0, 300.0
 
 
 def decode_wav(content: bytes) -> tuple[int, np.ndarray]:
@@ -80,9 +83,14 @@ def pcm_batches(buffers: DataFrame, samples: int, buffer: int = 4096) -> DataFra
     return grouped.select("session_id", "batch", F.flatten(F.transform("_b", lambda e: e["pcm"])).alias("pcm"))
 
 
-def recognizer_events(spark: SparkSession, path: str, streaming: bool = True) -> DataFrame:
-    """Recognizer events from JSON lines, as a stream or a table; see ``schemas.EVENTS``."""
+def recognizer_events(spark: SparkSession, path: str, streaming: bool = True, max_files: int | None = None) -> DataFrame:
+    """Recognizer events from JSON lines, as a stream or a table; see ``schemas.EVENTS``.
+
+    ``max_files`` bounds what one batch of a stream takes in.
+    """
     reader = (spark.readStream if streaming else spark.read).schema(schemas.EVENTS)
+    if streaming and max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.json(path)
 
 
@@ -121,39 +129,70 @@ def stub_embedder(pcm: np.ndarray, rate: int) -> list[float]:
     return [float(np.log1p(p.sum())) for p in np.array_split(power, 16)]
 
 
-def recognized(audio_rows: DataFrame, model: Recognizer = stub_recognizer) -> DataFrame:
-    """``schemas.CHUNKS`` of audio by a model that each task loads once."""
+def recognized(
+    audio_rows: DataFrame, model: Recognizer | None = None, load: Callable[[], Recognizer] = lambda: stub_recognizer, quick: bool = False,
+    chunk_s: float = LONG_CHUNK_S, stride_s: float = STRIDE_S,
+) -> DataFrame:
+    """``schemas.CHUNKS`` of audio by a model that each task gets once from ``load``, or by ``model``.
+
+    Audio longer than ``chunk_s`` is heard in pieces of that length that share ``stride_s`` with
+    the ones before and behind; a word counts in the piece in whose own part it begins. ``quick`` hears a short piece as a
+    whole and gives one text without times for each session.
+    """
+
+    def pieces(pcm: np.ndarray, rate: int) -> Iterator[tuple[float, np.ndarray, float, float]]:
+        """Start in seconds, samples, and the piece's own part within it."""
+        size, step = int(chunk_s * rate), int((chunk_s - 2 * stride_s) * rate)
+        if quick or pcm.size <= size:
+            yield 0.0, pcm, 0.0, float("inf")
+            return
+        for at in range(0, pcm.size, step):
+            last = at + size >= pcm.size
+            yield at / rate, pcm[at : at + size], stride_s if at else 0.0, float("inf") if last else chunk_s - stride_s
+            if last:
+                return
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hear = model or load()
         for b in batches:
             out = []
             for name, rate, pcm in zip(b["session_id"], b["sample_rate"], b["pcm"]):
-                found = model(np.asarray(pcm, np.float32), int(rate)) if pcm is not None else []
+                found = []
+                for at, part, low, high in pieces(np.asarray(pcm, np.float32), int(rate)) if pcm is not None else ():
+                    found += [(text, at + s, None if e is None else at + e) for text, s, e in hear(part, int(rate)) if low <= s < high]
+                if quick:
+                    found = [(" ".join(text for text, _, _ in found), None, None)] if found else []
                 out += [(name, k, text, {"start": s, "end": e}) for k, (text, s, e) in enumerate(found)]
             yield pd.DataFrame(out, columns=["session_id", "chunk_ord", "text", "ts"])
 
     return audio_rows.select("session_id", "sample_rate", "pcm").mapInPandas(run, schemas.CHUNKS)
 
 
-def embedded(windows: DataFrame, audio_rows: DataFrame, model: Embedder = stub_embedder) -> DataFrame:
-    """``session_id, win_ord, vector``: voice vectors of windows; null under 0.8 s and where the model fails."""
+def embedded(windows: DataFrame, audio_rows: DataFrame, model: Embedder = stub_embedder, limit_s: float = LIMIT_S) -> DataFrame:
+    """``session_id, win_ord, vector``: voice vectors of windows; null under 0.8 s and where the model fails or takes more than ``limit_s``."""
     first = F.greatest(F.floor(F.col("start_s") * F.col("sample_rate")).cast("int"), F.lit(0))
     stop = F.least(F.ceil(F.col("end_s") * F.col("sample_rate")).cast("int"), F.size("pcm"))
     rows = windows.join(audio_rows.select("session_id", "sample_rate", "pcm"), "session_id")
     cut = F.when(stop - first >= F.col("sample_rate") * MIN_VOICE_S, F.slice("pcm", first + 1, stop - first))
     rows = rows.select("session_id", "win_ord", "sample_rate", cut.alias("pcm"))
 
-    def vector(pcm, rate):
+    def vector(pool, pcm, rate):
         if pcm is None:
             return None
         try:
-            return model(np.asarray(pcm, np.float32), int(rate))
+            return pool[0].submit(model, np.asarray(pcm, np.float32), int(rate)).result(limit_s)
+        except TimeoutError:  # the call is left to itself, the next ones get a thread of their own
+            pool[0].shutdown(wait=False)
+            pool[0] = ThreadPoolExecutor(1)
+            return None
         except Exception:  # a model's failure is a missing vector
             return None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pool = [ThreadPoolExecutor(1)]
         for b in batches:
-            yield b[["session_id", "win_ord"]].assign(vector=[vector(p, r) for p, r in zip(b["pcm"], b["sample_rate"])])
+            yield b[["session_id", "win_ord"]].assign(vector=[vector(pool, p, r) for p, r in zip(b["pcm"], b["sample_rate"])])
+        pool[0].shutdown(wait=False)
 
     return rows.mapInPandas(run, "session_id string, win_ord bigint, vector array<double>")
 
@@ -173,6 +212,13 @@ def setting(spark: SparkSession, name: str, domain: tuple[str, ...]) -> str:
     return value if value in domain else domain[0]
 
 
+def set_setting(spark: SparkSession, name: str, value: str, domain: tuple[str, ...]) -> None:
+    """Keep a setting in the session; values outside its domain are refused."""
+    if value not in domain:
+        raise ValueError(f"{name} is one of {', '.join(domain)}")
+    spark.conf.set(f"colloquy.{name}", value)
+
+
 def duty_cycle(profile: str, battery: float | None = None, charging: bool | None = None) -> tuple[int, int, int]:
     """Frames a second, meter and analysis intervals; a low battery in use saves power."""
     low = battery is not None and battery <= SAVER_BELOW and charging is False

@@ -1,6 +1,7 @@
 """Store, exports, sources and live sessions."""
 
 import io
+import time
 import wave
 import zipfile
 
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colloquy import schemas
+from colloquy.functions import text as X
 from colloquy.operators import store
 from colloquy.sources import exports, readers
 from colloquy.streaming import live
@@ -144,11 +146,11 @@ def test_stream_is_batch(spark, tmp_path):
         rows.where(F.col("seq").between(lo, hi)).coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(live.INPUT).option("maxFilesPerTrigger", 1).parquet(source)
     query = (
-        live.changes_stream(stream).writeStream.outputMode("update").foreachBatch(live.upsert_sink(f"{tmp_path}/out"))
+        live.changes_stream(stream, timers=False).writeStream.outputMode("update").foreachBatch(live.upsert_sink(f"{tmp_path}/out"))
         .option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start()
     )
     query.awaitTermination(120)
-    got = live.segments(spark.read.parquet(f"{tmp_path}/out").drop("batch")).orderBy("session_id", "seg_id").collect()
+    got = live.segments(live.change_table(spark, f"{tmp_path}/out").drop("batch")).orderBy("session_id", "seg_id").collect()
     want = live.segments(live.changes(rows)).orderBy("session_id", "seg_id").collect()
     assert got == want and len(got) == 4
 
@@ -159,6 +161,137 @@ def test_events(spark, tmp_path):
     )
     got = readers.results(readers.recognizer_events(spark, str(tmp_path), streaming=False)).collect()
     assert [(r.pos, r.is_final, r.text) for r in got] == [(1, False, "new")]
-    rows = readers.results(readers.recognizer_events(spark, str(tmp_path), streaming=False)).withColumn("time_s", F.lit(1.0))
+    rows = readers.recognizer_events(spark, str(tmp_path), streaming=False).withColumn("time_s", F.lit(1.0))
     frames = spark.createDataFrame([("a", 0.5, 100.0, 500.0, 0.1)], schemas.FRAMES)
-    assert [r.kind for r in live.inputs(rows, frames).orderBy("seq").collect()] == ["frame", "interim"]
+    assert [(r.kind, r.text) for r in live.inputs(rows, frames).orderBy("seq").collect()] == [("frame", None), ("interim", "new")]
+
+
+EVENTS = [
+    ("a", 1, 0, 0.5, [(False, "hello the")]), ("a", 2, 0, 0.9, [(True, "hello there"), (True, "friend"), (False, "and"), (False, "so")]),
+    ("a", 3, 2, 1.4, [(True, "old"), (True, "older"), (True, "and so on")]), ("b", 1, 0, 0.2, [(False, "left over")]), ("b", 2, 0, 0.3, [(None, "left over words")]),
+]
+
+
+def test_events_to_segments(spark, tmp_path):
+    """A stream of recognizer events and frames, in files, gives the segments of the whole tables; open sessions end when idle."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    events = spark.createDataFrame(EVENTS, "session_id string, seq bigint, result_index int, time_s double, results array<struct<is_final: boolean, transcript: string>>")
+    frames = spark.createDataFrame([("a", 0.1 * k, 100.0 + k, 500.0, 0.1) for k in range(8)] + [("a", 1 + 0.1 * k, 240.0 + k, 900.0, 0.1) for k in range(4)], schemas.FRAMES)
+    for k in range(3):
+        events.where(F.col("seq") == k + 1).coalesce(1).write.mode("append").json(f"{tmp_path}/events")
+    frames.coalesce(1).write.parquet(f"{tmp_path}/frames")
+    stream = live.inputs(
+        spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).json(f"{tmp_path}/events"), spark.readStream.schema(frames.schema).parquet(f"{tmp_path}/frames")
+    )
+    progress = live.Progress()
+    spark.streams.addListener(progress)
+    sink = live.upsert_sink(f"{tmp_path}/out", every=2)
+    analysis = live.analysis_sink(f"{tmp_path}/suggestions")
+
+    def both(batch, batch_id):
+        sink(batch, batch_id)
+        analysis(batch, batch_id)
+
+    def run():
+        query = (
+            live.changes_stream(stream, kick_ms=1, idle_ms=1500).writeStream.outputMode("update").foreachBatch(both)
+            .option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(once=True).start()
+        )
+        assert query.awaitTermination(60)
+
+    run()
+    # Timers are looked at when a batch runs: the next one, of another session, comes later.
+    time.sleep(2)
+    spark.createDataFrame([("c", 9, 0, 9.0, [(True, "um wake up")])], events.schema).coalesce(1).write.mode("append").json(f"{tmp_path}/events")
+    run()
+    spark.streams.removeListener(progress)
+    changes = live.change_table(spark, f"{tmp_path}/out")
+    ended = spark.createDataFrame([("a", 2**60, "end", 1.4, None, None, None), ("b", 2**60, "end", 0.3, None, None, None)], live.INPUT)
+    want = live.segments(live.changes(live.inputs(events, frames).unionByName(ended)))
+    got = live.segments(changes.drop("batch"))
+    key = ["session_id", "seg_id"]
+    columns = ["session_id", "seg_id", "speaker_id", "text", "start_s", "end_s", "interim"]
+    assert got.where("session_id <> 'c'").select(columns).orderBy(key).collect() == want.select(columns).orderBy(key).collect()
+    assert [r.text for r in got.where("session_id = 'b'").collect()] == ["Left over words"]
+    assert changes.where("op = 'kick'").count() or changes.select("batch").distinct().count() < 5
+    left = spark.read.format("statestore").option("stateVarName", "session").load(f"{tmp_path}/checkpoint").collect()
+    assert len(left) <= 1
+    found = spark.read.parquet(f"{tmp_path}/suggestions").where("session_id = 'c'").collect()
+    assert {r.kind for r in found} == {"filler"}
+    assert sum(q["batches"] for q in progress.queries.values()) >= 0
+
+
+def test_state_goes_at_the_end(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = spark.createDataFrame([*INPUTS, ("a", 12, "end", 3.0, None, None, None)], live.INPUT)
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(live.INPUT).parquet(f"{tmp_path}/in")
+    query = (
+        live.changes_stream(stream, timers=False).writeStream.outputMode("update").foreachBatch(live.upsert_sink(f"{tmp_path}/out"))
+        .option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start()
+    )
+    query.awaitTermination(120)
+    assert live.segments(live.change_table(spark, f"{tmp_path}/out").drop("batch")).count() == 4
+    assert spark.read.format("statestore").option("stateVarName", "session").load(f"{tmp_path}/checkpoint").count() == 0
+
+
+def test_start_makes_all_new():
+    session = live.Session()
+    list(session.feed("interim", 0.5, "some words", 0, 0)), list(session.feed("frame", 0.6, None, 100, 500))
+    list(session.feed("start", 0.7, None, 0, 0))
+    assert not session.caption.shown and not session.frames and session.last == -1
+
+
+def test_compacted(spark):
+    changed = live.changes(spark.createDataFrame(INPUTS, live.INPUT))
+    assert sorted(live.segments(live.compacted(changed)).collect()) == sorted(live.segments(changed).collect())
+    assert live.compacted(changed).count() < changed.count()
+
+
+def test_merges(spark):
+    """A speaker that merges twice, and merges in a circle, have one end."""
+    rows = [("a", 1, 5), ("a", 1, 3), ("a", 3, 0), ("b", 1, 2), ("b", 2, 3), ("b", 3, 1), ("b", 7, 3), ("c", 4, 4)]
+    merges = spark.createDataFrame(rows, "session_id string, from_id int, to_id int")
+    got = {(r.session_id, r.from_id): r.to_id for r in store.resolved_aliases(merges).collect()}
+    assert got == {("a", 1): 0, ("a", 3): 0, ("b", 1): 1, ("b", 2): 1, ("b", 3): 1, ("b", 7): 1, ("c", 4): 4}
+    later = spark.createDataFrame([("a", 1, 0, 1), ("a", 1, 5, 2)], "session_id string, from_id int, to_id int, seq int")
+    assert store.resolved_aliases(later).first().to_id == 5
+
+
+def test_long_and_quick_recognition(spark):
+    """Long audio is heard in pieces, and every half second of it once; a model that hangs gives no vector."""
+    rate = 100
+    audio = spark.createDataFrame([("s", rate, [0.5] * (rate * 70))], "session_id string, sample_rate int, pcm array<float>")
+    got = readers.recognized(audio).orderBy("chunk_ord").collect()
+    assert [r.ts.start for r in got] == [k / 2 for k in range(140)]
+    assert [(r.text, r.ts.start) for r in readers.recognized(audio.select("session_id", "sample_rate", F.slice("pcm", 1, 100).alias("pcm")), quick=True).collect()] == [("w50 w50", None)]
+    windows = spark.createDataFrame([("s", 0, 0.0, 1.0), ("s", 1, 1.0, 3.0)], schemas.WINDOWS)
+
+    def slow(pcm, rate):
+        time.sleep(3 if len(pcm) > 150 else 0)
+        return [1.0]
+
+    assert [r.vector for r in readers.embedded(windows, audio, slow, limit_s=1).orderBy("win_ord").collect()] == [[1.0], None]
+
+
+def test_labels_and_state(spark):
+    row = spark.range(1).select(
+        X.kind_label(F.lit("hedge")).alias("a"), X.counted(F.lit(1), "speaker").alias("b"), X.counted(F.lit(2), "word").alias("c"), X.pitch_label(F.lit(119.6)).alias("d")
+    ).first()
+    assert tuple(row) == ("Hedging", "1 speaker", "2 words", "~120 Hz") and set(X.LABELS) == set(schemas.KINDS)
+    state = spark.createDataFrame([("a", "status", "reading", 1), ("a", "progress", "0.1", 1)], "session_id string, name string, value string, seq int")
+    new = spark.createDataFrame([("a", "status", None, 2), ("a", "progress", "0.2", 2)], state.schema)
+    assert {(r.name, r.value) for r in store.with_state(state, new).collect()} == {("status", "reading"), ("progress", "0.2")}
+    readers.set_setting(spark, "template", "lecture", readers.TEMPLATES)
+    assert readers.setting(spark, "template", readers.TEMPLATES) == "lecture"
+    with pytest.raises(ValueError):
+        readers.set_setting(spark, "template", "sermon", readers.TEMPLATES)
+
+
+def test_recorded(spark, tmp_path):
+    rows = spark.createDataFrame([("s", k, [float(k)] * 2) for k in range(5)], "session_id string, buf_ord bigint, pcm array<float>")
+    rows.write.parquet(f"{tmp_path}/in")
+    query = live.recorded(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/raw", f"{tmp_path}/checkpoint", "0 seconds")
+    query.processAllAvailable()
+    query.stop()
+    assert spark.read.parquet(f"{tmp_path}/raw").count() == 5
