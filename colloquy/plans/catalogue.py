@@ -614,13 +614,12 @@ def label_pitch(spark, sf_dir):
 
 
 @query(
-    f"""WITH {D.FRAMES}, u AS (
-  SELECT session_id, e AS utt_ord, tm AS until, coalesce(lag(tm) OVER (PARTITION BY session_id ORDER BY e), '-inf'::DOUBLE) AS since FROM ev WHERE e % 5 = 0
+    f"""WITH {D.FRAMES}, {D.UTTERANCES}, u AS (
+  SELECT session_id, utt_ord, end_s AS until, coalesce(lag(end_s) OVER (PARTITION BY session_id ORDER BY utt_ord), '-inf'::DOUBLE) AS since FROM utt
 ) SELECT u.session_id, utt_ord, count(*) AS n_frames FROM u JOIN frames f ON f.session_id = u.session_id AND time_s > since AND time_s <= until GROUP BY ALL"""
 )
 def utterance_frames(spark, sf_dir):
-    utterances = D._events(spark, sf_dir).where("e % 5 = 0").select("session_id", F.col("e").alias("utt_ord"), F.col("at").alias("end_s"))
-    return intervals.utterance_frames(utterances, D.frames(spark, sf_dir)).groupBy("session_id", "utt_ord").agg(F.count("*").alias("n_frames"))
+    return intervals.utterance_frames(D.utterances(spark, sf_dir), D.frames(spark, sf_dir)).groupBy("session_id", "utt_ord").agg(F.count("*").alias("n_frames"))
 
 
 @query(
@@ -641,10 +640,10 @@ def granularity(spark, sf_dir):
 
 
 @query(
-    f"""WITH {D.EVENTS} SELECT session_id, e AS utt_ord, tm AS end_s, coalesce(lag(tm) OVER (PARTITION BY session_id ORDER BY e), 0.0) AS start_s FROM ev WHERE e % 5 = 0"""
+    f"""WITH {D.EVENTS}, {D.UTTERANCES} SELECT session_id, utt_ord, end_s, coalesce(lag(end_s) OVER (PARTITION BY session_id ORDER BY utt_ord), 0.0) AS start_s FROM utt"""
 )
 def previous_ends(spark, sf_dir):
-    return intervals.previous_ends(D._events(spark, sf_dir).where("e % 5 = 0").select("session_id", F.col("e").alias("utt_ord"), F.col("at").alias("end_s")))
+    return intervals.previous_ends(D.utterances(spark, sf_dir))
 
 
 @query()

@@ -6,7 +6,7 @@ short spoken texts; embeddings are voice vectors.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Texts that events stand for, by event_id; {0} is the event's type.
@@ -109,31 +109,43 @@ FRAMES = f"""{EVENTS}, frames AS (
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).where("e % 3 = 0").select(
+    """Every event is a word."""
+    return _events(spark, sf_dir).select(
         "session_id", F.col("e").alias("word_ord"), F.col("event_type").alias("text"), F.col("at").alias("start_s"), (F.col("at") + 0.375).alias("end_s")
     )
 
 
-WORDS = "words AS (SELECT session_id, e AS word_ord, event_type AS text, tm AS start_s, tm + 0.375 AS end_s FROM ev WHERE e % 3 = 0)"
+WORDS = "words AS (SELECT session_id, e AS word_ord, event_type AS text, tm AS start_s, tm + 0.375 AS end_s FROM ev)"
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).where("e % 3 = 1").select(
-        "session_id", F.col("e").alias("reg_ord"), F.col("at").alias("start_s"), (F.col("at") + 0.5).alias("end_s"),
+    """Every event is a region, some seconds after its word, so words have regions of other events, or none."""
+    return _events(spark, sf_dir).select(
+        "session_id", F.col("e").alias("reg_ord"), (F.col("at") + 3).alias("start_s"), (F.col("at") + 3.5).alias("end_s"),
         (F.col("e") % 5 - 1).cast("int").alias("speaker_id"), F.col("value").alias("median_pitch_hz"),
     )
 
 
-REGIONS = "regions AS (SELECT session_id, e AS reg_ord, tm AS start_s, tm + 0.5 AS end_s, (e % 5 - 1)::INTEGER AS speaker_id FROM ev WHERE e % 3 = 1)"
+REGIONS = "regions AS (SELECT session_id, e AS reg_ord, tm + 3 AS start_s, tm + 3.5 AS end_s, (e % 5 - 1)::INTEGER AS speaker_id FROM ev)"
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).where("e % 3 = 2").select(
-        "session_id", F.col("e").alias("win_ord"), F.col("at").alias("start_s"), (F.col("at") + 2.5).alias("end_s"), (F.col("e") % 4 - 1).cast("int").alias("label")
+    """Every event is a window, whose end is the middle of its word; some have no label."""
+    return _events(spark, sf_dir).select(
+        "session_id", F.col("e").alias("win_ord"), (F.col("at") - 2.25).alias("start_s"), (F.col("at") + 0.25).alias("end_s"), (F.col("e") % 4 - 1).cast("int").alias("label")
     )
 
 
-WINDOWS = "windows AS (SELECT session_id, e AS win_ord, tm AS start_s, tm + 2.5 AS end_s, (e % 4 - 1)::INTEGER AS label FROM ev WHERE e % 3 = 2)"
+WINDOWS = "windows AS (SELECT session_id, e AS win_ord, tm - 2.25 AS start_s, tm + 0.25 AS end_s, (e % 4 - 1)::INTEGER AS label FROM ev)"
+
+
+def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event ends an utterance; in the order of times, as a session's utterances end one after the other."""
+    order = F.row_number().over(Window.partitionBy("session_id").orderBy("at", "e"))
+    return _events(spark, sf_dir).select("session_id", order.cast("bigint").alias("utt_ord"), F.col("at").alias("end_s"))
+
+
+UTTERANCES = "utt AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY tm, e) AS utt_ord, tm AS end_s FROM ev)"
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -253,3 +253,21 @@ def test_audio_frames_of_every_event(spark):
     want = {str(r.event_id) for r in spark.read.parquet(f"{name}/events.parquet").where("value IS NOT NULL").collect()}
     got = QUERIES["audio_frames"](spark, name).collect()
     assert {r.session_id for r in got} == want and len(got) == 2 * len(want)
+
+
+def test_pairwise_cosine_of_bounded_sessions(spark):
+    rows = [("s", k, [float(k), 1.0]) for k in range(300)] + [("t", 1, [1.0, 0.0]), ("t", 1, [0.0, 1.0]), ("t", 2, [0.0, 2.0]), ("t", 3, None), ("t", 4, []), ("u", 1, [0.0, 0.0])]
+    table = spark.createDataFrame(rows, "session_id string, win_ord bigint, vector array<double>")
+    got = vectors.pairwise_cosine(table).toPandas()
+    own = got[got.session_id == "s"].sort_values(["a", "b"])
+    x = np.array([[k, 1.0] for k in range(300)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    a, b = np.triu_indices(300, 1)
+    assert own[["a", "b"]].to_numpy().tolist() == np.column_stack([a, b]).tolist()
+    assert np.allclose(own["cosine"], (x @ x.T)[a, b])
+    # Rows of one key are no pair.
+    rest = got[got.session_id != "s"].sort_values("cosine")
+    assert rest.to_numpy().tolist() == [["t", 1, 2, 0.0], ["t", 1, 2, 1.0]]
+    assert vectors.pairwise_cosine(table.limit(0)).count() == 0
+    with pytest.raises(Exception, match="more than 299 vectors"):
+        vectors.pairwise_cosine(table, limit=299).count()
