@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from colloquy.llm import (
     chat_format,
     decontamination,
+    hard_negatives,
     language_id,
     license_rules,
     private_values,
@@ -18,7 +19,9 @@ from colloquy.llm import (
     quality_votes,
     sentence_pieces,
     simhash,
+    source_divergence,
     token_files,
+    web_archive,
 )
 
 
@@ -104,6 +107,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audited(_read(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(_read(spark, sf_dir, "embeddings").withColumn("label", label), F.col("id") % 100 == 0)
+
+
+def op13_web_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return web_archive.archived(_read(spark, sf_dir, "pages"))
+
+
 QUERIES: dict = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality_rules": op2_quality_rules,
@@ -114,5 +130,15 @@ QUERIES: dict = {
     "op7_license_rules": op7_license_rules,
     "op8_decontamination": op8_decontamination,
     "op9_private_values": op9_private_values,
-    "op10_simhash": op10_simhash}
-ORACLES: dict = {"op2_quality_rules": quality_rules.ORACLE, "op7_license_rules": license_rules.ORACLE}
+    "op10_simhash": op10_simhash,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_web_archive": op13_web_archive,
+}
+ORACLES: dict = {
+    "op2_quality_rules": quality_rules.ORACLE,
+    "op7_license_rules": license_rules.ORACLE,
+    "op11_source_divergence": source_divergence.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
+    "op13_web_archive": web_archive.ORACLE,
+}
