@@ -35,8 +35,9 @@ def peak(pcm: Column) -> Column:
 def leveled(pcm: Column) -> Column:
     """Quiet audio, with a peak under 0.5, brought to a peak of 0.9 by a gain of 24 at most."""
     top = peak(pcm)
-    gain = F.least(F.lit(0.9) / top, F.lit(24.0))
-    return F.when((top > 0) & (top < 0.5), F.transform(pcm, lambda x: (x * gain).cast("float"))).otherwise(pcm)
+    # As an array the gain is made once; inside the function of the samples it would be made for each of them.
+    gains = F.array_repeat(F.least(F.lit(0.9) / top, F.lit(24.0)), F.size(pcm))
+    return F.when((top > 0) & (top < 0.5), F.zip_with(pcm, gains, lambda x, gain: (x * gain).cast("float"))).otherwise(pcm)
 
 
 def decimated(pcm: Column, rate: Column, to: int = RATE) -> Column:
@@ -114,7 +115,11 @@ def frames(audio: DataFrame, gate: float = GATE, fps: float = 1 / STEP_S) -> Dat
     at = audio.where(F.size("pcm") > FRAME).select("session_id", "sample_rate", "pcm", F.explode(F.sequence(F.lit(0), last)).alias("k"))
     time = F.col("k") / fps
     cut = F.slice("pcm", (F.floor(time * F.col("sample_rate")) + 1).cast("int"), FRAME)
-    rows = at.where(time + FRAME / F.col("sample_rate") < seconds).select("session_id", time.alias("time_s"), "sample_rate", cut.alias("frame"))
+    return analyzed(at.where(time + FRAME / F.col("sample_rate") < seconds).select("session_id", time.alias("time_s"), "sample_rate", cut.alias("frame")), gate)
+
+
+def analyzed(rows: DataFrame, gate: float = GATE) -> DataFrame:
+    """``schemas.FRAMES`` of ``session_id, time_s, sample_rate, frame``; frames that are short or under the gate are dropped."""
     loud = rows.where((F.size("frame") == FRAME) & (rms(F.col("frame")) >= gate))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

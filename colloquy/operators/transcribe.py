@@ -6,12 +6,14 @@ voices; the others by pitch and timbre of their voiced regions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.functions import signal
 from colloquy.operators import cluster, intervals, ordered
-from colloquy.sources import readers
+from colloquy.sources import readers, scratch, waves
 
 
 def routes(windows: DataFrame, vectors: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -30,7 +32,7 @@ def _absorbed(words: DataFrame) -> DataFrame:
 def by_voices(words: DataFrame, windows: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Segments of words, and windows with their smoothed ``label``."""
     labels = ordered.by_session(cluster.cluster_vectors(vectors), "win_ord", "label", ordered.smoothed)
-    labelled = windows.join(labels, ["session_id", "win_ord"])
+    labelled = windows.join(labels, ["session_id", "win_ord"], "left").withColumn("label", F.coalesce("label", F.lit(-1)))
     voted = intervals.overlap_vote(words, labelled).withColumnRenamed("label", "speaker_id")
     return intervals.word_segments(_absorbed(voted)), labelled
 
@@ -53,11 +55,30 @@ def transcribed(
     audio: DataFrame, recognizer: readers.Recognizer = readers.stub_recognizer, embedder: readers.Embedder = readers.stub_embedder
 ) -> tuple[DataFrame, DataFrame]:
     """``schemas.SEGMENTS`` and heard speakers of ``session_id, sample_rate, pcm, duration_s``."""
-    chunks = readers.recognized(audio, recognizer)
     frames = signal.frames(audio)
-    words = intervals.timed_words(chunks, audio)
+    return _attributed(readers.recognized(audio, recognizer), frames, audio, lambda windows: readers.embedded(windows, audio, embedder))
+
+
+def transcribed_files(
+    spark: SparkSession, path: str, recognizer: readers.Recognizer = readers.stub_recognizer, embedder: readers.Embedder = readers.stub_embedder, unit_s: int = waves.UNIT_S
+) -> tuple[DataFrame, DataFrame]:
+    """:func:`transcribed` of wave files of any length: each is read in units that several tasks share.
+
+    Recognition, frames and vectors read the files once each, with the overlap that they need, and their
+    results are written to the shared folder, as several steps use them and no model should be asked twice.
+    """
+    pieces = waves.units(spark, path, unit_s, overlap_s=readers.LONG_CHUNK_S)
+    chunks = scratch.written(readers.recognized_units(pieces, recognizer), "chunks")
+    frames = scratch.written(waves.frames(waves.units(spark, path, unit_s)), "frames")
+    lengths = scratch.written(waves.lengths(spark, path, unit_s), "lengths")
+    embed = lambda windows: scratch.written(readers.embedded_units(windows, pieces, embedder, unit_s=unit_s), "vectors")
+    return _attributed(chunks, frames, lengths, embed)
+
+
+def _attributed(chunks: DataFrame, frames: DataFrame, lengths: DataFrame, embed: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    words = intervals.timed_words(chunks, lengths)
     windows = intervals.hop_windows(frames)
-    vectors = readers.embedded(windows, audio, embedder)
+    vectors = embed(windows)
     route = routes(windows, vectors, chunks)
     accurate = route.where("accurate").select("session_id")
     fallback = route.where("not accurate")

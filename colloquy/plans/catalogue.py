@@ -11,7 +11,7 @@ from colloquy.functions import signal, vectors
 from colloquy.functions import text as X
 from colloquy.operators import cluster, detect, edits, intervals, ordered, store, summary
 from colloquy.plans import fixtures as D
-from colloquy.sources import exports, readers
+from colloquy.sources import exports, readers, scratch, waves
 from colloquy.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -720,6 +720,23 @@ def audio_frames(spark, sf_dir):
     return signal.frames(audio).withColumns({c: F.round(c, 3) for c in ("pitch_hz", "centroid_hz", "energy")})
 
 
+@query(
+    """WITH r AS (SELECT event_id // 500 AS rec, row_number() OVER (PARTITION BY event_id // 500 ORDER BY event_id) - 1 AS k, (1 + floor(abs(value))::BIGINT % 100) / 128 AS a FROM events),
+g AS (SELECT *, max(a) OVER (PARTITION BY rec) AS top FROM r), h AS (SELECT *, a * CASE WHEN top < 0.5 THEN least(0.9 / top, 24) ELSE 1 END AS energy FROM g)
+SELECT rec::VARCHAR AS session_id, k * 0.25 AS time_s, round(energy, 4) AS energy FROM h WHERE energy >= 0.008"""
+)
+def wave_file_frames(spark, sf_dir):
+    """Frames of wave files: every 500 events are a recording, of a quarter of a second each, as loud as the event's value."""
+    rows = D.table(spark, sf_dir, "events").select(
+        F.floor(F.col("event_id") / 500).alias("session_id"), "event_id", ((1 + F.floor(F.abs("value")) % 100) / F.lit(128.0)).alias("a")
+    )
+    loud = rows.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "a"))).alias("x"))
+    pcm = F.flatten(F.transform("x", lambda e: F.array_repeat(F.array(e["a"], -e["a"]), 1000)))
+    path = scratch.new_path(spark, "waves")
+    waves.write(loud.select("session_id", F.flatten(pcm).alias("pcm")), path, rate=8000, width=1)
+    return waves.frames(waves.units(spark, path, unit_s=20)).select("session_id", "time_s", F.round("energy", 4).alias("energy"))
+
+
 def _live_inputs(spark, sf_dir):
     e = F.col("e")
     kind = F.when(e % 6 == 5, "final").when(e % 2 == 0, "frame").otherwise("interim")

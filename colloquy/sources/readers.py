@@ -10,11 +10,12 @@ from concurrent.futures import ThreadPoolExecutor
 import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colloquy import schemas
 from colloquy.functions import signal
+from colloquy.sources.waves import UNIT_S, samples
 
 #: Spoken languages that can be asked for, the first by default. Fixed value.
 LANGUAGES = ("en-US", "en-GB", "es-ES", "fr-FR", "de-DE", "it-IT", "pt-BR", "zh-CN", "ja-JP", "ko-KR", "hi-IN")
@@ -30,22 +31,14 @@ LONG_CHUNK_S, STRIDE_S, LIMIT_S = 30.0, 5.0, 300.0
 def decode_wav(content: bytes) -> tuple[int, np.ndarray]:
     """Rate and mono samples, -1 to 1, of a PCM wave file."""
     with wave.open(io.BytesIO(content)) as file:
-        width, channels, rate = file.getsampwidth(), file.getnchannels(), file.getframerate()
-        raw = file.readframes(file.getnframes())
-    if width == 1:
-        x = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
-    elif width == 3:
-        parts = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
-        x = ((parts[:, 0] << 8 | parts[:, 1] << 16 | parts[:, 2] << 24) >> 8).astype(np.float32) / (1 << 23)
-    else:
-        x = np.frombuffer(raw, f"<i{width}").astype(np.float32) / (1 << (8 * width - 1))
-    return rate, x.reshape(-1, channels).mean(1).astype(np.float32)
+        return file.getframerate(), samples(file.readframes(file.getnframes()), file.getsampwidth(), file.getnchannels())
 
 
 def audio(spark: SparkSession, path: str) -> DataFrame:
     """``session_id, sample_rate, pcm, duration_s`` of wave files: 16 kHz mono, quiet ones leveled.
 
-    The file name is the session. Files that aren't PCM wave files have a null pcm.
+    The file name is the session. Files that aren't PCM wave files have a null pcm. A file is one row: for recordings
+    of any length there are :func:`colloquy.sources.waves.units`.
     """
     files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("session_id"), "content")
 
@@ -55,14 +48,23 @@ def audio(spark: SparkSession, path: str) -> DataFrame:
             for name, content in zip(b["session_id"], b["content"]):
                 try:
                     rate, x = decode_wav(bytes(content))
-                    out.append((name, rate, x, x.size / rate))
+                    out.append((name, signal.RATE, leveled(resampled(x, rate)), x.size / rate))
                 except (wave.Error, EOFError, ValueError):
-                    out.append((name, None, None, None))
+                    out.append((name, signal.RATE, None, None))
             yield pd.DataFrame(out, columns=["session_id", "sample_rate", "pcm", "duration_s"])
 
-    rows = files.mapInPandas(run, "session_id string, sample_rate int, pcm array<float>, duration_s double")
-    pcm = signal.leveled(signal.decimated(F.col("pcm"), F.col("sample_rate")))
-    return rows.select("session_id", F.lit(signal.RATE).alias("sample_rate"), pcm.alias("pcm"), "duration_s")
+    return files.mapInPandas(run, "session_id string, sample_rate int, pcm array<float>, duration_s double")
+
+
+def resampled(x: np.ndarray, rate: int, to: int = signal.RATE) -> np.ndarray:
+    """Nearest-sample decimation, as ``signal.decimated`` does it."""
+    return x if rate == to else x[np.floor(np.arange(int(x.size * float(to) // rate)) * (rate / float(to))).astype(np.int64)]
+
+
+def leveled(x: np.ndarray) -> np.ndarray:
+    """As ``signal.leveled`` does it."""
+    top = float(np.abs(x).max()) if x.size else 0.0
+    return (x.astype(float) * min(0.9 / top, 24.0)).astype(np.float32) if 0 < top < 0.5 else x
 
 
 def mixed(sources: DataFrame) -> DataFrame:
@@ -174,14 +176,36 @@ def embedded(windows: DataFrame, audio_rows: DataFrame, model: Embedder = stub_e
     stop = F.least(F.ceil(F.col("end_s") * F.col("sample_rate")).cast("int"), F.size("pcm"))
     rows = windows.join(audio_rows.select("session_id", "sample_rate", "pcm"), "session_id")
     cut = F.when(stop - first >= F.col("sample_rate") * MIN_VOICE_S, F.slice("pcm", first + 1, stop - first))
-    rows = rows.select("session_id", "win_ord", "sample_rate", cut.alias("pcm"))
+    return _vectors(rows.select("session_id", "win_ord", "sample_rate", cut.alias("pcm")), model, limit_s)
+
+
+def embedded_units(windows: DataFrame, units: DataFrame, model: Embedder = stub_embedder, limit_s: float = LIMIT_S, unit_s: int = UNIT_S) -> DataFrame:
+    """:func:`embedded` for audio in units of ``unit_s`` seconds that overlap by the longest window.
+
+    The windows that begin in a unit meet it as one row, so a unit's samples are moved once.
+    """
+    first = F.greatest(F.floor(F.col("start_s") * signal.RATE), F.lit(0)).cast("long")
+    spans = windows.select("session_id", "win_ord", first.alias("at"), F.ceil(F.col("end_s") * signal.RATE).cast("long").alias("stop"))
+    grouped = spans.groupBy("session_id", F.floor(F.col("at") / (unit_s * signal.RATE)).alias("unit")).agg(F.collect_list(F.struct("win_ord", "at", "stop")).alias("w"))
+    rows = grouped.join(units.select("session_id", "unit", "first", "n_samples", "pcm"), ["session_id", "unit"])
+    size = lambda w: F.least(w["stop"], F.col("n_samples")) - w["at"]
+    cut = lambda w: F.when(size(w) >= signal.RATE * MIN_VOICE_S, F.slice("pcm", (w["at"] - F.col("first") + 1).cast("int"), size(w).cast("int")))
+    found = rows.select("session_id", F.explode(F.transform("w", lambda w: F.struct(w["win_ord"].alias("win_ord"), cut(w).alias("pcm")))).alias("x"))
+    return _vectors(found.select("session_id", "x.win_ord", F.lit(signal.RATE).alias("sample_rate"), "x.pcm"), model, limit_s)
+
+
+def _vectors(rows: DataFrame, model: Embedder, limit_s: float) -> DataFrame:
+    """Vectors of ``session_id, win_ord, sample_rate, pcm``.
+
+    A call that takes too long can't be ended from outside: its thread is left to itself, and the worker waits for it at its end.
+    """
 
     def vector(pool, pcm, rate):
         if pcm is None:
             return None
         try:
             return pool[0].submit(model, np.asarray(pcm, np.float32), int(rate)).result(limit_s)
-        except TimeoutError:  # the call is left to itself, the next ones get a thread of their own
+        except TimeoutError:  # the next calls get a thread of their own
             pool[0].shutdown(wait=False)
             pool[0] = ThreadPoolExecutor(1)
             return None
@@ -197,6 +221,37 @@ def embedded(windows: DataFrame, audio_rows: DataFrame, model: Embedder = stub_e
     return rows.mapInPandas(run, "session_id string, win_ord bigint, vector array<double>")
 
 
+def recognized_units(
+    units: DataFrame, model: Recognizer | None = None, load: Callable[[], Recognizer] = lambda: stub_recognizer, chunk_s: float = LONG_CHUNK_S, stride_s: float = STRIDE_S
+) -> DataFrame:
+    """:func:`recognized` for audio in units, which must overlap by ``chunk_s``: the same pieces, each heard in the unit where it begins."""
+    size, step = int(chunk_s * signal.RATE), int((chunk_s - 2 * stride_s) * signal.RATE)
+
+    def heard(hear: Recognizer, first: int, n_own: int, n: int, pcm: np.ndarray) -> Iterator[tuple]:
+        starts = range(-(-first // step) * step, first + n_own, step)
+        for at in starts:
+            if at and at - step + size >= n:  # the piece before was the last
+                return
+            low, high = (stride_s if at else 0.0), (float("inf") if at + size >= n else chunk_s - stride_s)
+            for text, s, e in hear(pcm[at - first : at - first + size], signal.RATE):
+                if low <= s < high:
+                    yield text, at / signal.RATE + s, None if e is None else at / signal.RATE + e
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hear = model or load()
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                found = heard(hear, int(r.first), int(r.n_own), int(r.n_samples), np.asarray(r.pcm, np.float32))
+                out += [(r.session_id, r.unit, k, text, {"start": s, "end": e}) for k, (text, s, e) in enumerate(found)]
+            yield pd.DataFrame(out, columns=["session_id", "unit", "k", "text", "ts"])
+
+    known = units.where(F.col("pcm").isNotNull()).select("session_id", "unit", "first", "n_own", "n_samples", "pcm")
+    found = known.mapInPandas(run, "session_id string, unit bigint, k bigint, text string, ts struct<start: double, end: double>")
+    order = F.row_number().over(Window.partitionBy("session_id").orderBy("unit", "k")) - 1
+    return found.select("session_id", order.cast("bigint").alias("chunk_ord"), "text", "ts")
+
+
 def drafts(spark: SparkSession, path: str) -> DataFrame:
     """Saved drafts; none where the path is missing, and rows that can't be read are left out."""
     try:
