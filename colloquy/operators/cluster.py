@@ -163,29 +163,87 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(norm == 0, 1, norm)
 
 
+def _last_max(values: np.ndarray) -> int:
+    return values.size - 1 - int(values[::-1].argmax())
+
+
 def _join_nearest(groups: list[list[int]], centers: list[np.ndarray], least: float, until: int) -> None:
     """Merge the most alike pair, in place, while it is at least ``least`` alike and more than ``until`` remain.
 
-    Of pairs as much alike, the last in order goes first. Similarities are kept as a
-    matrix of which a merge renews one row.
+    Of pairs as much alike, the last in order goes first. No matrix of similarities is kept: each row knows
+    its nearest later row. A merge renews the merged row and whatever has become nearer to it; a row whose
+    nearest one is gone or has moved off keeps its old similarity as a bound, and looks again only
+    when that bound is the best of all.
     """
     if len(groups) <= until:
         return
-    c = np.array(centers)
-    sims = np.where(np.triu(np.ones((len(c), len(c)), bool), 1), c @ c.T, -np.inf)
-    while len(groups) > until:
-        flat = sims.ravel()
-        best = flat.size - 1 - int(flat[::-1].argmax())
-        a, b = divmod(best, len(groups))
-        if not sims[a, b] >= least:
-            return
-        na, nb = len(groups[a]), len(groups[b])
-        centers[a] = _unit((centers[a] * na + centers[b] * nb) / (na + nb))
-        groups[a] = groups[a] + groups[b]
-        del groups[b], centers[b]
-        sims = np.delete(np.delete(sims, b, 0), b, 1)
-        like = np.array(centers) @ centers[a]
-        sims[a, a + 1 :], sims[:a, a] = like[a + 1 :], like[:a]
+    c, sizes = np.array(centers), np.array([len(g) for g in groups])
+    rows, left = list(groups), len(groups)
+    near, like = _nearest_later(c)
+    alive, stale = np.ones(left, bool), np.zeros(left, bool)
+    while left > until:
+        a = _last_max(like)
+        if stale[a]:
+            near[a], like[a] = _nearest_in(c[a + 1 :] @ c[a], alive[a + 1 :], a + 1)
+            stale[a] = False
+            continue
+        if not like[a] >= least:
+            break
+        b = int(near[a])
+        c[a] = _unit((c[a] * sizes[a] + c[b] * sizes[b]) / (sizes[a] + sizes[b]))
+        sizes[a] += sizes[b]
+        rows[a] = rows[a] + rows[b]
+        alive[b], like[b], stale[b], left = False, -np.inf, False, left - 1
+        new = c @ c[a]
+        near[a], like[a] = _nearest_in(new[a + 1 :], alive[a + 1 :], a + 1)
+        before = slice(0, a)
+        nearer = alive[before] & ((new[before] > like[before]) | ((new[before] == like[before]) & (near[before] < a) & ~stale[before]))
+        moved = (near == a) | (near == b)
+        moved[a] = moved[b] = False
+        stale |= moved & alive
+        near[before][nearer], like[before][nearer], stale[before][nearer] = a, new[before][nearer], False
+        if left < alive.size // 2:
+            place = np.cumsum(alive) - 1
+            keep = np.flatnonzero(alive)
+            lost = ~alive[near]
+            near, stale = place[near][keep], (stale | lost)[keep]
+            c, sizes, like, rows = c[keep], sizes[keep], like[keep], [rows[k] for k in keep]
+            alive = np.ones(left, bool)
+    keep = np.flatnonzero(alive)
+    groups[:], centers[:] = [rows[k] for k in keep], list(c[keep])
+
+
+def _nearest_later(c: np.ndarray, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the later one that is most alike, the last of several, and how much."""
+    n = len(c)
+    near, like = np.zeros(n, int), np.full(n, -np.inf)
+    for k in range(0, n, block):
+        sims = c[k : k + block] @ c[k:].T
+        sims[np.tril_indices(len(sims), 0, sims.shape[1])] = -np.inf
+        best = sims.shape[1] - 1 - sims[:, ::-1].argmax(1)
+        near[k : k + block], like[k : k + block] = k + best, sims[np.arange(len(sims)), best]
+    return near, like
+
+
+def _nearest_in(sims: np.ndarray, alive: np.ndarray, first: int) -> tuple[int, float]:
+    if not alive.any():
+        return 0, -np.inf
+    sims = np.where(alive, sims, -np.inf)
+    best = _last_max(sims)
+    return first + best, float(sims[best])
+
+
+def _similarities(x: np.ndarray, block: int = 512) -> np.ndarray:
+    """Similarities of all pairs of rows, each once, in one flat array."""
+    n, at = len(x), 0
+    out = np.empty(n * (n - 1) // 2)
+    for k in range(0, n, block):
+        sims = x[k : k + block] @ x[k:].T
+        for i in range(len(sims)):
+            own = sims[i, i + 1 :]
+            out[at : at + own.size] = own
+            at += own.size
+    return out
 
 
 def _numbered(groups: list[list[int]], n: int) -> np.ndarray:
@@ -219,19 +277,19 @@ def adaptive_labels(vectors: list, most: int = MAX_SPEAKERS) -> np.ndarray:
     if len(at) < 2:
         out[at] = 0
         return out
-    limit = threshold((x @ x.T)[np.triu_indices(len(x), 1)])
+    limit = threshold(_similarities(x))
     if limit is None:
         out[at] = 0
         return out
     groups, centers = [[i] for i in range(len(x))], list(x)
     _join_nearest(groups, centers, limit, 1)
+    c, alive = np.array(centers), np.ones(len(groups), bool)
     for k in range(len(groups) - 1, -1, -1):  # the smallest join what is nearest, from the last on
-        if len(groups) > 1 and len(groups[k]) < SMALL:
-            like = np.array(centers) @ centers[k]
-            like[k] = -np.inf
-            to = int(like.argmax())
+        if alive.sum() > 1 and len(groups[k]) < SMALL:
+            alive[k] = False
+            to = int(np.where(alive, c @ c[k], -np.inf).argmax())
             groups[to] = groups[to] + groups[k]
-            del groups[k], centers[k]
+    groups, centers = [groups[k] for k in np.flatnonzero(alive)], list(c[alive])
     _join_nearest(groups, centers, -1.0, most)
     groups.sort(key=min)
     means = _unit(np.array([x[g].mean(0) for g in groups]))

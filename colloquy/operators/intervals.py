@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.functions import ranks
 from colloquy.functions import text as X
 
 BUCKET_S = 60.0
@@ -181,10 +182,9 @@ def first_window_label(frames: DataFrame, windows: DataFrame) -> DataFrame:
 
 def label_pitch(frames: DataFrame, windows: DataFrame) -> DataFrame:
     """Each label's representative pitch: the upper median of its frames, 0 without any."""
-    listed = first_window_label(frames, windows).groupBy("session_id", "label").agg(F.sort_array(F.collect_list("pitch_hz")).alias("_p"))
+    upper = ranks.by_rank(first_window_label(frames, windows), ["session_id", "label"], "pitch_hz", {"_p": ranks.UPPER})
     labels = windows.where(F.col("label") >= 0).select("session_id", "label").distinct()
-    upper = F.try_element_at("_p", (F.floor(F.size("_p") / 2) + 1).cast("int"))
-    return labels.join(listed, ["session_id", "label"], "left").select("session_id", "label", F.coalesce(upper, F.lit(0.0)).alias("pitch_hz"))
+    return labels.join(upper, ["session_id", "label"], "left").select("session_id", "label", F.coalesce("_p", F.lit(0.0)).alias("pitch_hz"))
 
 
 def utterance_frames(utterances: DataFrame, frames: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from colloquy.functions import signal, vectors
+from colloquy.functions import ranks, signal, vectors
 from colloquy.functions import text as X
 from colloquy.operators import cluster, detect, edits, intervals, ordered, store, summary
 from colloquy.plans import fixtures as D
@@ -596,7 +596,7 @@ SELECT user_id, round(any_value(raw), 6) AS raw_median,
 )
 def robust_pitch(spark, sf_dir):
     rows = D.table(spark, sf_dir, "events").select("user_id", "value")
-    upper = rows.groupBy("user_id").agg(vectors.upper_median(F.collect_list("value")).alias("upper_median"))
+    upper = ranks.by_rank(rows, ["user_id"], "value", {"upper_median": ranks.UPPER})
     done = vectors.octave_folded_median(rows, ["user_id"], "value").join(upper, "user_id")
     return done.select("user_id", *(F.round(c, 6).alias(c) for c in ("raw_median", "folded_median", "upper_median")))
 
