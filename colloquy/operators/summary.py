@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as X
+from colloquy.sources import scratch
 
 #: Words that carry no content. Fixed value.
 STOP_WORDS = (
@@ -82,28 +83,42 @@ def top_sentences(segments: DataFrame, k: int = OVERVIEW) -> DataFrame:
     return scored(sentences(segments)).withColumn("rank", rank).where(F.col("rank") <= k).select("session_id", "rank", "ord", "speaker_id", "text", "score")
 
 
+#: Sentences of prose that are looked at as one list, and the mark of a session that may need more.
+BLOCK, MORE = 512, "more prose"
+
 PICK = "array<struct<rank: double, ord: int, text: string, words: array<string>>>"
 
 
-def _pick(ranked: Column, k: int) -> Column:
-    """From sentences best first, those unlike all picked before, up to ``k``."""
+def _like(a: Column, b: Column) -> Column:
+    common = F.size(F.array_intersect(a["words"], b["words"]))
+    union = F.size(a["words"]) + F.size(b["words"]) - common
+    return (union > 0) & (common / union > SAME)
+
 
-    def like(a: Column, b: Column) -> Column:
-        common = F.size(F.array_intersect(a["words"], b["words"]))
-        union = F.size(a["words"]) + F.size(b["words"]) - common
-        return (union > 0) & (common / union > SAME)
+def _pick(ranked: Column, k: int, start: Column | None = None) -> Column:
+    """From sentences best first, those unlike all picked before, up to ``k``; ``start`` are picked already."""
 
     def step(picked: Column, x: Column) -> Column:
-        skip = (F.size(picked) >= k) | F.exists(picked, lambda p: like(p, x))
+        skip = (F.size(picked) >= k) | F.exists(picked, lambda p: _like(p, x))
         return F.when(skip, picked).otherwise(F.concat(picked, F.array(x)))
 
-    return F.aggregate(ranked, F.array().cast(PICK), step)
+    return F.aggregate(ranked, F.array().cast(PICK) if start is None else start, step)
+
 
+def _sections(prose: Column, template: str, line) -> Column:
+    """``line(section, sentence)`` of overview and key points, from the best prose of one session.
 
-def _sections(prose: Column, template: str, body) -> Column:
-    """``body(overview, key points)`` of the prose of one session, best first."""
+    A session that has more prose than that, and fewer picks than there may be, has a line :data:`MORE` instead.
+    """
     overview = lambda p, o: F.filter(p, lambda x: ~F.exists(o, lambda y: y["ord"] == x["ord"]))
-    return _let(F.array_sort(prose).cast(PICK), lambda p: _let(_pick(p, OVERVIEW), lambda o: body(o, _pick(overview(p, o), KEY_POINTS[template]))))
+    most = KEY_POINTS[template]
+
+    def both(p: Column, o: Column, k: Column) -> Column:
+        lines = lambda name, x: F.transform(x, lambda y: line(name, y))
+        few = (F.size(p) >= BLOCK) & ((F.size(o) < OVERVIEW) | (F.size(k) < most))
+        return F.when(few, lines(MORE, F.slice(p, 1, 1))).otherwise(F.concat(lines("overview", o), lines("key_points", k)))
+
+    return _let(F.array_sort(prose).cast(PICK), lambda p: _let(_pick(p, OVERVIEW), lambda o: _let(_pick(overview(p, o), most), lambda k: both(p, o, k))))
 
 
 def _let(value: Column, body) -> Column:
@@ -112,18 +127,77 @@ def _let(value: Column, body) -> Column:
 
 
 def _prose() -> Column:
-    """The sentences of prose as entries of which the best come first."""
-    return F.collect_list(F.when(F.col("kind") == "prose", F.struct((-F.col("score")).alias("rank"), "ord", "text", "words")))
+    """The best sentences of prose as entries of which the best come first; rows have ``_best``, their rank in session and kind."""
+    return F.collect_list(F.when((F.col("kind") == "prose") & (F.col("_best") <= BLOCK), F.struct((-F.col("score")).alias("rank"), "ord", "text", "words")))
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_best", F.row_number().over(Window.partitionBy("session_id", "kind").orderBy(F.desc("score"), "ord")))
 
 
 def picked(rows: DataFrame, template: str) -> DataFrame:
     """``session_id, section, ord, text`` of overview and key points, from classified sentences.
 
-    The prose of one session is one array, best first; its size is that of the session.
+    The best :data:`BLOCK` sentences of a session's prose are one array, best first. Sessions of more prose that
+    need further sentences get them in rounds, see :func:`_in_rounds`.
+    """
+    line = lambda name, s: F.struct(F.lit(name).alias("section"), s["ord"].alias("ord"), s["text"].alias("text"))
+    found = _ranked(rows.where("kind = 'prose'")).where(F.col("_best") <= BLOCK).groupBy("session_id").agg(_sections(_prose(), template, line).alias("both"))
+    found = found.select("session_id", F.explode("both").alias("s")).select("session_id", "s.*")
+    return _completed(found, rows, template)
+
+
+def _completed(found: DataFrame, rows: DataFrame, template: str) -> DataFrame:
+    """``found`` with the picks of the sessions that have a line :data:`MORE` in place of it."""
+    found = scratch.written(found, "summary")
+    more = found.where(F.col("section") == MORE).select("session_id")
+    if more.isEmpty():
+        return found
+    prose = rows.where("kind = 'prose'").join(more, "session_id", "left_semi").select("session_id", (-F.col("score")).alias("rank"), "ord", "text", "words")
+    prose = scratch.written(prose, "prose")
+    overview = _in_rounds(prose, OVERVIEW)
+    points = _in_rounds(prose.join(overview, ["session_id", "ord"], "left_anti"), KEY_POINTS[template])
+    both = overview.select("session_id", F.lit("overview").alias("section"), "ord", "text").unionByName(points.select("session_id", F.lit("key_points").alias("section"), "ord", "text"))
+    for field in found.schema:
+        if field.name not in both.columns:
+            both = both.withColumn(field.name, F.lit(None).cast(field.dataType))
+    return found.where(F.col("section") != MORE).unionByName(both.select(found.columns))
+
+
+def _in_rounds(prose: DataFrame, k: int) -> DataFrame:
+    """``session_id, ord, text``: the sentences of ``prose`` that :func:`_pick` picks, for sessions of any length.
+
+    A round takes the best :data:`BLOCK` sentences of a session that come after the last ones and are like none
+    that is picked already; every task keeps no more of a session. The first of them is picked
+    for certain, so there are as many rounds as picks at most, and usually one or two.
     """
-    section = lambda name, x: F.transform(x, lambda s: F.struct(F.lit(name).alias("section"), s["ord"].alias("ord"), s["text"].alias("text")))
-    both = _sections(_prose(), template, lambda o, k: F.concat(section("overview", o), section("key_points", k)))
-    return rows.groupBy("session_id").agg(both.alias("both")).select("session_id", F.explode("both").alias("s")).select("session_id", "s.*")
+    best = Window.partitionBy("session_id").orderBy("rank", "ord")
+    entry = F.struct("rank", "ord", "text", "words")
+    state, done = None, []
+    while True:
+        if state is None:
+            left = prose.withColumn("p", F.array().cast(PICK))
+        else:
+            left = prose.join(state.where("open").drop("open"), "session_id")
+            left = left.where((F.struct("rank", "ord") > F.col("last")) & ~F.exists("p", lambda x: _like(x, entry))).drop("last")
+        top = left.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= BLOCK)
+        step = top.groupBy("session_id").agg(F.array_sort(F.collect_list(entry)).alias("x"), F.first("p").alias("p"))
+        step = step.withColumn("now", _pick(F.col("x"), k, F.col("p")))
+        last = F.element_at("x", -1)
+        made = step.select(
+            "session_id", F.col("now").alias("p"), F.struct(last["rank"].alias("rank"), last["ord"].alias("ord")).alias("last"),
+            ((F.size("x") >= BLOCK) & (F.size("now") < k)).alias("open"),
+        )
+        # A session whose pool ran out in this round keeps what it had.
+        made = made if state is None else made.unionByName(state.where("open").join(made, "session_id", "left_anti").withColumn("open", F.lit(False)))
+        state = scratch.written(made, "picks")
+        done.append(state.where("not open"))
+        if state.where("open").isEmpty():
+            break
+    rows = done[0]
+    for more in done[1:]:
+        rows = rows.unionByName(more)
+    return rows.select("session_id", F.explode("p").alias("s")).select("session_id", "s.ord", "s.text")
 
 
 def first_items(rows: DataFrame, which: str, limit: int) -> DataFrame:
@@ -189,10 +263,10 @@ def summary(segments: DataFrame, template: str = "meeting") -> DataFrame:
         rows = rows.withColumn("_pair", answered)
         pair = F.col("_answer").isNotNull() & (F.col("_pair") <= PAIRS)
         listed.append(lines(pair, "qa_pairs", owner_id=F.col("speaker_id"), answer=F.col("_answer.text"), answerer_id=F.col("_answer.speaker_id")))
-    section = lambda name, x: F.transform(x, lambda s: F.struct(F.lit(name).alias("section"), s["ord"].alias("ord"), s["text"].alias("text"), *(v.alias(k) for k, v in none.items())))
-    prose = _sections(_prose(), template, lambda o, k: F.concat(section("overview", o), section("key_points", k))).cast(_LINE)
+    line = lambda name, s: F.struct(F.lit(name).alias("section"), s["ord"].alias("ord"), s["text"].alias("text"), *(v.alias(k) for k, v in none.items()))
+    prose = _sections(_prose(), template, line).cast(_LINE)
     whole = rows.groupBy("session_id").agg(F.concat(prose, *listed).alias("lines"))
-    return whole.select("session_id", F.explode("lines").alias("x")).select("session_id", "x.*")
+    return _completed(whole.select("session_id", F.explode("lines").alias("x")).select("session_id", "x.*"), rows, template)
 
 
 #: Sections in the order of the text, their headings and line starts. Fixed values.
