@@ -5,10 +5,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as X
+from colloquy.sources.sessions import SessionTable
 
 DRAFTS_KEPT = 20
 
@@ -169,6 +170,14 @@ def with_state(state: DataFrame, changes: DataFrame) -> DataFrame:
     return both.groupBy("session_id", "name").agg(F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq"))
 
 
-def written_sessions(table: DataFrame, path: str) -> None:
-    """Overwrite the partitions of the sessions in ``table``; other sessions stay."""
-    table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(path)
+def written_sessions(table: DataFrame, path: str, gone: DataFrame | None = None) -> int:
+    """Overwrite the sessions in ``table``, and delete those in ``gone``, in the session table at ``path``; other sessions stay.
+
+    All of it happens or nothing, see :class:`colloquy.sources.sessions.SessionTable`. Returns the version's number.
+    """
+    return SessionTable(table.sparkSession, path).overwrite(table, gone)
+
+
+def read_sessions(spark: SparkSession, path: str, sessions: list[str] | None = None) -> DataFrame:
+    """The session table at ``path``, or some of its sessions, whose buckets alone are read."""
+    return SessionTable(spark, path).read(sessions)

@@ -144,10 +144,15 @@ def docx_texts(files: DataFrame) -> DataFrame:
 
 
 def write_text(rows: DataFrame, column: str, path: str) -> None:
-    """One directory for each session with its text."""
+    """One directory for each session with its text, for reading by people; :func:`write_texts` keeps many sessions."""
     rows.select("session_id", F.col(column).alias("value")).write.mode("overwrite").partitionBy("session_id").text(path)
 
 
+def write_texts(rows: DataFrame, column: str, path: str) -> int:
+    """Texts of any number of sessions as a session table; those that were there and aren't in ``rows`` stay."""
+    return store.written_sessions(rows.select("session_id", F.col(column).alias("value")), path)
+
+
 def write_drafts(drafts: DataFrame, path: str) -> bool:
     """Whether the drafts could be saved."""
     try:

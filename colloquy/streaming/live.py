@@ -22,12 +22,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from colloquy.operators.cluster import Voices
+from colloquy.sources.sessions import bucket
 
 #: Words at the live edge that may still change; frames held between utterances. Fixed values.
 OPEN_WORDS, FRAMES_HELD = 1, 600
 #: Milliseconds without an input after which a session with open words is kicked (a fixed value), and after which it ends.
 KICK_MS, IDLE_MS = 8_000, 600_000
 INTERIM_ID = "live-interim"
+#: Folders of raw recordings, and parts of one level that are merged into one of the next.
+RECORD_BUCKETS, MERGED = 16, 8
 
 #: kind: start, frame, interim, final or end. Frames have pitch and timbre, results have text.
 INPUT = "session_id string, seq bigint, kind string, time_s double, text string, pitch_hz double, centroid_hz double"
@@ -268,44 +271,78 @@ def compacted(changed: DataFrame) -> DataFrame:
     return ends.unionByName(changed.where("op = 'retag'").distinct()).unionByName(speakers)
 
 
-def upsert_sink(path: str, every: int = 32):
+def upsert_sink(path: str, every: int = MERGED):
     """A ``foreachBatch`` function that writes change rows by batch; a batch that runs again overwrites its own.
 
-    After each ``every`` batches what is there is compacted into one part, whose name is the
-    negative number of the last batch in it; the parts behind it go afterwards, so a
-    failure in between leaves rows twice, which changes nothing.
+    Parts are kept in levels. Whenever ``every`` parts of one level are there, they are compacted into one part of the next,
+    so a row is written again once a level: the logarithm of the number of batches times in all, and no
+    batch waits for all history. 0 merges nothing. A part's name is its batch number, or a negative number made of its level and
+    the last batch in it. The parts behind a new one go afterwards, so a failure in between leaves rows twice,
+    which changes nothing.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        if every and batch_id and batch_id % every == 0:
-            spark = batch.sparkSession
-            whole = change_table(spark, path)
-            compacted(whole.where(F.col("batch") <= batch_id).drop("batch")).write.mode("overwrite").parquet(f"{path}/batch={-batch_id}")
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-            for status in fs.listStatus(folder):
-                name = status.getPath().getName()
-                if name.startswith("batch=") and -batch_id < int(name[6:]) <= batch_id:
-                    fs.delete(status.getPath(), True)
+        if not every:
+            return
+        spark = batch.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        names = (status.getPath().getName() for status in fs.listStatus(folder))
+        levels: dict[int, list[int]] = {}
+        for number in sorted((int(n[6:]) for n in names if n.startswith("batch=")), key=_part_end):
+            levels.setdefault(_part_level(number), []).append(number)
+        level = 0
+        while len(parts := levels.get(level, [])) >= every:
+            level += 1
+            merged = -(_part_end(parts[-1]) * LEVELS + level)
+            rows = spark.read.schema(OUTPUT).parquet(*(f"{path}/batch={n}" for n in parts))
+            compacted(rows).write.mode("overwrite").parquet(f"{path}/batch={merged}")
+            for n in parts:
+                fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={n}"), True)
+            levels.setdefault(level, []).append(merged)
 
     return write
 
 
+#: More levels than parts of any number can have.
+LEVELS = 64
+
+
+def _part_level(number: int) -> int:
+    return 0 if number >= 0 else -number % LEVELS
+
+
+def _part_end(number: int) -> int:
+    """The last batch in a part."""
+    return number if number >= 0 else -number // LEVELS
+
+
 def change_table(spark: SparkSession, path: str) -> DataFrame:
     """What :func:`upsert_sink` has written, with ``batch``."""
     return spark.read.schema(f"{OUTPUT}, batch bigint").parquet(path)
 
 
-def recorded(buffers: DataFrame, path: str, checkpoint: str, flush: str = "10 seconds"):
-    """Start writing a stream of raw audio buffers ``(session_id, buf_ord, pcm)`` as it comes, in files by session.
+def recorded(buffers: DataFrame, path: str, checkpoint: str, flush: str = "10 seconds", buckets: int = RECORD_BUCKETS):
+    """Start writing a stream of raw audio buffers ``(session_id, buf_ord, pcm)`` as it comes, in files by a hash of the session.
 
-    What was flushed stays, however the query stops; :func:`readers.pcm_batches` and the batch pass read it.
+    A flush writes ``buckets`` folders' files at most, however many sessions speak. What was flushed stays, however
+    the query stops; :func:`recording` reads it back for :func:`readers.pcm_batches` and the batch pass.
     """
-    writer = buffers.writeStream.format("parquet").outputMode("append").partitionBy("session_id")
+    rows = buffers.withColumn("bucket", bucket(F.col("session_id"), buckets)).repartition(buckets, "bucket")
+    writer = rows.writeStream.format("parquet").outputMode("append").partitionBy("bucket")
     return writer.option("path", path).option("checkpointLocation", checkpoint).trigger(processingTime=flush).start()
 
 
+def recording(spark: SparkSession, path: str, session_id: str | None = None, buckets: int = RECORD_BUCKETS) -> DataFrame:
+    """What :func:`recorded` has written, or one session of it, of which only the session's folder is read."""
+    rows = spark.read.parquet(path)
+    if session_id is not None:
+        own = spark.range(1).select(bucket(F.lit(session_id), buckets)).first()[0]
+        rows = rows.where((F.col("bucket") == own) & (F.col("session_id") == session_id))
+    return rows.drop("bucket")
+
+
 def analysis_sink(path: str):
     """A ``foreachBatch`` function that analyses the segments which a batch of change rows has made or changed.
 

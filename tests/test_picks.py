@@ -22,7 +22,7 @@ def prose(seed, sessions=4, n=60):
     return rows
 
 
-@pytest.mark.parametrize("block", [1, 3, 8, 512])
+@pytest.mark.parametrize("block", [2, 8, 512])
 def test_rounds(spark, monkeypatch, block):
     monkeypatch.setattr(summary, "BLOCK", block)
     rows = prose(block)
