@@ -86,6 +86,11 @@ class Encoder:
         kinds = proto.pieces[0].DESCRIPTOR.enum_types_by_name["Type"].values_by_name
         byte, odd = kinds["BYTE"].number, {kinds["USER_DEFINED"].number, kinds["UNUSED"].number}
         self.unknown = self.library.unk_id()
+        #: Symbols that a user defined, by their first byte, the longest first: the character map leaves them as they are.
+        self.symbols: dict[int, list[bytes]] = {}
+        own = (p.piece.encode() for p in proto.pieces if p.type == kinds["USER_DEFINED"].number)
+        for symbol in sorted(filter(None, own), key=len, reverse=True):
+            self.symbols.setdefault(symbol[0], []).append(symbol)
         self.length = np.array([1 if p.type == byte else len(p.piece.encode()) for p in proto.pieces])
         # No piece has a space mark behind another character, so no merge crosses from
         # one word to the next and words can be encoded one by one.
@@ -128,8 +133,11 @@ class Encoder:
     def _normalise(self, data: bytes):
         pieces, at = [], 0
         while at < len(data):
-            found = self.map.longest(data, at)
-            if found:
+            symbol = next((x for x in self.symbols.get(data[at], ()) if data.startswith(x, at)), None)
+            found = None if symbol else self.map.longest(data, at)
+            if symbol:
+                size, target = len(symbol), symbol
+            elif found:
                 size, target = found
             else:
                 size = 1 + sum(data[at] >= x for x in (0xC0, 0xE0, 0xF0))
@@ -154,7 +162,14 @@ class Encoder:
                 target = target.lstrip(b" ")
             if target:
                 blank = target.endswith(b" ")
-                put(target.replace(b" ", mark), lo, hi)
+                if data[hi - len(target) : hi] == target and len(target) > 1:  # as in the text: each character has its own span
+                    at = hi - len(target)
+                    for char in target.decode():
+                        size = len(char.encode())
+                        put(mark if char == " " else char.encode(), at, at + size)
+                        at += size
+                else:
+                    put(target.replace(b" ", mark), lo, hi)
         if self.squeeze:
             while out.endswith(mark):
                 del out[-len(mark) :], begin[-len(mark) :], end[-len(mark) :]

@@ -95,3 +95,30 @@ def test_long_entries(tmp_path):
             size, target = own.longest(data, at)
             out, at = out + target, at + size
         assert out.decode() == library.normalize("あ" * n).lstrip(S.SPACE)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text("ab ﬁ①② x", max_size=20))
+def test_user_defined_symbols(text):
+    """A user's symbols stay as they are where the character map would change them."""
+    proto, other = sentencepiece_model_pb2.ModelProto(), sentencepiece_model_pb2.ModelProto()
+    proto.ParseFromString(MODEL)
+    other.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto())
+    proto.normalizer_spec.CopyFrom(other.normalizer_spec)
+    proto.normalizer_spec.add_dummy_prefix = proto.normalizer_spec.escape_whitespaces = True
+    known = {p.piece: k for k, p in enumerate(proto.pieces)}
+    for k, symbol in enumerate(("①", "ﬁ", "① x", "①ﬁ")):
+        piece = proto.pieces[known.get(symbol, 20000 + k)]
+        piece.piece, piece.type = symbol, 4
+    for squeeze in (False, True):
+        proto.normalizer_spec.remove_extra_whitespaces = squeeze
+        model = S.encoder(proto.SerializeToString())
+        ids = model.ids(text)
+        got, begin, end = model.normalise(text)
+        want = "".join(model.library.encode(text, out_type=str))
+        if "<0x" not in want:
+            assert got.decode() == want
+        model.spans(text, ids)
+        data = text.encode()
+        for piece, lo, hi in zip(model.library.encode(text, out_type=str), *model.spans(text, ids), strict=True):
+            assert piece not in ("①", "ﬁ", "①ﬁ") or data[lo:hi].decode() == piece
