@@ -273,31 +273,34 @@ def fit(
 ) -> Model:
     """A model from labelled passages: whole texts are cut into passages of ``chars`` characters, and ``passages`` are taken of each language.
 
-    They come from about :data:`SAMPLE_DOCS` documents of the least hashed ids, one of every
-    document before a second of any, by hash, so from anywhere in a text. Every language is
+    They come from about :data:`SAMPLE_DOCS` different ids of each language, those of the least hashes and always the very least,
+    one passage of every document before a second of any, by hash, so from anywhere in a text. Every language is
     learned; with so many that the samples would pass :data:`SAMPLE_TOTAL` characters, each
     gets fewer passages, and more than :data:`MAX_LANGUAGES` are refused. Rows with a
-    null id, text or language teach nothing; repeated rows teach once; without rows every
-    prediction is undetermined.
+    null id, text or language teach nothing; an id's repeated rows teach once and take no other id's
+    place; without rows every prediction is undetermined.
     """
     source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).dropna()
-    counts = source.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    hashed = F.xxhash64("doc_id")
+    counts = source.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("ids"), F.min(hashed).alias("least")).limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
         return Model({})
     passages = max(1, min(passages, SAMPLE_TOTAL // (chars * len(counts))))
-    table = source.sparkSession.createDataFrame([(r["lang"], min(1.0, SAMPLE_DOCS / r["count"])) for r in counts], "lang string, part double")
-    place = (F.xxhash64("doc_id") / F.lit(float(1 << 64))) + 0.5
-    some = source.join(F.broadcast(table), "lang").where(place < F.col("part"))  # MAX_LANGUAGES rows at most
+    table = source.sparkSession.createDataFrame([(r["lang"], min(1.0, SAMPLE_DOCS / max(r["ids"], 1)), r["least"]) for r in counts], "lang string, part double, least long")
+    place = (hashed / F.lit(float(1 << 64))) + 0.5
+    # The table has MAX_LANGUAGES rows at most.
+    some = source.join(F.broadcast(table), "lang").where((place < F.col("part")) | (hashed == F.col("least")))
     # A row of an id and language stands for all of them, so repeated rows don't swell the sample.
     own = some.groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
     count = F.greatest(F.ceil(F.length("text") / chars), F.lit(1)).cast("int")
-    cut = own.select("lang", "doc_id", "text", F.explode(F.sequence(F.lit(0), count - 1)).alias("at"))
-    cut = cut.select("lang", "doc_id", "at", F.substring("text", F.col("at") * chars + 1, F.lit(chars)).alias("passage"), F.xxhash64("doc_id", "at").alias("h"))
-    turn = F.row_number().over(Window.partitionBy("lang", "doc_id").orderBy("h", "at"))
+    # Places are drawn before any is cut, as finding one is a walk through the text.
+    places = F.array_sort(F.transform(F.sequence(F.lit(0), count - 1), lambda at: F.struct(F.xxhash64("doc_id", at).alias("h"), at.alias("at"))))
+    cut = own.select("lang", "doc_id", "text", F.posexplode(F.slice(places, 1, passages)).alias("turn", "x"))
+    cut = cut.select("lang", "doc_id", "turn", "x.h", F.substring("text", F.col("x.at") * chars + 1, F.lit(chars)).alias("passage"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("turn", "h", "doc_id"))
-    rows = cut.withColumn("turn", turn).where(F.col("turn") <= passages).withColumn("nth", nth).where(F.col("nth") <= passages)
+    rows = cut.withColumn("nth", nth).where(F.col("nth") <= passages)
     samples: dict[str, list] = {}
     for r in rows.select("lang", "nth", "passage").collect():
         samples.setdefault(r["lang"], []).append((r["nth"], r["passage"]))

@@ -97,3 +97,30 @@ def test_edges(spark):
     assert L.fit(docs).languages == ["a", "b", "d"]
     assert {r.lang_pred for r in L.predicted(docs, L.fit(docs.limit(0))).collect()} == {"und"}
     assert L.predicted(docs.limit(0), MODEL).count() == 0
+
+
+def test_repeated_rows_take_no_other_place(spark):
+    """A language of a few ids that are repeated by the thousand is learned like the others."""
+    french = ["ceci est du francais et il fait beau", "nous avons des chevaux dans la cour", "les enfants jouent avec le chien"]
+    english = "this is some english text about weather and horses number"
+    rows = [(k % 3, french[k % 3], "fr") for k in range(30_000)] + [(100 + k, f"{english} {k}", "en") for k in range(50)]
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["en", "fr"]
+    assert model.predict(["ceci est du francais", "this is english text"])[0] == ["fr", "en"]
+
+
+def test_sample_is_never_empty(spark, monkeypatch):
+    """Of a language of many ids the one of the least hash is always learned."""
+    monkeypatch.setattr(L, "SAMPLE_DOCS", 0)
+    rows = [(k, f"some words {k}", "en") for k in range(300)]
+    assert L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).languages == ["en"]
+
+
+def test_long_text_fits_fast(spark):
+    import time
+
+    word = "beau temps dans la cour des chevaux "
+    docs = spark.createDataFrame([(1, word * 110_000, "fr"), (2, "english words here", "en")], "doc_id long, text string, lang string")
+    docs.count()
+    began = time.monotonic()
+    assert L.fit(docs).languages == ["en", "fr"] and time.monotonic() - began < 20
