@@ -100,19 +100,24 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "label", limit: int = MAX_LABELLED) -> Model:
-    """A model of at most ``limit`` ids of ``labels(doc_id, label)``, those of the least hashes.
+    """A model of at most ``limit`` labelled ids that have a document, those of the least hashes.
 
     An id counts once however often it is labelled; labels that contradict each other
     give their mean. Rows with a null id or label, and ids without a document, teach
-    nothing. Of several documents of an id the one with the least text stands for all.
+    nothing and take no other id's place. Of several documents of an id the one with the least text stands for all.
     """
     known = labels.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{label}`").cast("double").alias("label")).dropna()
     known = written(known.groupBy("doc_id").agg(F.avg("label").alias("label")), "labels")
-    total, hashed = known.count(), F.xxhash64("doc_id")
-    # Only for speed: enough ids have hashes below this to choose from, so that tasks sort few.
-    some = known.where(hashed < int(-(1 << 63) + (1 << 64) * min(1.0, 2 * limit / max(total, 1)))) if total > 4 * limit else known
-    chosen = (some if some is known or some.count() >= limit else known).orderBy(hashed, "doc_id").limit(limit)
     source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    hashed, most = F.xxhash64("doc_id"), 4 * limit
+    # A few times the ids wanted are looked for among the documents' ids; where too many of them have no document, all are.
+    total = known.count()
+    some = known.where(hashed < int(-(1 << 63) + (1 << 64) * min(1.0, 1.5 * most / max(total, 1)))) if total > 2 * most else known
+    first = some.orderBy(hashed, "doc_id").limit(most) if total > most else known
+    there = written(source.select("doc_id").join(F.broadcast(first), "doc_id").groupBy("doc_id").agg(F.first("label").alias("label")), "labelled")
+    if total > most and there.count() < limit:
+        there = known.join(source.select("doc_id"), "doc_id", "left_semi")
+    chosen = written(there.orderBy(hashed, "doc_id").limit(limit), "chosen")
     # At most ``limit`` rows are broadcast.
     own = source.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     sample = own.join(F.broadcast(chosen), "doc_id")

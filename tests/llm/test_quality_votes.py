@@ -106,3 +106,13 @@ def test_brute_force(spark):
         voters = [(max(s, 1e-6), y) for s, y in like if s >= like[min(Q.VOTERS, len(like)) - 1][0] - Q.TIE]
         want = sum(s**Q.POWER * y for s, y in voters) / sum(s**Q.POWER for s, _ in voters)
         assert abs(got[doc] - want) < 0.02, doc
+
+
+def test_labels_of_absent_ids_take_no_place(spark):
+    """100,000 labelled ids of which 100 have a document: all of those are learned, whatever the limit of the sample."""
+    docs = spark.range(100).select((F.col("id") * 1000).alias("doc_id"), F.concat(F.lit("some text number "), F.col("id")).alias("text"))
+    labels = spark.range(100_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("label"))
+    assert Q.fit(docs, labels, limit=100).labels.size == 100
+    assert Q.fit(docs, labels, limit=30).labels.size == 30
+    both = Q.fit(docs.unionByName(docs), labels.unionByName(labels), limit=60_000)
+    assert both.labels.size == 100
