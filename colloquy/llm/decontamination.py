@@ -6,7 +6,11 @@ the texts, the words around an item's hits are looked at where enough of the ite
 words stand for a match; there a Smith-Waterman alignment finds the best local match,
 so that a copy with words changed, left out or put in still scores high. Every hit
 counts, however many documents have its n-gram: a passage copied widely is a match too.
-Items of one or two words have no n-gram; they match where all of their words stand in a row.
+A match needs a part of its item's words, so one of the item's rarest words (as many as the others leave no
+match without) is always among them. Windows without one are not opened: openings that
+thousands of items share cost next to nothing, and no match is lost.
+Items of one or two words have no n-gram; they match where all of their words stand in a row, and give
+one row for a text, with the number of places.
 
 Items are taken in blocks of bounded size, and each block's n-grams are broadcast. One
 block, so one scan of the texts, holds all public benchmarks in use today several times.
@@ -57,26 +61,40 @@ class Items:
         inside = np.flatnonzero(place[: code.size] <= self.size[owner[: code.size]] - GRAM)  # not over an item's end
         self.grams, number = np.unique(code[inside], return_inverse=True)
         order = np.argsort(number, kind="stable")
-        self.owner, self.place = owner[inside][order], place[inside][order]
+        self.owner = owner[inside][order]
         self.first = np.searchsorted(number[order], np.arange(self.grams.size + 1))
+        #: The n-grams of each item and their places in it.
+        self.own_gram, self.own_place = number.astype(np.int32), place[inside]
+        self.own_first = np.searchsorted(owner[inside], np.arange(self.size.size + 1))
         self.need = np.maximum(THRESHOLD * MATCH * self.size, np.minimum(MATCH * self.size, MATCH * LEAST_WORDS))
+        self._rarest(owner)
         #: Items too short for an n-gram, by their words.
         self.short: dict[tuple, list[int]] = {}
         for item in np.flatnonzero(self.size < GRAM):
             self.short.setdefault(tuple(self.words(item).tolist()), []).append(int(item))
 
+    def _rarest(self, owner: np.ndarray) -> None:
+        """Of an item's ``m`` words, ``a`` of which a match has at least, the ``m - a + 1`` that the fewest items have."""
+        pairs = np.unique(owner.astype(np.int64) * self.base + self.flat)
+        items_with = np.bincount(pairs % self.base, minlength=self.base)
+        order = np.lexsort((self.flat, items_with[self.flat], owner))
+        rank = np.arange(order.size) - self.offset[owner[order]]
+        keep = order[rank <= self.size[owner[order]] - np.ceil(self.need[owner[order]] / MATCH)]
+        self.rare, self.rare_first = self.flat[keep], np.searchsorted(owner[keep], np.arange(self.size.size + 1))
+
     def words(self, item: int) -> np.ndarray:
         return self.flat[self.offset[item] : self.offset[item] + self.size[item]]
 
-    def whole(self, words: np.ndarray) -> Iterator[tuple[int, int]]:
-        """Items under :data:`GRAM` words and the places where they stand."""
+    def whole(self, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Items under :data:`GRAM` words that stand in a text, the first place, and the number of places."""
         for own, items in self.short.items():
             same = words[: max(words.size - len(own) + 1, 0)] == own[0]
             for k, word in enumerate(own[1:], 1):
                 same = same & (words[k : k + same.size] == word)
-            for at in np.flatnonzero(same):
+            at = np.flatnonzero(same)
+            if at.size:
                 for item in items:
-                    yield item, int(at)
+                    yield item, int(at[0]), int(at.size)
 
     def codes(self, words: np.ndarray) -> np.ndarray:
         """The numbers of n-grams of known words (-1: a word is unknown)."""
@@ -114,27 +132,48 @@ class Items:
         """From a document's hits: item's number, first place and words around.
 
         An alignment scores at most :data:`MATCH` for each of the item's words that the
-        window has, so windows with too few are left out without loss.
+        window has, so windows with too few are left out without loss, as are those without any of the item's rarest words.
+        What is held at once are the hits of one item.
         """
-        count = self.first[number + 1] - self.first[number]
-        row = _runs(self.first[number], count)
-        at = np.repeat(at, count)
-        owner = self.owner[row]
-        items = np.unique(owner)
+        grams = np.unique(number)
+        items = np.unique(self.owner[_runs(self.first[grams], self.first[grams + 1] - self.first[grams])])
         present = np.zeros(self.base, bool)
         present[words[words >= 0]] = True
         inside = np.add.reduceat(present[self.flat[_runs(self.offset[items], self.size[items])]], np.cumsum(self.size[items]) - self.size[items], dtype=np.int64)
-        for item in items[MATCH * inside >= self.need[items]]:
-            own, m = owner == item, int(self.size[item])
+        rare = self.rare_first[items + 1] - self.rare_first[items]
+        some = np.add.reduceat(present[self.rare[_runs(self.rare_first[items], rare)]], np.cumsum(rare) - rare, dtype=np.int64)
+        items = items[(MATCH * inside >= self.need[items]) & (some > 0)]
+        if not items.size:
+            return
+        slot = np.full(self.base + 1, -1, np.int64)  # the last one is for words of no item
+        by_gram, by_word = np.argsort(number, kind="stable"), np.argsort(words, kind="stable")
+        at, number, sorted_ = at[by_gram], number[by_gram], words[by_word]
+        for item in items.tolist():
+            m = int(self.size[item])
             slack = m // 2 + 2
-            start = at[own] - self.place[row[own]]
-            order = np.argsort(start, kind="stable")
-            lo, hi = np.maximum(start[order] - slack, 0), np.minimum(start[order] + m + slack, words.size)
-            cut = np.flatnonzero(np.r_[True, lo[1:] > np.maximum.accumulate(hi)[:-1], True])
-            for x, y in zip(cut, cut[1:]):
-                window = words[lo[x] : hi[x:y].max()]
-                if MATCH * np.isin(self.words(item), window).sum() >= self.need[item]:
-                    yield int(item), int(lo[x]), window
+            own = slice(self.own_first[item], self.own_first[item + 1])
+            begin = np.searchsorted(number, self.own_gram[own])
+            count = np.searchsorted(number, self.own_gram[own], "right") - begin
+            start = np.sort(at[_runs(begin, count)] - np.repeat(self.own_place[own], count))
+            lo, hi = np.maximum(start - slack, 0), np.minimum(start + m + slack, words.size)
+            first = np.flatnonzero(np.r_[True, lo[1:] > np.maximum.accumulate(hi)[:-1]])
+            low, high = lo[first], np.maximum.reduceat(hi, first)
+            seldom = np.unique(self.rare[self.rare_first[item] : self.rare_first[item + 1]])
+            begin = np.searchsorted(sorted_, seldom)
+            stands = np.sort(by_word[_runs(begin, np.searchsorted(sorted_, seldom, "right") - begin)])
+            seen = np.searchsorted(stands, low) < np.searchsorted(stands, high)
+            low, high = low[seen], high[seen]
+            if not low.size:
+                continue
+            # How many of the item's words each window has, for all windows at once.
+            own_words, times = np.unique(self.words(item), return_counts=True)
+            slot[own_words] = np.arange(own_words.size)
+            of = slot[words[_runs(low, high - low)]]
+            slot[own_words] = -1
+            there = np.zeros((low.size, own_words.size), bool)
+            there[np.repeat(np.arange(low.size), high - low)[of >= 0], of[of >= 0]] = True
+            for x in np.flatnonzero(MATCH * (there @ times) >= self.need[item]).tolist():
+                yield item, int(low[x]), words[low[x] : high[x]]
 
 
 def _runs(first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -167,7 +206,7 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[float, int, int]:
     return best
 
 
-OUTPUT = "doc_id long, item_id long, score double, first_word long, last_word long"
+OUTPUT = "doc_id long, item_id long, score double, first_word long, last_word long, places long"
 
 
 def contaminated(
@@ -179,10 +218,13 @@ def contaminated(
     item_text: str = "text",
     block_words: int = BLOCK_WORDS,
     text_key: bool = False,
+    least_item_words: int = 1,
 ) -> DataFrame:
-    """``(doc_id, item_id, score, first_word, last_word)`` of every match of a document and an item.
+    """``(doc_id, item_id, score, first_word, last_word, places)`` of every match of a document and an item.
 
-    An item that stands in a document at several places gives several rows.
+    An item that stands in a document at several places gives several rows, each with ``places`` 1; one of fewer
+    than :data:`GRAM` words gives one row for a text, that of its first place, with their number. Items of fewer than
+    ``least_item_words`` words aren't looked for: a single common word would match nearly every text.
 
     ``score`` is the alignment's part of the item's score with itself, at least
     :data:`THRESHOLD`; at least five words must agree, or all of an item with fewer.
@@ -206,8 +248,9 @@ def contaminated(
     while True:
         row = next(listed, None)
         if row is not None:
-            block.append((row[0], row[1]))
-            size += len(row[1].split())
+            if len([x for x in row[1].split() if x.strip(SIGNS)]) >= least_item_words:
+                block.append((row[0], row[1]))
+                size += len(row[1].split())
         if block and (row is None or size >= block_words):
             one = _block(source, Items(block), output)
             found, block, size = one if found is None else found.unionByName(one), [], 0
@@ -233,9 +276,9 @@ def _block(source: DataFrame, items: Items, output: str) -> DataFrame:
                     for item, first, window in items.candidates(words, at, number):
                         got, begin, end = align(items.words(item), window)
                         if got >= items.need[item]:
-                            out.append((doc_id, items.ids[item], got / (MATCH * items.size[item]), first + begin, first + end, *key))
-                for item, first in items.whole(words):
-                    out.append((doc_id, items.ids[item], 1.0, first, first + int(items.size[item]) - 1, *key))
+                            out.append((doc_id, items.ids[item], got / (MATCH * items.size[item]), first + begin, first + end, 1, *key))
+                for item, first, places in items.whole(words):
+                    out.append((doc_id, items.ids[item], 1.0, first, first + int(items.size[item]) - 1, places, *key))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=names)
 

@@ -81,3 +81,63 @@ def test_all_pairs(spark):
             if D.MATCH * np.isin(own, words).sum() >= D.THRESHOLD * D.MATCH * own.size and D.align(own, words)[0] >= D.THRESHOLD * D.MATCH * own.size:
                 want.add((r.doc_id, item))
     assert want and got == want
+
+
+def test_short_items_give_one_row_a_text(spark):
+    docs = spark.createDataFrame([(1, "yes " * 5000 + "no"), (2, "The end. the END"), (3, "no")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "yes"), (2, "the end"), (3, ITEM)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.first_word, r.last_word, r.places) for r in D.contaminated(docs, items).collect()}
+    assert got == {(1, 1): (0, 0, 5000), (2, 2): (0, 1, 2)}
+    assert D.contaminated(docs, items, least_item_words=5).count() == 0
+    assert D.contaminated(docs.limit(0).unionByName(spark.createDataFrame([(4, ITEM)], docs.schema)), items, least_item_words=5).count() == 1
+
+
+def test_common_openings():
+    """Thousands of items begin alike: a text full of that opening opens windows only where an item's rare words stand."""
+    import random
+    import time
+
+    rnd, opening = random.Random(0), "which of the following is true about"
+    rare, other = [f"v{i}" for i in range(30_000)], [f"z{i}" for i in range(500)]
+    rows = [(k, f"{opening} {' '.join(rnd.choices(rare, k=8))}") for k in range(4000)]
+    words = sum((opening.split() + rnd.choices(other, k=60) for _ in range(150)), []) + rows[7][1].replace("true", "false").split()
+    items = D.Items(rows)
+    read = items.reader()
+    text = read(" ".join(words))
+    began = time.monotonic()
+    found = [(item, D.align(items.words(item), window)[0]) for item, _, window in items.candidates(text, *items.hits(text))]
+    assert time.monotonic() - began < 3
+    assert [item for item, score in found if score >= items.need[item]] == [7]
+
+
+def test_windows_lose_nothing():
+    """Against every window of every item with hits, on random texts of few words with common openings."""
+    import random
+
+    for seed in range(60):
+        rnd = random.Random(seed)
+        vocabulary = [f"w{i}" for i in range(rnd.choice([4, 8, 30]))]
+        head = " ".join(rnd.choices(vocabulary, k=5))
+        items = D.Items([(k, head + " " + " ".join(rnd.choices(vocabulary, k=rnd.randint(0, 15)))) for k in range(12)])
+        words = items.reader()(" ".join(rnd.choices(vocabulary + ["zz"] * 6, k=120)))
+        at, number = items.hits(words)
+        if not at.size:
+            continue
+        got = {(item, first, tuple(w.tolist())) for item, first, w in items.candidates(words, at, number)}
+        want = set()
+        for item in range(len(items.ids)):
+            own = items.words(item)
+            m, slack = own.size, own.size // 2 + 2
+            starts = sorted(int(p) - q for p in range(words.size - 2) for q in range(m - 2) if (words[p : p + 3] == own[q : q + 3]).all())
+            spans = []
+            for s in starts:
+                lo, hi = max(s - slack, 0), min(s + m + slack, words.size)
+                if spans and lo <= spans[-1][1]:
+                    spans[-1][1] = max(spans[-1][1], hi)
+                else:
+                    spans.append([lo, hi])
+            for lo, hi in spans:
+                window = words[lo:hi]
+                if D.MATCH * np.isin(own, window).sum() >= items.need[item]:
+                    want.add((item, lo, tuple(window.tolist())))
+        assert got == want
