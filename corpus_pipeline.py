@@ -35,13 +35,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item.
+    """Documents without a benchmark item of five words or more.
 
     A row is known by its id and its text, so other texts of a contaminated one's id, or of no id, stay,
     as null and empty texts do.
     """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontamination.contaminated(docs, benchmark, text_key=True)
+    # One or two common words are no evidence: items under the least length of a match are left to the operator's own report.
+    found = decontamination.contaminated(docs, benchmark, text_key=True, least_item_words=decontamination.LEAST_WORDS)
     bad_id, bad_key = unused(docs.columns, "bad_id", "bad_key")
     bad = written(found.select(F.col("doc_id").alias(bad_id), F.col("text_key").alias(bad_key)).distinct(), "contaminated")
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(bad_id)) & (F.xxhash64("text") == F.col(bad_key)), "left_anti")
