@@ -1,13 +1,14 @@
 """Speakers from voices: online clusters of pitch and timbre, and clusters of voice vectors.
 
-Both depend on order and on what came before, so each session runs as one grouped
-numpy function; sessions are spread over the cluster.
+Both depend on order and on what came before, so each session is one stream of frames, or one grouped
+numpy function for its vectors; sessions are spread over the cluster.
 """
 
 from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -128,34 +129,92 @@ def jump_runs(pitch: np.ndarray) -> np.ndarray:
     return run
 
 
+class Regions:
+    """Regions of one session as its frames pass in order: of the frames, those of the open region are held."""
+
+    def __init__(self, gap: float):
+        self.gap, self.voices, self.done = gap, Voices(), []
+        self.time, self.speaker = None, -1
+        self._open()
+
+    def _open(self) -> None:
+        #: Frames of the run, those that wait for a jump to be confirmed, the run's smooth pitch, and the jump's.
+        self.run, self.held, self.smooth, self.odd = [], [], None, None
+
+    def feed(self, time: float, pitch: float, timbre: float) -> None:
+        if self.time is not None and time - self.time > self.gap:
+            self.close()
+        self.time, frame = time, (time, pitch, timbre)
+        if pitch <= 0:
+            (self.held or self.run).append(frame)
+            return
+        x = math.log(pitch)
+        if self.smooth is None:
+            self.smooth = x
+        elif abs(x - self.smooth) <= JUMP:
+            self.run, self.held, self.odd = self.run + self.held, [], None
+            self.smooth += (x - self.smooth) * SMOOTH
+        elif self.odd is not None and abs(x - self.odd) < AGREE:
+            self._region(self.run)
+            self.run, self.held, self.smooth, self.odd = self.held, [], (self.odd + x) / 2, None
+        else:
+            self.run += self.held
+            self.held, self.odd = [frame], x
+            return
+        self.run.append(frame)
+
+    def _region(self, frames: list[tuple]) -> None:
+        if not frames:
+            return
+        time, pitch, timbre = np.array(frames).T
+        match = self.voices.classify(pitch, timbre)
+        self.speaker = match[0] if match else self.speaker
+        self.done.append((time[0], time[-1], self.speaker, match[1] if match else 0.0))
+
+    def close(self) -> None:
+        """The open region ends, as after silence."""
+        self._region(self.run + self.held)
+        self._open()
+
+    def rows(self) -> list[tuple]:
+        """All regions, with the speakers that remain after all merges."""
+        self.close()
+        return [(a, b, self.voices.resolve(s) if s >= 0 else s, hz) for a, b, s, hz in self.done]
+
+
 def voiced_regions(frames: DataFrame) -> DataFrame:
     """``schemas.REGIONS`` of every session: runs without silence, split at pitch jumps, each with its speaker.
 
     A region with too little voice takes the speaker before it, -1 at the start.
-    Speakers are those that remain after all merges.
+    Speakers are those that remain after all merges. Frames are dealt by session once and pass in order as a
+    stream; of a session its regions and the open one's frames are held.
     """
     from colloquy.operators.intervals import REGION_GAP
+    from colloquy.schemas import REGIONS
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("time_s", kind="stable")
-        time, pitch, timbre = (frame[c].to_numpy() for c in ("time_s", "pitch_hz", "centroid_hz"))
-        cuts = np.flatnonzero(np.diff(time) > REGION_GAP) + 1
-        voices, out, last = Voices(), [], -1
-        for group in np.split(np.arange(time.size), cuts):
-            runs = jump_runs(pitch[group])
-            for part in np.split(group, np.flatnonzero(np.diff(runs)) + 1):
-                match = voices.classify(pitch[part], timbre[part])
-                last = match[0] if match else last
-                out.append((time[part[0]], time[part[-1]], last, match[1] if match else 0.0))
-        result = pd.DataFrame(out, columns=["start_s", "end_s", "speaker_id", "median_pitch_hz"])
-        result["speaker_id"] = [voices.resolve(s) if s >= 0 else s for s in result["speaker_id"]]
-        result.insert(0, "reg_ord", range(len(result)))
-        result.insert(0, "session_id", frame["session_id"].iat[0])
-        return result
+    names = [field.split()[0] for field in REGIONS.split(", ")]
 
-    from colloquy.schemas import REGIONS
+    def table(session: str, regions: Regions) -> pd.DataFrame:
+        rows = regions.rows()
+        out = pd.DataFrame(rows, columns=names[2:])
+        out.insert(0, "reg_ord", range(len(rows)))
+        out.insert(0, "session_id", session)
+        return out
 
-    return frames.select("session_id", "time_s", "pitch_hz", "centroid_hz").groupBy("session_id").applyInPandas(one, REGIONS)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        session, regions = None, None
+        for b in batches:
+            for own, *frame in zip(b["session_id"], b["time_s"].tolist(), b["pitch_hz"].tolist(), b["centroid_hz"].tolist()):
+                if regions is None or own != session:
+                    if regions is not None:
+                        yield table(session, regions)
+                    session, regions = own, Regions(REGION_GAP)
+                regions.feed(*frame)
+        if regions is not None:
+            yield table(session, regions)
+
+    source = frames.select("session_id", "time_s", "pitch_hz", "centroid_hz")
+    return source.repartition("session_id").sortWithinPartitions("session_id", "time_s").mapInPandas(run, REGIONS)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:

@@ -12,7 +12,7 @@ from colloquy.functions import text as X
 from colloquy.operators import cluster, detect, edits, intervals, ordered, store, summary
 from colloquy.plans import fixtures as D
 from colloquy.sources import exports, readers, scratch, waves
-from colloquy.streaming import live
+from colloquy.streaming import failover, live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -208,8 +208,11 @@ _WEAK = ", ".join(f"('{a}', '{b}')" for a, b, _ in detect.WEAK_PHRASES)
 
 
 @query(
-    rf"""WITH {D.SPOKEN}, p(phrase, replacement) AS (VALUES {_WEAK})
-SELECT session_id, seg_id, (instr(lower(text), phrase) - 1)::INTEGER AS start, replacement FROM seg JOIN p ON regexp_matches(text, '(?i)\b' || phrase || '\b')"""
+    rf"""WITH {D.SPOKEN}, p(phrase, replacement) AS (VALUES {_WEAK}), places AS (
+  SELECT session_id, seg_id, text, phrase, replacement, unnest(range(1, length(text) + 1)) AS i FROM seg JOIN p ON contains(lower(text), phrase)
+) SELECT session_id, seg_id, (i - 1)::INTEGER AS start, replacement FROM places
+WHERE lower(substr(text, i, length(phrase))) = phrase AND (i = 1 OR NOT regexp_full_match(substr(text, i - 1, 1), '\w'))
+  AND (i + length(phrase) > length(text) OR NOT regexp_full_match(substr(text, i + length(phrase), 1), '\w'))"""
 )
 def weak_phrases(spark, sf_dir):
     return detect.suggestions(D.spoken_segments(spark, sf_dir), ("weak-phrase",)).select("session_id", "seg_id", "start", "replacement")
@@ -753,12 +756,32 @@ def live_captions(spark, sf_dir):
     return live.segments(live.changes(_live_inputs(spark, sf_dir)))
 
 
+_MIMES = ("audio/mp4", "audio/x-m4a", "audio/mpeg", "audio/mp3", "audio/wav", "audio/ogg", "audio/webm", "video/mp4")
+_ERRORS = ("not-allowed", "service-not-allowed", "network", "no-speech", "aborted", "audio-capture", "bad-grammar")
+_LISTS = [", ".join(f"'{x}'" for x in xs) for xs in (_MIMES, _ERRORS)]
+
+
 @query(
-    """SELECT mode, ext FROM (VALUES ('audio/mp4', 'm4a'), ('audio/x-m4a', 'm4a'), ('audio/mpeg', 'mp3'), ('audio/wav', 'wav'), ('audio/ogg;codecs=opus', 'ogg'), ('audio/webm', 'webm')) t(mode, ext)
-UNION ALL SELECT name, route FROM (VALUES ('not-allowed', 'cooldown'), ('service-not-allowed', 'cooldown'), ('network', 'fallback'), ('no-speech', 'ignore'), ('aborted', 'ignore'), ('other', 'error')) u(name, route)"""
+    f"""WITH m AS (SELECT event_id, list_extract([{_LISTS[0]}], (event_id % 8 + 1)::INTEGER) || ';codecs=' || event_type AS mime, list_extract([{_LISTS[1]}], (event_id % 7 + 1)::INTEGER) AS error FROM events)
+SELECT event_id, mime, CASE WHEN mime LIKE '%mp4%' OR mime LIKE '%m4a%' THEN 'm4a' WHEN mime LIKE '%mpeg%' OR mime LIKE '%mp3%' THEN 'mp3' WHEN mime LIKE '%wav%' THEN 'wav'
+    WHEN mime LIKE '%ogg%' THEN 'ogg' ELSE 'webm' END AS ext,
+  CASE WHEN error IN ('not-allowed', 'service-not-allowed') THEN 'cooldown' WHEN error = 'network' THEN 'fallback' WHEN error IN ('no-speech', 'aborted') THEN 'ignore' ELSE 'error' END AS route FROM m"""
 )
 def routing(spark, sf_dir):
-    """File extensions by media type and routes of recognizer errors."""
-    mimes = spark.createDataFrame([(m,) for m in ("audio/mp4", "audio/x-m4a", "audio/mpeg", "audio/wav", "audio/ogg;codecs=opus", "audio/webm")], "mode string")
-    errors = spark.createDataFrame([(m,) for m in ("not-allowed", "service-not-allowed", "network", "no-speech", "aborted", "other")], "mode string")
-    return mimes.withColumn("ext", X.audio_extension(F.col("mode"))).unionByName(errors.withColumn("ext", readers.error_route(F.col("mode"))))
+    """File extensions by media type and routes of recognizer errors, of every event."""
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("event_id") % len(values) + 1).cast("int"))
+    rows = D.table(spark, sf_dir, "events").select("event_id", F.concat(pick(_MIMES), F.lit(";codecs="), F.col("event_type")).alias("mime"), pick(_ERRORS).alias("error"))
+    return rows.select("event_id", "mime", X.audio_extension(F.col("mime")).alias("ext"), readers.error_route(F.col("error")).alias("route"))
+
+
+@query()
+def engine_switches(spark, sf_dir):
+    """Events as inputs of two speech engines: results, levels, errors, ends and the fallback's texts."""
+    e = F.col("event_id")
+    kind = F.when(e % 40 == 0, "start").when(e % 11 == 3, "final").when(e % 13 == 5, "fallback").when(e % 17 == 7, "error").when(e % 19 == 9, "ended").otherwise("level")
+    code = F.element_at(F.array(*map(F.lit, _ERRORS)), (e % 7 + 1).cast("int"))
+    rows = D._events(spark, sf_dir).select(
+        "session_id", e.alias("seq"), F.timestamp_millis((F.col("at") * 1000).cast("long")).alias("ts"), kind.alias("kind"),
+        F.when(kind == "error", code).when(kind.isin("final", "fallback"), F.col("event_type")).alias("text"), (F.col("value") % 10 / 20).alias("level"), (e % 3).cast("int").alias("epoch"),
+    )
+    return failover.switched(rows)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from colloquy import schemas
 from colloquy.functions import signal
+from colloquy.sources.sessions import SessionTable
 from colloquy.sources.waves import UNIT_S, samples
 
 #: Spoken languages that can be asked for, the first by default. Fixed value.
@@ -274,6 +275,32 @@ def set_setting(spark: SparkSession, name: str, value: str, domain: tuple[str, .
     spark.conf.set(f"colloquy.{name}", value)
 
 
+def saved_setting(spark: SparkSession, path: str, owner: str, name: str, domain: tuple[str, ...]) -> str:
+    """An owner's setting as kept at ``path``; without one, or with one outside its domain, the first value."""
+    try:
+        rows = SessionTable(spark, path).read([owner])
+    except FileNotFoundError:
+        return domain[0]
+    found = rows.where(F.col("name") == name).select("value").first()
+    return found[0] if found and found[0] in domain else domain[0]
+
+
+def save_setting(spark: SparkSession, path: str, owner: str, name: str, value: str, domain: tuple[str, ...]) -> None:
+    """Keep an owner's setting at ``path``, where later applications find it; values outside its domain are refused.
+
+    Owners are the sessions of a session table, so a change is there as a whole or not at all.
+    """
+    if value not in domain:
+        raise ValueError(f"{name} is one of {', '.join(domain)}")
+    table = SessionTable(spark, path, buckets=16)
+    new = spark.createDataFrame([(owner, name, value)], "session_id string, name string, value string")
+    try:
+        new = table.read([owner]).where(F.col("name") != name).unionByName(new)
+    except FileNotFoundError:
+        pass
+    table.overwrite(new)
+
+
 def duty_cycle(profile: str, battery: float | None = None, charging: bool | None = None) -> tuple[int, int, int]:
     """Frames a second, meter and analysis intervals; a low battery in use saves power."""
     low = battery is not None and battery <= SAVER_BELOW and charging is False

@@ -1,4 +1,4 @@
-"""Clusters of vectors against a plain version that looks at every pair again after every merge."""
+"""Clusters of vectors against a plain version that looks at every pair again after every merge, regions against whole arrays."""
 
 import time
 
@@ -87,3 +87,40 @@ def test_given_vectors(spark):
         for r in sorted(D.vectors(spark, "/root/testdata/sf0.001").collect(), key=lambda r: r.win_ord):
             by.setdefault(str(r.win_ord % 5), []).append((r.win_ord, r.vector))
         assert got == {(s, i): label for s, own in by.items() for (i, _), label in zip(own, plain([v for _, v in own], adaptive), strict=True)}
+
+
+def plain_regions(rows):
+    """Regions of one session from its whole arrays of time, pitch and timbre."""
+    time_, pitch, timbre = np.array(sorted(rows)).T
+    voices, out, last = cluster.Voices(), [], -1
+    for group in np.split(np.arange(time_.size), np.flatnonzero(np.diff(time_) > 0.75) + 1):
+        runs = cluster.jump_runs(pitch[group])
+        for part in np.split(group, np.flatnonzero(np.diff(runs)) + 1):
+            match = voices.classify(pitch[part], timbre[part])
+            last = match[0] if match else last
+            out.append((time_[part[0]], time_[part[-1]], last, match[1] if match else 0.0))
+    return [(k, a, b, voices.resolve(s) if s >= 0 else s, hz) for k, (a, b, s, hz) in enumerate(out)]
+
+
+def test_streamed_regions(spark):
+    """Random sessions, silences, jumps and unvoiced frames, and the frames of the given tables."""
+    from colloquy import schemas
+    from colloquy.operators import cluster as C
+    from colloquy.plans import fixtures as D
+
+    rnd, rows = np.random.default_rng(2), []
+    for s in range(30):
+        at, hz = 0.0, 120.0
+        for _ in range(int(rnd.integers(1, 200))):
+            at = round(at + float(rnd.choice([0.25, 0.25, 0.25, 0.75, 0.8])), 2)
+            hz = float(rnd.choice([hz, hz, hz * 1.05, 90.0, 210.0, 400.0]))
+            rows.append((f"s{s}", at, float(rnd.choice([hz, hz, hz, 0.0])), float(rnd.uniform(300, 900)), 0.1))
+    given = D.frames(spark, "/root/testdata/sf0.001").select("session_id", "time_s", "pitch_hz", "centroid_hz", "energy")
+    for table in (spark.createDataFrame(rows, schemas.FRAMES).repartition(5), given):
+        by = {}
+        for r in table.collect():
+            by.setdefault(r.session_id, []).append((r.time_s, r.pitch_hz, r.centroid_hz))
+        got = {}
+        for r in C.voiced_regions(table).collect():
+            got.setdefault(r.session_id, []).append((r.reg_ord, r.start_s, r.end_s, r.speaker_id, r.median_pitch_hz))
+        assert {k: sorted(v) for k, v in got.items()} == {k: plain_regions(v) for k, v in by.items()}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy import schemas
 from colloquy.operators import store
-from colloquy.sources import exports, sessions
+from colloquy.sources import exports, readers, sessions
 from colloquy.streaming import live, restarts
 
 SCHEMA = "session_id string, n int, text string"
@@ -96,6 +96,18 @@ def test_many_sessions_few_files(spark, tmp_path):
     assert len(plan.inputFiles()) < 20 and plan.count() == 1
 
 
+def test_kept_settings(spark, tmp_path):
+    """Settings outlive the session that made them; each owner has its own."""
+    path, get = str(tmp_path / "settings"), lambda owner, name, domain: readers.saved_setting(spark.newSession(), path, owner, name, domain)
+    assert get("ann", "language", readers.LANGUAGES) == "en-US"
+    for owner, name, value, domain in (("ann", "language", "fr-FR", readers.LANGUAGES), ("bob", "language", "ja-JP", readers.LANGUAGES), ("ann", "template", "lecture", readers.TEMPLATES), ("ann", "language", "de-DE", readers.LANGUAGES)):
+        readers.save_setting(spark, path, owner, name, value, domain)
+    assert [get("ann", "language", readers.LANGUAGES), get("ann", "template", readers.TEMPLATES), get("bob", "language", readers.LANGUAGES)] == ["de-DE", "lecture", "ja-JP"]
+    assert get("bob", "template", readers.TEMPLATES) == "meeting" and get("ann", "language", ("xx",)) == "xx"
+    with pytest.raises(ValueError):
+        readers.save_setting(spark, path, "ann", "template", "sermon", readers.TEMPLATES)
+
+
 def test_texts(spark, tmp_path):
     text = spark.createDataFrame([("a", "one"), ("b", "two")], "session_id string, srt string")
     exports.write_texts(text, "srt", str(tmp_path))
