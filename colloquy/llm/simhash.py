@@ -216,6 +216,8 @@ def firsts(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str
 
     Of rows that have the least id and text of their component, the first by hash and values of
     the other columns stays. Columns may have any names and come back unchanged.
+    A task keeps one row of each id and text before any moves, so that rows repeated by the million are
+    no large group anywhere.
     """
     # One hash partitioning by these three serves the join and the window.
     row = unused(docs.columns, "id", "no_id", "key")
@@ -224,9 +226,8 @@ def firsts(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str
     values = lambda c: (F.coalesce(c, F.lit(0)), F.isnull(c))
     least = found.where("first").select(*(x.alias(n) for x, n in zip((*values(F.col("doc_id")), F.col("text_key")), row)))
     keyed = docs.select("*", *(x.alias(n) for x, n in zip((*values(own), F.xxhash64(f"`{text}`")), row)))
-    kept = keyed.join(least.distinct(), row, "left_semi")
     # Maps have neither an order nor a hash of their own; as text they have both.
     rest = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema if f.name != text]
-    kept = kept.withColumn(other, F.xxhash64(*rest))
     by = Window.partitionBy(*row).orderBy(other, *rest)
-    return kept.withColumn(nth, F.row_number().over(by)).where(F.col(nth) == 1).select(*(F.col(f"`{c}`") for c in docs.columns))
+    one = keyed.withColumn(other, F.xxhash64(*rest)).withColumn(nth, F.row_number().over(by)).where(F.col(nth) == 1)
+    return one.join(least.distinct(), row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

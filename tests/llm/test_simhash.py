@@ -105,3 +105,14 @@ def test_query(spark):
     want = {i: (f"{c:016x}", docs[label.index(l)][0]) for (i, _), c, l in zip(docs, codes, label)}
     got = QUERIES["op10_simhash"](spark, name).collect()
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == want and len(got) == len(docs)
+
+
+def test_hot_rows_stay_in_their_tasks(spark):
+    """A third of all rows are one row: each task passes one of them on."""
+    rows = [(7, "the same text in every copy of this row", "x")] * 3000 + [(10 + i, f"text number {i} {'word ' * (i % 50)}", "y") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(8)
+    kept = simhash.firsts(docs, simhash.near_duplicates(docs))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2
+    got = kept.collect()
+    assert sum(r.doc_id == 7 for r in got) == 1
