@@ -160,15 +160,17 @@ def stutter_spans(spark, sf_dir):
 
 
 #: Spaces and the signs behind them, piece by piece: two spaces and more, or any white space before a sign.
-@query(
-    rf"""WITH {D.SPOKEN}, m AS (
-  SELECT session_id, seg_id, unnest(p) AS piece, unnest(range(len(p))) AS i, (SELECT regexp_split_to_array(text, ' {{2,}}|\s+[,.!?]')) AS gaps
-  FROM (SELECT *, regexp_extract_all(text, ' {{2,}}|\s+[,.!?]') AS p FROM seg)
-), placed AS (
+_SPACING_SPANS = r"""m AS (
+  SELECT session_id, seg_id, unnest(p) AS piece, unnest(range(len(p))) AS i, (SELECT regexp_split_to_array(text, ' {2,}|\s+[,.!?]')) AS gaps
+  FROM (SELECT *, regexp_extract_all(text, ' {2,}|\s+[,.!?]') AS p FROM seg)
+), pieces_at AS (
   SELECT *, (list_sum(list_transform(gaps[:i + 1], lambda g: length(g))) + coalesce(sum(length(piece)) OVER (PARTITION BY session_id, seg_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INTEGER AS start FROM m
-) SELECT session_id, seg_id, start, (start + length(regexp_replace(piece, '[,.!?]$', '')))::INTEGER AS "end",
-  CASE WHEN contains(piece, '  ') THEN ' ' ELSE '' END AS replacement FROM placed"""
-)
+), spacing AS (
+  SELECT session_id, seg_id, start, (start + length(regexp_replace(piece, '[,.!?]$', '')))::INTEGER AS "end", CASE WHEN contains(piece, '  ') THEN ' ' ELSE '' END AS replacement FROM pieces_at
+)"""
+
+
+@query(f"WITH {D.SPOKEN}, {_SPACING_SPANS} SELECT * FROM spacing")
 def spacing_spans(spark, sf_dir):
     found = detect.suggestions(D.spoken_segments(spark, sf_dir), ("spacing",))
     return found.select("session_id", "seg_id", "start", "end", "replacement")
@@ -265,14 +267,29 @@ def flagged_segments(spark, sf_dir):
     return detect.flagged(segments, detect.suggestions(segments, ("repeated-word",))).select("session_id", "seg_ord", F.length("text").cast("bigint").alias("n_chars"))
 
 
-#: By template: the first fix of each and what it leaves.
-_FIXES = {
-    1: ("In order to", "to"), 5: ("  ", " "), 6: ("Due to the fact that", "because"), 9: ("touch base", "check in"), 11: ("Um ", " "), 14: (" uh,", ""),
-}
-_FIXED = "CASE e % 16 " + " ".join(f"WHEN {k} THEN trim(replace(text, '{a}', '{b}'))" for k, (a, b) in _FIXES.items()) + " ELSE text END"
+_PHRASES = ", ".join(f"('{p}', {k}, 0, '')" for k, p in enumerate(detect.FILLERS)) + ", " + ", ".join(f"('{p}', {k}, 4, '{r}')" for k, (p, r, _) in enumerate(detect.WEAK_PHRASES))
+
+#: Every fix with its place, by the detectors' order; phrases by position, between blanks or signs or between word edges.
+_FIXES = rf"""p(phrase, lex, det, replacement) AS (VALUES {_PHRASES}), places AS (
+  SELECT session_id, seg_id, text, p.*, unnest(range(1, length(text) + 1)) AS i FROM seg JOIN p ON contains(lower(text), phrase)
+), around AS (
+  SELECT *, CASE WHEN i > 1 THEN substr(text, i - 1, 1) ELSE '' END AS before, substr(text, i + length(phrase), 1) AS behind FROM places WHERE lower(substr(text, i, length(phrase))) = phrase
+), {_STUTTER_SPANS.replace("FROM documents", "FROM (SELECT seg_id AS doc_id, text FROM seg)")}, {_SPACING_SPANS}, fixes AS (
+  SELECT seg_id, det, lex, i - 1 - CASE WHEN before = ' ' THEN 1 ELSE 0 END AS start, i - 1 + length(phrase) + CASE WHEN behind = ',' THEN 1 ELSE 0 END AS "end", replacement
+  FROM around WHERE det = 0 AND regexp_full_match(before, '\s?') AND regexp_full_match(behind, '[\s,.!?]?')
+  UNION ALL SELECT seg_id, det, lex, i - 1, i - 1 + length(phrase), replacement FROM around WHERE det = 4 AND NOT regexp_full_match(before, '\w') AND NOT regexp_full_match(behind, '\w')
+  UNION ALL SELECT doc_id, 1, 0, pos, pos + length(word) + length(sep) + length(next), word FROM numbered WHERE k % 2 = 1 AND k < n
+  UNION ALL SELECT seg_id, 6, 0, start, "end", replacement FROM spacing
+), firsts AS (
+  SELECT * FROM fixes QUALIFY row_number() OVER (PARTITION BY seg_id ORDER BY det, lex, start, "end") = 1
+)"""
 
 
-@query(f"WITH {D.SPOKEN} SELECT seg.session_id, seg_id, {_FIXED.replace('e % 16', 'seg_ord % 16')} AS text FROM seg")
+@query(
+    rf"""WITH {D.SPOKEN}, {_FIXES} SELECT session_id, seg.seg_id, CASE WHEN start IS NULL THEN text
+  ELSE regexp_replace(regexp_replace(substr(text, 1, start::BIGINT) || replacement || substr(text, "end"::BIGINT + 1), ' {{2,}}', ' ', 'g'), '^\s+|\s+$', '', 'g') END AS text
+FROM seg LEFT JOIN firsts ON firsts.seg_id = seg.seg_id"""
+)
 def apply_first_fix(spark, sf_dir):
     return edits.apply_first(D.spoken_segments(spark, sf_dir)).select("session_id", "seg_id", "text")
 
