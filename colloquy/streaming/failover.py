@@ -18,7 +18,6 @@ batches, and a replay gives the same rows.
 from __future__ import annotations
 
 import json
-import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from colloquy.streaming.live import by_session
+
 #: Milliseconds and levels. Fixed values.
 STALL_MS, TICK_MS, VOICE_MS, FALLBACK_MS, VOICE_LEVEL = 8_000, 4_000, 5_000, 12_000, 0.06
 BACKOFF_MS, BACKOFF_MOST_MS, COOLDOWN_MS, COOLDOWN_MOST_MS = 50, 3_000, 5_000, 30_000
@@ -161,10 +162,10 @@ _COLUMNS = [field.split()[0] for field in OUTPUT.split(", ")]
 
 def _fed(watch: Watch, key: str, rows: pd.DataFrame) -> pd.DataFrame:
     out = []
-    for r in rows.sort_values(["ts", "seq"], kind="stable").itertuples(index=False):
+    for r in rows.sort_values(["time_ms", "seq"], kind="stable").itertuples(index=False):
         missing = lambda x: x is None or x != x
         level, epoch = 0.0 if missing(r.level) else float(r.level), None if missing(r.epoch) else int(r.epoch)
-        out += watch.feed(r.kind, math.floor(r.ts.timestamp() * 1000 + 0.5), r.text if isinstance(r.text, str) else None, level, epoch)
+        out += watch.feed(r.kind, int(r.time_ms), r.text if isinstance(r.text, str) else None, level, epoch)
     return _frame(key, out)
 
 
@@ -228,16 +229,20 @@ def switched_stream(inputs: DataFrame, delay: str = "1 second") -> DataFrame:
 
     Needs the RocksDB state store provider. After a stop nothing of a session stays in the store.
     """
-    return inputs.withWatermark("ts", delay).groupBy("session_id").transformWithStateInPandas(Processor(), OUTPUT, "Update", "EventTime")
+    timed = inputs.withColumn("time_ms", F.unix_millis("ts"))  # as timers count, in whatever time zone the session is
+    return timed.withWatermark("ts", delay).groupBy("session_id").transformWithStateInPandas(Processor(), OUTPUT, "Update", "EventTime")
 
 
 def switched(inputs: DataFrame) -> DataFrame:
-    """The same of a table of inputs: deadlines up to each session's last input."""
+    """The same of a table of inputs: deadlines up to each session's last input. Of a session its state is held, and one batch."""
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        return _fed(Watch(), rows["session_id"].iat[0], rows)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for start, key, rows in by_session(batches):
+            watch = Watch() if start else watch
+            yield _fed(watch, key, rows)
 
-    return inputs.groupBy("session_id").applyInPandas(one, OUTPUT)
+    timed = inputs.withColumn("time_ms", F.unix_millis("ts"))
+    return timed.repartition("session_id").sortWithinPartitions("session_id", "ts", "seq").mapInPandas(run, OUTPUT)
 
 
 def utterances(changes: DataFrame) -> DataFrame:

@@ -205,12 +205,29 @@ def changes_stream(inputs: DataFrame, timers: bool = True, kick_ms: int = KICK_M
 
 
 def changes(inputs: DataFrame) -> DataFrame:
-    """Change rows of a table of inputs: the same processor over whole sessions."""
+    """Change rows of a table of inputs, the same as of a stream of them.
+
+    Inputs are dealt by session once and pass in order; of a session its state is held, and one batch of inputs.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for start, key, rows in by_session(batches):
+            session = Session() if start else session
+            yield _changes(session, key, rows)
+
+    return inputs.repartition("session_id").sortWithinPartitions("session_id", "seq").mapInPandas(run, OUTPUT)
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        return _changes(Session(), rows["session_id"].iat[0], rows)
 
-    return inputs.groupBy("session_id").applyInPandas(one, OUTPUT)
+def by_session(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[bool, str | None, pd.DataFrame]]:
+    """Runs of one session's rows in batches that are sorted by session: whether it begins there, its id, the rows."""
+    last = object()
+    for b in batches:
+        ids = b["session_id"].tolist()
+        cuts = [0, *(i for i in range(1, len(ids)) if ids[i] != ids[i - 1]), len(ids)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if hi > lo:
+                yield ids[lo] != last, ids[lo], b.iloc[lo:hi]
+                last = ids[lo]
 
 
 def segments(changed: DataFrame) -> DataFrame:

@@ -126,6 +126,17 @@ def test_stream_is_batch(spark, tmp_path):
         assert spark.read.format("statestore").options(**options).load(f"{tmp_path}/c").count() == 0
 
 
+def test_time_zone(spark):
+    """Times are those of the inputs, not of the session's zone."""
+    table = spark.createDataFrame(rows(), E.INPUT)
+    want = sorted(map(str, E.switched(table).collect()))
+    spark.conf.set("spark.sql.session.timeZone", "America/Lima")
+    try:
+        assert sorted(map(str, E.switched(table).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_utterances(spark):
     from colloquy.streaming import live
 

@@ -138,6 +138,18 @@ def test_batch(spark):
     ]
 
 
+def test_sessions_over_many_batches(spark):
+    """Sessions that pass in batches of two rows give the changes of whole ones."""
+    rows = spark.createDataFrame(INPUTS, live.INPUT)
+    want = sorted(map(str, live.changes(rows).collect()))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        assert sorted(map(str, live.changes(rows.repartition(5)).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_stream_is_batch(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = spark.createDataFrame(INPUTS, live.INPUT)
