@@ -791,6 +791,52 @@ def routing(spark, sf_dir):
     return rows.select("event_id", "mime", X.audio_extension(F.col("mime")).alias("ext"), readers.error_route(F.col("error")).alias("route"))
 
 
+@query(
+    """WITH b AS (SELECT user_id::VARCHAR AS session_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS ord FROM events)
+SELECT session_id, ord // 8 AS batch, count(*)::INTEGER AS n_samples, round(sum(value), 4) AS total FROM b GROUP BY session_id, ord // 8"""
+)
+def audio_batches(spark, sf_dir):
+    """Every event is a buffer of one sample; eight buffers are a batch."""
+    order = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    rows = D.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session_id"), order.cast("long").alias("buf_ord"), F.array("value").alias("pcm"))
+    total = F.round(F.aggregate("pcm", F.lit(0.0), lambda s, x: s + x), 4)
+    return readers.pcm_batches(rows, 8, 1).select("session_id", "batch", F.size("pcm").alias("n_samples"), total.alias("total"))
+
+
+@query(
+    f"""WITH {D.SEGMENTS} SELECT session_id, seg_id, seg_ord, CASE WHEN hash_no % 3 = 0 THEN 'refined ' || length(text) ELSE text END AS text
+FROM (SELECT *, session_id::BIGINT AS hash_no FROM seg) WHERE hash_no % 5 <> 1 OR hash_no % 3 = 0"""
+)
+def overwritten_sessions(spark, sf_dir):
+    """A session table: live segments, then a batch pass over every third session that replaces it while each fifth goes."""
+    segments = D.conversation_segments(spark, sf_dir)
+    path, number = scratch.new_path(spark, "sessions"), F.col("session_id").cast("long")
+    store.written_sessions(segments, path)
+    refined = segments.where(number % 3 == 0).withColumn("text", F.concat(F.lit("refined "), F.length("text").cast("string")))
+    store.written_sessions(refined, path, gone=segments.where((number % 5 == 1) & (number % 3 != 0)).select("session_id").distinct())
+    return store.read_sessions(spark, path).select("session_id", "seg_id", "seg_ord", "text")
+
+
+@query(
+    """SELECT conv_id::VARCHAR AS session_id, 'slot-' || (turn % 4) AS seg_id, arg_max(coalesce(text, ''), turn) AS text, max(turn)::DOUBLE AS end_s
+FROM conversations GROUP BY conv_id, turn % 4 HAVING max(turn) % 9 <> 8"""
+)
+def leveled_changes(spark, sf_dir):
+    """Change rows in levels: each turn writes one of four segments again, and every ninth turn deletes it; seven micro-batches, merged by threes."""
+    turn = F.col("turn")
+    rows = D.table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("string").alias("session_id"), turn.alias("seq"), F.when(turn % 9 == 8, "delete").otherwise("upsert").alias("op"),
+        F.concat(F.lit("slot-"), turn % 4).alias("seg_id"), F.lit(0).alias("speaker_id"), F.coalesce("text", F.lit("")).alias("text"),
+        F.lit(0.0).alias("start_s"), turn.cast("double").alias("end_s"), F.lit(False).alias("interim"),
+        F.lit(None).cast("int").alias("from_id"), F.lit(None).cast("int").alias("to_id"), F.lit(None).cast("double").alias("pitch_hz"),
+    )
+    path = scratch.new_path(spark, "changes")
+    sink = live.upsert_sink(path, every=3)
+    for k in range(7):
+        sink(rows.where(turn % 7 == k), k)
+    return live.segments(live.change_table(spark, path).drop("batch")).select("session_id", "seg_id", "text", "end_s")
+
+
 @query()
 def engine_switches(spark, sf_dir):
     """Events as inputs of two speech engines: results, levels, errors, ends and the fallback's texts."""
