@@ -5,7 +5,6 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from colloquy import schemas
 from colloquy.operators import store
 from colloquy.sources import exports, readers, sessions
 from colloquy.streaming import live, restarts
