@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +16,8 @@ from pyspark.sql import types as T
 MIN_HZ, MAX_HZ, GATE, FAR_GATE, VOICING = 60, 400, 0.008, 0.002, 0.45
 BANDS, BAND_LOW, BAND_HIGH, FRAME, STEP_S = 32, 100.0, 4000.0, 2048, 0.25
 SILENT_RMS, RATE = 0.004, 16000
+#: Frames that are analyzed together. Always so many, so that a frame's numbers don't depend on which others stand beside it.
+BLOCK = 32
 
 
 def rms(pcm: Column, every: int = 1) -> Column:
@@ -70,62 +73,136 @@ def adapted_gains(energies: pd.Series) -> pd.Series:
 
 @lru_cache(8)
 def _bands(rate: float, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Centres of the bands and their unit turns over a frame; the same for all frames of a rate and size."""
+    """Centres of the bands and, as columns, cosines and sines of their turns over a frame; the same for all frames of a rate and size."""
     hz = BAND_LOW * (BAND_HIGH / BAND_LOW) ** (np.arange(BANDS) / (BANDS - 1))
-    return hz, np.exp(-2j * np.pi * np.outer(hz / rate, np.arange(size)))
+    turns = 2 * np.pi * np.outer(np.arange(size), hz / rate)
+    return hz, np.hstack([np.cos(turns), np.sin(turns)])
+
+
+@lru_cache(8)
+def _padded(least: int) -> int:
+    """The next size that transforms quickly: a product of twos, threes and fives."""
+    return min(2**a * 3**b * 5**c for a in range(33) for b in range(4) for c in range(4) if 2**a * 3**b * 5**c >= least)
+
+
+def _block(x: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pitch and spectral centre of each row of :data:`BLOCK` frames, none of which is silent but those added at the end."""
+    n = x.shape[1]
+    power = np.einsum("ij,ij->i", x, x)
+    power[power == 0] = 1
+    low, high = int(rate // MAX_HZ), min(int(rate // MIN_HZ), n - 1)
+    pitch = np.zeros(len(x))
+    if high >= low:
+        # All lags at once: autocorrelation by the power spectrum of frames so padded that the lags looked at don't wrap.
+        size = _padded(n + high + 2)
+        spectrum = np.fft.rfft(x, size)
+        corr = np.fft.irfft(spectrum.real**2 + spectrum.imag**2, size)[:, : min(high + 2, n)] / power[:, None]
+        seen = corr[:, low : high + 1]
+        lag = low + seen.argmax(1)
+        row = np.arange(len(x))
+        place = lag.astype(float)
+        inside = np.flatnonzero((low < lag) & (lag < high))
+        left, mid, right = (corr[row[inside], lag[inside] + k] for k in (-1, 0, 1))
+        bend = left - 2 * mid + right
+        bent = np.abs(bend) >= 1e-9
+        place[inside[bent]] += np.clip((left - right)[bent] / (2 * bend[bent]), -1, 1)
+        voiced = (seen.max(1) >= VOICING) & (lag > 0)
+        pitch[voiced] = rate / place[voiced]
+    hz, turns = _bands(rate, n)
+    parts = (x @ turns) ** 2
+    bands = parts[:, :BANDS] + parts[:, BANDS:]
+    total = bands.sum(1)
+    centre = np.divide((bands * hz).sum(1), total, out=np.zeros(len(x)), where=total > 0)
+    return pitch, centre
+
+
+def analyze_all(frames: np.ndarray, rate: float, gate: float = GATE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the rows that are frames over the energy gate, and their pitch (0: unvoiced), spectral centre and energy."""
+    n, size = frames.shape
+    if not size:
+        return np.empty(0, int), np.empty(0), np.empty(0), np.empty(0)
+    at, found = [], []
+    for first in range(0, n, BLOCK):
+        x = frames[first : first + BLOCK].astype(float)
+        energy = np.sqrt(np.einsum("ij,ij->i", x, x) / size)
+        loud = np.flatnonzero((energy >= gate) & (energy > 0))
+        if not loud.size:
+            continue
+        block = np.zeros((BLOCK, size))
+        block[: loud.size] = x[loud]
+        pitch, centre = _block(block, rate)
+        at.append(first + loud)
+        found.append((pitch[: loud.size], centre[: loud.size], energy[loud]))
+    if not at:
+        return np.empty(0, int), np.empty(0), np.empty(0), np.empty(0)
+    return np.concatenate(at), *map(np.concatenate, zip(*found))
 
 
 def analyze(frame: np.ndarray, rate: float, gate: float = GATE) -> tuple[float, float, float] | None:
     """Pitch (0: unvoiced), spectral centre and energy of one frame; None below the energy gate."""
-    x = np.asarray(frame, float)
-    power = float(x @ x)
-    energy = float(np.sqrt(power / x.size)) if x.size else 0.0
-    if energy < gate or not power:
-        return None
-    low, high = int(rate // MAX_HZ), min(int(rate // MIN_HZ), x.size - 1)
-    # All lags at once: autocorrelation by the power spectrum of the padded frame.
-    size = 1 << (2 * x.size - 1).bit_length()
-    spectrum = np.fft.rfft(x, size)
-    corr = np.fft.irfft(spectrum * spectrum.conj(), size)[: x.size] / power
-    pitch = 0.0
-    if high >= low and corr[low : high + 1].max() >= VOICING:
-        lag = low + int(corr[low : high + 1].argmax())
-        place = float(lag)
-        if low < lag < high:
-            left, mid, right = corr[lag - 1 : lag + 2]
-            bend = left - 2 * mid + right
-            if abs(bend) >= 1e-9:
-                place += float(np.clip((left - right) / (2 * bend), -1, 1))
-        pitch = rate / place if lag > 0 else 0.0
-    hz, turns = _bands(rate, x.size)
-    bands = np.abs(turns @ x) ** 2
-    return pitch, float(bands @ hz / bands.sum()) if bands.sum() > 0 else 0.0, energy
-
-
-def frames(audio: DataFrame, gate: float = GATE, fps: float = 1 / STEP_S) -> DataFrame:
-    """``schemas.FRAMES`` of ``session_id, sample_rate, pcm``: 2048 samples every quarter of a second, or ``fps`` times a second.
+    at, *found = analyze_all(np.asarray(frame, float)[None, :], rate, gate)
+    return tuple(float(x[0]) for x in found) if at.size else None
 
-    Live sampling has the rate of the power profile, see ``readers.duty_cycle``.
 
-    Frames under the energy gate are dropped by a plain expression before any
-    reaches Python.
-    """
-    seconds = F.size("pcm") / F.col("sample_rate")
-    last = F.floor((seconds - FRAME / F.col("sample_rate")) * fps).cast("int")
-    at = audio.where(F.size("pcm") > FRAME).select("session_id", "sample_rate", "pcm", F.explode(F.sequence(F.lit(0), last)).alias("k"))
-    time = F.col("k") / fps
-    cut = F.slice("pcm", (F.floor(time * F.col("sample_rate")) + 1).cast("int"), FRAME)
-    return analyzed(at.where(time + FRAME / F.col("sample_rate") < seconds).select("session_id", time.alias("time_s"), "sample_rate", cut.alias("frame")), gate)
+def samples_of(pcm: pa.Array, k: int) -> np.ndarray | None:
+    """The samples of an Arrow list's row, without a copy; a missing one is NaN, and frames with it are dropped."""
+    return pcm[k].values.to_numpy(zero_copy_only=False) if pcm[k].is_valid else None
 
 
-def analyzed(rows: DataFrame, gate: float = GATE) -> DataFrame:
-    """``schemas.FRAMES`` of ``session_id, time_s, sample_rate, frame``; frames that are short or under the gate are dropped."""
-    loud = rows.where((F.size("frame") == FRAME) & (rms(F.col("frame")) >= gate))
+def framed(session: list, times: list[np.ndarray], rates: list, frames: list[np.ndarray], gate: float) -> Iterator[pa.RecordBatch]:
+    """``schemas.FRAMES`` of sessions' frames, analyzed in blocks over several sessions; those under the gate are dropped."""
+    by: dict = {}
+    for k, rate in enumerate(rates):
+        if len(times[k]):
+            by.setdefault(rate, []).append(k)
+    for rate, own in by.items():
+        at, pitch, centre, energy = analyze_all(np.concatenate([frames[k] for k in own]), rate, gate)
+        names = pa.array([session[k] for k in own], pa.string()).take(pa.array(np.repeat(np.arange(len(own)), [len(times[k]) for k in own])[at]))
+        columns = [names, *map(pa.array, (np.concatenate([times[k] for k in own])[at], pitch, centre, energy))]
+        yield pa.RecordBatch.from_arrays(columns, names=["session_id", "time_s", "pitch_hz", "centroid_hz", "energy"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = [analyze(f, r, gate) or (0.0, 0.0, 0.0) for f, r in zip(b["frame"], b["sample_rate"])]
-            out = pd.DataFrame(got, columns=["pitch_hz", "centroid_hz", "energy"], index=b.index)
-            yield pd.concat([b[["session_id", "time_s"]], out], axis=1)
 
-    return loud.mapInPandas(run, "session_id string, time_s double, pitch_hz double, centroid_hz double, energy double")
+FRAME_ROWS = "session_id string, time_s double, pitch_hz double, centroid_hz double, energy double"
+#: Samples whose frames are cut before they are analyzed; a task holds their frames.
+CUT_SAMPLES = 1 << 20
+
+
+def frames(audio: DataFrame, gate: float = GATE, fps: float = 1 / STEP_S, sampled: Callable[[pa.Array], pa.Array] | None = None) -> DataFrame:
+    """``schemas.FRAMES`` of ``session_id, sample_rate, pcm``: 2048 samples every quarter of a second, or ``fps`` times a second.
+
+    Live sampling has the rate of the power profile, see ``readers.duty_cycle``. Frames are cut and analyzed
+    in one Arrow pass over the rows, no sample is copied for a frame outside it. ``sampled``
+    makes the lists of samples of some rows, where ``pcm`` holds what they are made from.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            step = max(1, CUT_SAMPLES // 8192) if sampled else b.num_rows or 1
+            for first in range(0, b.num_rows, step):
+                part = b.slice(first, step)
+                pcm = sampled(part.column(2)) if sampled else part.column(2)
+                yield from _cut(part.column(0).to_pylist(), part.column(1).to_pylist(), pcm)
+
+    def _cut(sessions: list, given: list, pcm: pa.Array) -> Iterator[pa.RecordBatch]:
+        names, times, rates, cuts, held = [], [], [], [], 0
+        for k, (session, rate) in enumerate(zip(sessions, given)):
+            x = samples_of(pcm, k)
+            if x is None or x.size <= FRAME or not rate:
+                continue
+            seconds = x.size / rate
+            time = np.arange(int(np.floor((seconds - FRAME / rate) * fps)) + 1) / fps
+            time = time[time + FRAME / rate < seconds]
+            place = np.floor(time * rate).astype(np.int64)
+            whole = place + FRAME <= x.size
+            time, place = time[whole], place[whole]
+            windows = np.lib.stride_tricks.sliding_window_view(x, FRAME)
+            for i in range(0, len(time), CUT_SAMPLES // FRAME):
+                part = slice(i, i + CUT_SAMPLES // FRAME)
+                names, times, rates, cuts = [*names, session], [*times, time[part]], [*rates, rate], [*cuts, windows[place[part]]]
+                held += len(time[part]) * FRAME
+                if held >= CUT_SAMPLES:
+                    yield from framed(names, times, rates, cuts, gate)
+                    names, times, rates, cuts, held = [], [], [], [], 0
+        yield from framed(names, times, rates, cuts, gate)
+
+    return audio.select(F.col("session_id").cast("string"), "sample_rate", "pcm").mapInArrow(run, FRAME_ROWS)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -729,15 +731,21 @@ def signal_levels(spark, sf_dir):
     return rows.select("vec_id", F.round(signal.rms(F.col("embedding")), 6).alias("rms"), F.round(signal.peak(F.col("embedding")), 6).alias("peak"))
 
 
+def _tones(values: pa.Array) -> pa.Array:
+    """Half a second of a tone for each value."""
+    hz = 80 + np.fmod(np.fmod(values.to_numpy(zero_copy_only=False), 300.0) + 300.0, 300.0)
+    pcm = (0.4 * np.sin(np.arange(8000) * hz[:, None] * 6.283185307179586 / 16000)).astype(np.float32)
+    offsets = pa.array(np.arange(len(hz) + 1, dtype=np.int32) * 8000, mask=np.r_[values.is_null().to_numpy(zero_copy_only=False), False])
+    return pa.ListArray.from_arrays(offsets, pa.array(pcm.ravel()))
+
+
 @query()
 def audio_frames(spark, sf_dir):
     """Frames of every event's tone, whose pitch comes from its value; events are dealt out before they become samples."""
     tones = D.table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("session_id"), "value")
     tones = tones.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "session_id")
-    hz = 80 + F.pmod("value", F.lit(300.0))
-    pcm = F.transform(F.sequence(F.lit(0), F.lit(7999)), lambda i: (0.4 * F.sin(i * hz * 6.283185307179586 / 16000)).cast("float"))
-    audio = tones.select("session_id", F.lit(signal.RATE).alias("sample_rate"), pcm.alias("pcm"))
-    return signal.frames(audio).withColumns({c: F.round(c, 3) for c in ("pitch_hz", "centroid_hz", "energy")})
+    audio = tones.select("session_id", F.lit(signal.RATE).alias("sample_rate"), F.col("value").alias("pcm"))
+    return signal.frames(audio, sampled=_tones).withColumns({c: F.round(c, 3) for c in ("pitch_hz", "centroid_hz", "energy")})
 
 
 @query(

@@ -255,6 +255,25 @@ def test_audio_frames_of_every_event(spark):
     assert {r.session_id for r in got} == want and len(got) == 2 * len(want)
 
 
+def test_frames_in_blocks(spark):
+    """Frames are the same beside any others, and no sample passes through an expression of Spark's."""
+    from colloquy.plans.catalogue import QUERIES
+
+    rnd = np.random.default_rng(4)
+    x = 0.2 * rnd.standard_normal((100, 2048)) + 0.3 * np.sin(np.arange(2048) * rnd.uniform(0.02, 0.2, (100, 1)))
+    x[::7] *= 0.001
+    at, *found = signal.analyze_all(x, 16000)
+    alone = {k: signal.analyze(row, 16000) for k, row in enumerate(x)}
+    assert dict(zip(at.tolist(), zip(*(f.tolist() for f in found)))) == {k: v for k, v in alone.items() if v} and at.size == 85
+    for k in (1, 50):
+        assert abs(alone[k][0] - slow_pitch(x[k].tolist(), 16000)) < 0.01
+    plan = QUERIES["audio_frames"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "transform" not in plan
+    rows = [("a", 16000, None), ("b", 16000, [0.5] * 2048), ("c", 16000, [0.5, -0.5] * 1025), ("d", 8000, [0.5, -0.5] * 3000)]
+    got = signal.frames(spark.createDataFrame(rows, "session_id string, sample_rate int, pcm array<float>")).collect()
+    assert sorted((r.session_id, r.time_s, r.energy) for r in got) == [("c", 0.0, 0.5), ("d", 0.0, 0.5), ("d", 0.25, 0.5)]
+
+
 def test_pairwise_cosine_of_bounded_sessions(spark):
     rows = [("s", k, [float(k), 1.0]) for k in range(300)] + [("t", 1, [1.0, 0.0]), ("t", 1, [0.0, 1.0]), ("t", 2, [0.0, 2.0]), ("t", 3, None), ("t", 4, []), ("u", 1, [0.0, 0.0])]
     table = spark.createDataFrame(rows, "session_id string, win_ord bigint, vector array<double>")
