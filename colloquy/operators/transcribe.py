@@ -69,7 +69,7 @@ def transcribed_files(
     """
     pieces = waves.units(spark, path, unit_s, overlap_s=readers.LONG_CHUNK_S)
     chunks = scratch.written(readers.recognized_units(pieces, recognizer), "chunks")
-    frames = scratch.written(waves.frames(waves.units(spark, path, unit_s)), "frames")
+    frames = scratch.written(waves.file_frames(spark, path, unit_s), "frames")
     lengths = scratch.written(waves.lengths(spark, path, unit_s), "lengths")
     embed = lambda windows: scratch.written(readers.embedded_units(windows, pieces, embedder, unit_s=unit_s), "vectors")
     return _attributed(chunks, frames, lengths, embed)

@@ -12,14 +12,14 @@ that only Spark itself can read there is :func:`colloquy.sources.readers.audio`,
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fnmatch import fnmatch
 from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -27,6 +27,10 @@ from colloquy.functions import signal
 
 #: Seconds of a unit, bytes of a task's range, and seconds that a unit has of the next ones: those of a frame.
 UNIT_S, RANGE_BYTES, OVERLAP_S = 60, 64 << 20, signal.FRAME / signal.RATE
+#: What opening a file counts for, in bytes, where short files are dealt to tasks.
+OPEN_BYTES = 1 << 18
+#: Tasks that read samples, at most; beyond it each reads more.
+MAX_TASKS = 20_000
 #: first and n_own: place and number of the unit's own samples at 16 kHz; pcm has the overlap behind them.
 UNITS = (
     "session_id string, path string, unit bigint, first bigint, n_own int, n_samples bigint, duration_s double, "
@@ -86,11 +90,14 @@ class Header:
         count = min(count, self.n_out - first)
         if count <= 0:
             return np.empty(0, np.float32)
-        at = np.arange(first, first + count) if self.rate == signal.RATE else np.floor(np.arange(first, first + count) * self.every).astype(np.int64)
-        low, high = int(at[0]), min(int(at[-1]), self.n - 1)
+        place = lambda k: k if self.rate == signal.RATE else np.floor(k * self.every).astype(np.int64)
+        low, high = int(place(np.int64(first))), min(int(place(np.int64(first + count - 1))), self.n - 1)
         file.seek(self.start + low * self.block)
         raw = samples(_exactly(file, (high - low + 1) * self.block), self.width, self.channels)
-        return raw[np.minimum(at, high) - low]
+        times = signal.RATE // self.rate
+        if times in (2, 4) and times * self.rate == signal.RATE:
+            return np.repeat(raw, times)[first % times : first % times + count]
+        return raw if self.rate == signal.RATE else raw[np.minimum(place(np.arange(first, first + count)), high) - low]
 
 
 def _exactly(file, n: int) -> bytes:
@@ -118,11 +125,18 @@ def _files(path: str) -> list[tuple[str, int]]:
     return sorted((scheme + x.path, x.size) for x in found if x.type == fs.FileType.File and (fnmatch(x.path, name) if name else not x.base_name.startswith(("_", "."))))
 
 
-class Range(InputPartition):
+class Range:
     def __init__(self, path: str, size: int, begin: int, end: int):
         self.path, self.size, self.begin, self.end = path, size, begin, end
 
 
+class Ranges(InputPartition):
+    """Ranges of one task: one of a long file, or several short files whole."""
+
+    def __init__(self, parts: list[Range]):
+        self.parts = parts
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
@@ -130,13 +144,26 @@ class _Reader(DataSourceReader):
         self.overlap = round(float(options.get("overlapseconds", OVERLAP_S)) * signal.RATE)
         self.peaks_only = options.get("peaksonly", "false") == "true"
 
-    def partitions(self) -> list[Range]:
-        """By size alone; no file is opened here."""
-        return [Range(p, size, at, at + self.range_bytes) for p, size in _files(self.path) for at in range(0, max(size, 1), self.range_bytes)]
-
-    def read(self, part: Range | None) -> Iterator[pa.RecordBatch]:
-        if part is None:  # no file at all
-            return
+    def partitions(self) -> list[Ranges]:
+        """By size alone; no file is opened here. Short files share a task up to the bytes of a range."""
+        tasks, held = [], self.range_bytes
+        for path, size in _files(self.path):
+            if size + OPEN_BYTES > self.range_bytes:
+                tasks += [Ranges([Range(path, size, at, at + self.range_bytes)]) for at in range(0, max(size, 1), self.range_bytes)]
+                held = self.range_bytes
+                continue
+            if held + size + OPEN_BYTES > self.range_bytes:
+                tasks.append(Ranges([]))
+                held = 0
+            tasks[-1].parts.append(Range(path, size, 0, self.range_bytes))
+            held += size + OPEN_BYTES
+        return tasks
+
+    def read(self, task: Ranges | None) -> Iterator[pa.RecordBatch]:
+        for part in task.parts if task else ():  # or else no file at all
+            yield from self._read(part)
+
+    def _read(self, part: Range) -> Iterator[pa.RecordBatch]:
         system, path = _opened(part.path)
         *_, folder, name = f"/{part.path}".split("/")
         if folder.startswith("session_id="):
@@ -212,35 +239,72 @@ def units(spark: SparkSession, path: str, unit_s: int = UNIT_S, overlap_s: float
     """:data:`UNITS` of the wave files at ``path``: 16 kHz mono, quiet files leveled as a whole.
 
     The session is the folder's, where that is named ``session_id=``, or else the file's name. A file that isn't a PCM wave file is one row without samples. With ``level`` the files are read
-    twice, first for their peaks, of which a row for each unit is gathered by session.
+    twice, first for their peaks. What is dealt by file are the units without their samples; those are read
+    when the gain is known, so no sample is shuffled.
     """
-    options = {"unitSeconds": unit_s, "rangeBytes": range_bytes}
-    rows = _read(spark, path, False, overlapSeconds=overlap_s, **options)
     if not level:
-        return rows
-    tops = _read(spark, path, True, overlapSeconds=0, **options).groupBy("path").agg(F.max("peak").cast("double").alias("_top"))
-    gain = F.when((F.col("_top") > 0) & (F.col("_top") < 0.5), F.least(F.lit(0.9) / F.col("_top"), F.lit(24.0)))
-    louder = F.when(gain.isNotNull(), F.transform("pcm", lambda x: (x * gain).cast("float"))).otherwise(F.col("pcm"))
-    return rows.join(tops, "path").select(*(louder.alias(c) if c == "pcm" else F.col(c) for c in rows.columns))
-
-
-def write(rows: DataFrame, path: str, rate: int = signal.RATE, width: int = 2) -> None:
+        return _read(spark, path, False, unitSeconds=unit_s, rangeBytes=range_bytes, overlapSeconds=overlap_s)
+    return _dealt(spark, path, unit_s, range_bytes).mapInArrow(_filled(unit_s, overlap_s), UNITS)
+
+
+def _dealt(spark: SparkSession, path: str, unit_s: int, range_bytes: int) -> DataFrame:
+    """Units without their samples, with the ``top`` of their file."""
+    tops = _read(spark, path, True, unitSeconds=unit_s, rangeBytes=range_bytes, overlapSeconds=0).drop("pcm")
+    tops = tops.withColumn("top", F.max("peak").over(Window.partitionBy("path")))
+    # A number of its own, as the rows are small and would otherwise be put together in few tasks.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-sum(size for _, size in _files(path)) // range_bytes), MAX_TASKS))
+    return tops.repartition(tasks, "path", "unit").sortWithinPartitions("path", "unit")
+
+
+def _filled(unit_s: int, overlap_s: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A pass over :func:`_dealt` that reads the samples and levels them, a unit a batch."""
+    longest = unit_s * signal.RATE + round(overlap_s * signal.RATE)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = file = head = None
+        try:
+            for b in batches:
+                for row in b.to_pylist():
+                    top, pcm = row.pop("top"), None
+                    if row["n_samples"] is not None:
+                        if row["path"] != name:
+                            if file is not None:
+                                file.close()
+                            name = row["path"]
+                            system, at = _opened(name)
+                            file = system.open_input_file(at)
+                            head = Header(file, file.size())
+                        pcm = head.read(file, row["first"], longest)
+                        if top is not None and 0 < top < 0.5:
+                            pcm = (pcm.astype(float) * min(0.9 / top, 24.0)).astype(np.float32)
+                    yield _batch(*row.values(), pcm)
+        finally:
+            if file is not None:
+                file.close()
+
+    return fill
+
+
+def write(rows: DataFrame, path: str, rate: int = signal.RATE, width: int = 2, sampled: Callable[[pa.Array], np.ndarray] | None = None) -> None:
     """Write ``session_id, pcm`` rows as mono wave files, each below a folder ``session_id=``, by Spark's committer.
 
-    A row is a file; its samples are numbers of ``width`` bytes, louder ones than 1 are cut.
+    A row is a file; its samples are numbers of ``width`` bytes, louder ones than 1 are cut. ``sampled`` makes
+    them, a row at a time, where ``pcm`` holds what they are made from.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                x = np.asarray(b.column(1)[k].values, np.float64) if b.column(1)[k].is_valid else np.empty(0)
+                values = b.column(1)[k].values if b.column(1)[k].is_valid else pa.array([], pa.float32())
+                x = (sampled(values) if sampled else values.to_numpy(zero_copy_only=False)).astype(np.float64)
                 top = 1 << (8 * width - 1)
-                whole = np.clip(np.round(x * top), -top, top - 1).astype(np.int64) + (128 if width == 1 else 0)
-                raw = whole.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+                whole = np.clip(np.round(x * top), -top, top - 1)
+                raw = (whole + 128).astype(np.uint8).tobytes() if width == 1 else whole.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
                 head = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(raw), b"WAVE", b"fmt ", 16, 1, 1, rate, rate * width, width, 8 * width, b"data", len(raw))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), pa.array([head + raw], pa.binary())], names=["session_id", "value"])
 
-    made = rows.select(F.col("session_id").cast("string"), F.col("pcm").cast("array<float>")).mapInArrow(run, "session_id string, value binary")
+    pcm = F.col("pcm") if sampled else F.col("pcm").cast("array<float>")
+    made = rows.select(F.col("session_id").cast("string"), pcm).mapInArrow(run, "session_id string, value binary")
     files = made.select("session_id", F.col("value").cast("string").alias("value"))
     files.write.partitionBy("session_id").option("maxRecordsPerFile", 1).text(path)
 
@@ -258,14 +322,34 @@ def spans(rows: DataFrame, first, count) -> DataFrame:
 
 
 def frames(rows: DataFrame, gate: float = signal.GATE, fps: float = 1 / signal.STEP_S) -> DataFrame:
-    """``schemas.FRAMES`` of :func:`units`: the same frames as ``signal.frames`` gives of the whole signal."""
-    seconds = F.col("n_samples") / signal.RATE
-    low = F.ceil(F.col("first") * fps / signal.RATE).cast("long")
-    high = F.least(F.floor((F.col("first") + F.col("n_own") - 1) * fps / signal.RATE), F.floor((seconds - signal.FRAME / signal.RATE) * fps)).cast("long")
-    known = rows.where((F.col("n_samples") > signal.FRAME) & (high >= low - 1))
-    at = known.select("session_id", "first", "n_own", "n_samples", "pcm", F.explode(F.sequence(low - 1, high + 1)).alias("k"))
-    time = F.col("k") / fps
-    # Places are made as for the whole signal; a frame belongs to the unit that has its first sample.
-    cut = spans(at.where("k >= 0"), F.floor(time * signal.RATE), signal.FRAME)
-    cut = cut.where(time + signal.FRAME / signal.RATE < F.col("n_samples") / signal.RATE).select("session_id", time.alias("time_s"), F.lit(signal.RATE).alias("sample_rate"), F.col("span").alias("frame"))
-    return signal.analyzed(cut, gate)
+    """``schemas.FRAMES`` of :func:`units`: the same frames as ``signal.frames`` gives of the whole signal, in one Arrow pass."""
+    return rows.select("session_id", "first", "n_own", "n_samples", "pcm").mapInArrow(_framing(gate, fps), signal.FRAME_ROWS)
+
+
+def file_frames(spark: SparkSession, path: str, unit_s: int = UNIT_S, gate: float = signal.GATE, fps: float = 1 / signal.STEP_S, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """:func:`frames` of the :func:`units` at ``path``, read and analyzed in the same pass."""
+    fill, cut = _filled(unit_s, OVERLAP_S), _framing(gate, fps)
+    names = ["session_id", "first", "n_own", "n_samples", "pcm"]
+    return _dealt(spark, path, unit_s, range_bytes).mapInArrow(lambda batches: cut(b.select(names) for b in fill(batches)), signal.FRAME_ROWS)
+
+
+def _framing(gate: float, fps: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            plain = [c.to_pylist() for c in b.columns[:4]]
+            for k, (session, first, n_own, n) in enumerate(zip(*plain)):
+                pcm = signal.samples_of(b.column(4), k)
+                if pcm is None or n is None or n <= signal.FRAME:
+                    continue
+                seconds = n / signal.RATE
+                low = int(np.ceil(first * fps / signal.RATE))
+                high = min(int(np.floor((first + n_own - 1) * fps / signal.RATE)), int(np.floor((seconds - signal.FRAME / signal.RATE) * fps)))
+                time = np.arange(max(low - 1, 0), high + 2) / fps
+                # Places are made as for the whole signal; a frame belongs to the unit that has its first sample.
+                at = np.floor(time * signal.RATE).astype(np.int64) - first
+                own = (at >= 0) & (at < n_own) & (at + signal.FRAME <= pcm.size) & (time + signal.FRAME / signal.RATE < seconds)
+                if own.any():
+                    windows = np.lib.stride_tricks.sliding_window_view(pcm, signal.FRAME)
+                    yield from signal.framed([session], [time[own]], [signal.RATE], [windows[at[own]]], gate)
+
+    return run

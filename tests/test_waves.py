@@ -106,3 +106,11 @@ def test_missing(spark, tmp_path):
     with pytest.raises(Exception, match="nothing-here"):
         waves.units(spark, str(tmp_path / "nothing-here")).collect()
     assert waves.units(spark, str(tmp_path)).count() == 0
+
+
+def test_samples_stay_in_their_task(spark, folder):
+    """Leveled units are dealt before their samples are read, and short files share a task."""
+    plan = waves.units(spark, folder, unit_s=20)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and all("pcm" not in line for line in plan.splitlines() if "Repartition" in line or "Window" in line)
+    assert waves.units(spark, folder, level=False).rdd.getNumPartitions() == 1
+    assert key(waves.file_frames(spark, folder, unit_s=7, range_bytes=600_000)) == key(waves.frames(waves.units(spark, folder)))
