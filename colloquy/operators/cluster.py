@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 MAX_SPEAKERS, MATCH, NEW, MERGE, TIMBRE, MIN_FRAMES, SAMPLES, MEMORY = 8, 0.35, 0.55, 0.25, 0.2, 3, 50, 12
 #: Adaptive threshold of vectors: modes nearer than this are one voice; bounds; small clusters. Fixed values.
 ONE_VOICE, LEAST, MOST, SMALL, FIXED, ROUNDS = 0.08, 0.45, 0.8, 3, 0.6, 20
+#: Vectors whose similarities are all kept for the threshold, and similarities that are held at once beyond that.
+KEPT_ROWS, BLOCK_CELLS = 4096, 1 << 22
 #: Pitch jumps that split a run. Fixed values.
 JUMP, AGREE, SMOOTH = 0.45, 0.2, 0.3
 
@@ -275,6 +277,7 @@ def _join_nearest(groups: list[list[int]], centers: list[np.ndarray], least: flo
 def _nearest_later(c: np.ndarray, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """For each row the later one that is most alike, the last of several, and how much."""
     n = len(c)
+    block = min(block, max(16, BLOCK_CELLS // n))
     near, like = np.zeros(n, int), np.full(n, -np.inf)
     for k in range(0, n, block):
         sims = c[k : k + block] @ c[k:].T
@@ -329,6 +332,39 @@ def threshold(sims: np.ndarray) -> float | None:
     return None if hi - lo < ONE_VOICE else float(min(MOST, max(LEAST, (lo + hi) / 2)))
 
 
+def _threshold_of(x: np.ndarray) -> float | None:
+    """:func:`threshold` of the similarities of all pairs of rows. Of many rows they are made again for each round, a block at a time."""
+    n = len(x)
+    if n <= KEPT_ROWS:
+        return threshold(_similarities(x))
+    block = min(512, max(16, BLOCK_CELLS // n))
+
+    def parts() -> Iterator[np.ndarray]:
+        for k in range(0, n, block):
+            sims = x[k : k + block] @ x[k:].T
+            b = len(sims)
+            yield sims[:, :b][np.triu_indices(b, 1)]
+            yield sims[:, b:]
+
+    lo, hi, total, count = np.inf, -np.inf, 0.0, n * (n - 1) // 2
+    for part in parts():
+        if part.size:
+            lo, hi, total = min(lo, part.min()), max(hi, part.max()), total + part.sum()
+    for _ in range(ROUNDS):
+        middle, below, n_below = (lo + hi) / 2, 0.0, 0
+        for part in parts():
+            low = part < middle
+            n_below += np.count_nonzero(low)
+            below += np.sum(part, where=low)
+        if n_below in (0, count):
+            break
+        before = lo, hi
+        lo, hi = below / n_below, (total - below) / (count - n_below)
+        if before == (lo, hi):
+            break
+    return None if hi - lo < ONE_VOICE else float(min(MOST, max(LEAST, (lo + hi) / 2)))
+
+
 def adaptive_labels(vectors: list, most: int = MAX_SPEAKERS) -> np.ndarray:
     """Clusters of vectors by a threshold that their own similarities give; -1 without a vector."""
     out = np.full(len(vectors), -1)
@@ -336,7 +372,7 @@ def adaptive_labels(vectors: list, most: int = MAX_SPEAKERS) -> np.ndarray:
     if len(at) < 2:
         out[at] = 0
         return out
-    limit = threshold(_similarities(x))
+    limit = _threshold_of(x)
     if limit is None:
         out[at] = 0
         return out
@@ -368,15 +404,15 @@ def fixed_labels(vectors: list, limit: float = FIXED, most: int = MAX_SPEAKERS)
     return out
 
 
-def cluster_vectors(vectors: DataFrame, adaptive: bool = True, most: int = MAX_SPEAKERS, limit: int = 4096) -> DataFrame:
+def cluster_vectors(vectors: DataFrame, adaptive: bool = True, most: int = MAX_SPEAKERS, limit: int | None = None) -> DataFrame:
     """``session_id, win_ord, label`` of every session's vectors.
 
-    Windows are made 400 to a session at most; a session of more than ``limit`` vectors,
-    whose similarities would not fit in a task, is refused.
+    Windows are made 400 to a session at most. A longer session takes time by the square of its vectors, as each merge
+    looks at all that remain, but memory in proportion to them. One of more than ``limit`` vectors, if that is given, is refused.
     """
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
-        if len(frame) > limit:
+        if limit is not None and len(frame) > limit:
             raise ValueError(f"more than {limit} vectors in session {frame['session_id'].iat[0]}")
         frame = frame.sort_values("win_ord", kind="stable")
         labels = (adaptive_labels if adaptive else fixed_labels)(frame["vector"].tolist(), most=most)

@@ -76,6 +76,22 @@ def test_many_vectors():
     assert time.monotonic() - began < 20 and len(set(labels.tolist())) <= 8
 
 
+def test_long_sessions(spark, monkeypatch):
+    """More vectors than whose similarities are kept: the same threshold and labels, a block at a time; no session is refused."""
+    rnd = np.random.default_rng(3)
+    x = rnd.standard_normal((5, 12))[rnd.integers(0, 5, 5000)] + 0.4 * rnd.standard_normal((5000, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert abs(cluster._threshold_of(x) - cluster.threshold(cluster._similarities(x))) < 1e-12
+    want = cluster.adaptive_labels(list(x[:700])).tolist(), cluster.fixed_labels(list(x[:700])).tolist()
+    monkeypatch.setattr(cluster, "KEPT_ROWS", 50)
+    monkeypatch.setattr(cluster, "BLOCK_CELLS", 20_000)
+    assert (cluster.adaptive_labels(list(x[:700])).tolist(), cluster.fixed_labels(list(x[:700])).tolist()) == want
+    rows = spark.createDataFrame([("s", k, v.tolist()) for k, v in enumerate(x)], "session_id string, win_ord bigint, vector array<double>")
+    for adaptive in (True, False):
+        got = cluster.cluster_vectors(rows, adaptive).collect()
+        assert sorted(r.win_ord for r in got) == list(range(5000)) and 1 < len({r.label for r in got}) <= 8
+
+
 def test_given_vectors(spark):
     """The registered queries on the smallest tables."""
     from colloquy.plans import catalogue
