@@ -290,3 +290,12 @@ def test_pairwise_cosine_of_bounded_sessions(spark):
     assert vectors.pairwise_cosine(table.limit(0)).count() == 0
     with pytest.raises(Exception, match="more than 299 vectors"):
         vectors.pairwise_cosine(table, limit=299).count()
+
+
+def test_pairwise_cosine_of_long_sessions(spark):
+    """A session of 5,000 vectors has all its pairs, each once, from several groups."""
+    rows = spark.range(5000).select(F.lit("s").alias("session_id"), (F.col("id") * 3).alias("win_ord"), F.array(F.sin("id"), F.cos("id")).alias("vector"))
+    got = vectors.pairwise_cosine(rows)
+    near = F.abs(F.col("cosine") - F.cos((F.col("b") - F.col("a")) / 3)) < 1e-9
+    n, different, right, low = got.agg(F.count("*"), F.count_distinct(F.col("a") * 100_000 + F.col("b")), F.count_if(near), F.count_if(F.col("a") < F.col("b"))).first()
+    assert n == different == right == low == 5000 * 4999 // 2
