@@ -785,7 +785,8 @@ def _live_inputs(spark, sf_dir):
 
 @query()
 def live_captions(spark, sf_dir):
-    return live.segments(live.changes(_live_inputs(spark, sf_dir)))
+    """The changes are a table of their own: segments and aliases both come from it, and no session is replayed for each."""
+    return live.segments(scratch.written(live.changes(_live_inputs(spark, sf_dir)), "changes"))
 
 
 _MIMES = ("audio/mp4", "audio/x-m4a", "audio/mpeg", "audio/mp3", "audio/wav", "audio/ogg", "audio/webm", "video/mp4")

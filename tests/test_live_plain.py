@@ -121,3 +121,9 @@ def test_region_speakers(spark):
     for r in catalogue.QUERIES["voiced_regions"](spark, DIR).collect():
         got.setdefault(r.session_id, []).append((r.reg_ord, r.start_s, r.end_s, r.speaker_id, round(r.median_pitch_hz, 9)))
     assert {k: sorted(v) for k, v in got.items()} == want
+
+
+def test_changes_are_made_once(spark):
+    """Segments and aliases both read the written changes; neither replays the sessions."""
+    plan = catalogue.QUERIES["live_captions"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" not in plan
