@@ -12,7 +12,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as X
@@ -38,6 +38,8 @@ WEAK_PHRASES = (
 )
 RUN_ON_WORDS, RUN_ON_SPAN, REPEATED_LETTERS, REPEATED_TIMES = 40, 80, 5, 3
 
+#: Rows of one Arrow batch at most; a worker holds one batch of texts and its results.
+BATCH_ROWS = 512
 
 Item = tuple[int, int, int, str | None, str]
 
@@ -160,12 +162,23 @@ def found_in(text: str, kinds: tuple[str, ...] = KINDS) -> Iterator[tuple[str, I
             yield kind, item
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches to :data:`BATCH_ROWS` rows, so that a worker's memory doesn't grow with its partition.
+
+    Spark reads the setting when a query runs, so the session keeps it; a smaller one of the user's own stays.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def suggestions(segments: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """One row per suggestion of final segments that are not blank; see ``schemas.SUGGESTIONS``.
 
     All detectors look at a segment in one pass, so nothing is shuffled or read
     twice. Their order is (seg_ord, det_ord, lex_ord, start).
     """
+    small_batches(segments.sparkSession)
     final = segments.where(~F.coalesce(F.col("interim"), F.lit(False)) & ~X.is_blank(F.col("text")))
     names = [field.split()[0] for field in SUGGESTIONS.split(", ")]
     types = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}

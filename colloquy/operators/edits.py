@@ -145,6 +145,7 @@ def _mapped(segments: DataFrame, change: Callable[[str], str | None]) -> DataFra
     def changed(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else change(t))
 
+    detect.small_batches(segments.sparkSession)
     looked_at = ~F.coalesce(F.col("interim"), F.lit(False)) & ~X.is_blank(F.col("text"))
     new = F.coalesce(changed(F.when(looked_at, F.col("text"))), F.col("text"))
     return segments.withColumn("text", new)

@@ -201,3 +201,17 @@ def test_all_fixes_to_the_end(spark):
     assert {r.seg_ord: r.text for r in done.collect()} == want
     interim = segments(spark, ["um the the"]).withColumn("interim", F.lit(True))
     assert edits.apply_all(interim).first().text == "um the the"
+
+
+def test_batches_are_small(spark):
+    """A worker of fixes or suggestions holds few rows at once, however many its partition has; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for make in (edits.apply_all, edits.apply_first, detect.suggestions):
+            for user, want in (("10000", detect.BATCH_ROWS), ("0", detect.BATCH_ROWS), ("100", 100)):
+                spark.conf.set(key, user)
+                make(segments(spark, ["um the the"]))
+                assert int(spark.conf.get(key)) == want
+    finally:
+        spark.conf.set(key, before)
