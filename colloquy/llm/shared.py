@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 #: Rows of one Arrow batch at most; very long texts make batches of more rows too large.
 BATCH_ROWS = 512
+#: Rows of batches that are put together, at most.
+TOGETHER_ROWS = 1 << 14
 
 _local_root: str | None = None
 _released: set[str] = set()
@@ -145,19 +147,34 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def joined(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of at most that many bytes and :data:`TOGETHER_ROWS` rows; larger batches stay as they are."""
+    held, n_bytes, n_rows = [], 0, 0
+    for batch in batches:
+        if held and (n_bytes + batch.nbytes > size or n_rows + batch.num_rows > TOGETHER_ROWS):
+            yield pa.concat_batches(held) if len(held) > 1 else held[0]
+            held, n_bytes, n_rows = [], 0, 0
+        held.append(batch)
+        n_bytes += batch.nbytes
+        n_rows += batch.num_rows
+    if held:
+        yield pa.concat_batches(held) if len(held) > 1 else held[0]
+
+
 def arrow_map(
     df: DataFrame,
     inputs: Sequence[str],
     outputs: T.StructType,
     make: Callable[[], Callable[..., Sequence]],
     keep: Sequence[str] = (),
+    together: int = 0,
 ) -> DataFrame:
     """Add columns computed in Python from whole batches; one result row per input row.
 
     ``make()`` is called once per task and gives a function from the input
     columns (Python lists, nulls as None) to one list or Arrow array per output.
     ``keep`` names the columns carried along; one that has the name of an output
-    gives way to the output.
+    gives way to the output. Batches are put together up to ``together`` bytes.
     """
     small_batches(df.sparkSession)
     kept = [c for c in keep if c not in outputs.names]
@@ -170,7 +187,7 @@ def arrow_map(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = make()
-        for batch in batches:
+        for batch in joined(batches, together):
             got = function(*(batch.column(n_kept + i).to_pylist() for i in range(n_in)))
             new = [
                 x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, kind)
