@@ -50,16 +50,30 @@ def kind(t: Column) -> Column:
     )
 
 
-def sentences(segments: DataFrame) -> DataFrame:
-    """``session_id, ord, speaker_id, text, words``: sentences of four tokens and more, numbered within the session."""
+def _pieces(segments: DataFrame) -> DataFrame:
+    """``session_id, seg_ord, piece, speaker_id, text, words``: sentences of four tokens and more."""
     final = segments.where(~F.coalesce(F.col("interim"), F.lit(False)))
     pieces = final.select("session_id", "seg_ord", "speaker_id", F.posexplode(X.sentences(F.col("text"))).alias("piece", "raw"))
     rows = pieces.select("session_id", "seg_ord", "piece", "speaker_id", X.trim(F.col("raw")).alias("text"))
     rows = rows.where(F.size(F.split("text", rf"[{X.WS}]+")) >= MIN_TOKENS)
     tokens = X.words(F.regexp_replace(F.lower("text"), rf"[^a-z0-9{X.WS}']", ""))
     content = F.array_except(F.filter(tokens, lambda w: F.length(w) > 2), F.array(*map(F.lit, STOP_WORDS)))
+    return rows.withColumn("words", content)
+
+
+def _numbered(pieces: DataFrame) -> DataFrame:
     number = F.row_number().over(Window.partitionBy("session_id").orderBy("seg_ord", "piece")) - 1
-    return rows.select("session_id", number.alias("ord"), "speaker_id", "text", content.alias("words"))
+    return pieces.select("session_id", number.alias("ord"), "speaker_id", "text", "words")
+
+
+def sentences(segments: DataFrame) -> DataFrame:
+    """``session_id, ord, speaker_id, text, words``: sentences of four tokens and more, numbered within the session."""
+    return _numbered(_pieces(segments))
+
+
+def _scored_once(segments: DataFrame) -> DataFrame:
+    """Scored sentences; they are written first, as scoring reads them twice and cutting them costs more than that."""
+    return scored(_numbered(scratch.written(_pieces(segments), "sentences")))
 
 
 def scored(rows: DataFrame) -> DataFrame:
@@ -74,13 +88,13 @@ def scored(rows: DataFrame) -> DataFrame:
 
 def classified(segments: DataFrame) -> DataFrame:
     """Scored sentences with their ``kind``."""
-    return scored(sentences(segments)).withColumn("kind", kind(F.col("text")))
+    return _scored_once(segments).withColumn("kind", kind(F.col("text")))
 
 
 def top_sentences(segments: DataFrame, k: int = OVERVIEW) -> DataFrame:
     """The ``k`` best-scored sentences of each session, ties by order."""
     rank = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("score"), "ord"))
-    return scored(sentences(segments)).withColumn("rank", rank).where(F.col("rank") <= k).select("session_id", "rank", "ord", "speaker_id", "text", "score")
+    return _scored_once(segments).withColumn("rank", rank).where(F.col("rank") <= k).select("session_id", "rank", "ord", "speaker_id", "text", "score")
 
 
 #: Sentences of prose that are looked at as one list, and the mark of a session that may need more.

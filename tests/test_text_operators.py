@@ -132,6 +132,13 @@ def test_interim_is_skipped(spark):
     assert summary.sentences(rows).count() == 0
 
 
+def test_sentences_are_cut_once(spark):
+    """Scoring reads written sentences; it read and cut the texts twice before."""
+    for rows in (summary.classified(segments(spark, ["We all agree on it. Send it to us."])), summary.top_sentences(segments(spark, ["We all agree on it."]))):
+        assert "(?<=[.!?])" not in rows._jdf.queryExecution().toString()
+        assert rows.count() == len(rows.select("ord").distinct().collect()) > 0
+
+
 def test_kinds(spark):
     texts = ["Have we decided on the date?", "We decided we will ship it.", "Send it over now please.", "We all walk far today.", "The greenlight is here now."]
     got = summary.classified(segments(spark, ["We all agree.", *texts])).orderBy("ord").collect()
