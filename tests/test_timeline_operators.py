@@ -299,3 +299,21 @@ def test_pairwise_cosine_of_long_sessions(spark):
     near = F.abs(F.col("cosine") - F.cos((F.col("b") - F.col("a")) / 3)) < 1e-9
     n, different, right, low = got.agg(F.count("*"), F.count_distinct(F.col("a") * 100_000 + F.col("b")), F.count_if(near), F.count_if(F.col("a") < F.col("b"))).first()
     assert n == different == right == low == 5000 * 4999 // 2
+
+
+def test_pairs_copy_no_vector(spark, monkeypatch):
+    """Chunks of long sessions meet in no shuffle, other keys than numbers and rows without partner included, and cosines are rounded as by Spark."""
+    monkeypatch.setattr(vectors, "CHUNK", 20)
+    long = spark.range(230).select(F.lit("s").alias("session_id"), F.format_string("k%04d", F.col("id") % 200).alias("win_ord"), F.array(F.sin("id"), F.cos("id"), F.lit(0.3)).cast("array<float>").alias("vector"))
+    short = spark.range(15).select(F.when(F.col("id") < 14, "t").alias("session_id"), F.format_string("k%04d", "id").alias("win_ord"), F.array(F.lit(1.0), F.col("id"), -F.col("id")).cast("array<float>").alias("vector"))
+    table = long.unionByName(short)
+    got = vectors.pairwise_cosine(table, digits=6)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    v = table.withColumn("vector", vectors.unit(F.col("vector")))
+    a, b = v.select("session_id", F.col("win_ord").alias("a"), F.col("vector").alias("x")), v.select(F.col("session_id").alias("s"), F.col("win_ord").alias("b"), F.col("vector").alias("y"))
+    want = a.join(b, F.col("session_id").eqNullSafe(F.col("s")) & (F.col("a") < F.col("b"))).select("session_id", "a", "b", F.round(vectors.dot(F.col("x"), F.col("y")), 6).alias("cosine"))
+    order = lambda rows: sorted(map(str, rows.collect()))
+    assert order(got) == order(want) and got.count() > 20_000
+    with pytest.raises(Exception, match="different lengths"):
+        vectors.pairwise_cosine(table.unionByName(long.limit(1).withColumn("vector", F.array(F.lit(1.0)).cast("array<float>")))).count()
