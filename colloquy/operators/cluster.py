@@ -20,6 +20,8 @@ MAX_SPEAKERS, MATCH, NEW, MERGE, TIMBRE, MIN_FRAMES, SAMPLES, MEMORY = 8, 0.35,
 ONE_VOICE, LEAST, MOST, SMALL, FIXED, ROUNDS = 0.08, 0.45, 0.8, 3, 0.6, 20
 #: Vectors whose similarities are all kept for the threshold, and similarities that are held at once beyond that.
 KEPT_ROWS, BLOCK_CELLS = 4096, 1 << 22
+#: Cells for similarities, and what a bound must be off by to settle a threshold.
+CELLS, SURE = 1 << 14, 1e-9
 #: Pitch jumps that split a run. Fixed values.
 JUMP, AGREE, SMOOTH = 0.45, 0.2, 0.3
 
@@ -332,11 +334,102 @@ def threshold(sims: np.ndarray) -> float | None:
     return None if hi - lo < ONE_VOICE else float(min(MOST, max(LEAST, (lo + hi) / 2)))
 
 
+class _Cells:
+    """Counts and sums of values by :data:`CELLS` cells of equal width; a cell that is looked into has cells of its own, or its values."""
+
+    def __init__(self, low: float, width: float):
+        self.low, self.width, self.inner = low, width, {}
+        self.count, self.total = np.zeros(CELLS, np.int64), np.zeros(CELLS)
+
+    def place(self, values: np.ndarray) -> np.ndarray:
+        return np.clip((values - self.low) * (CELLS / self.width), 0, CELLS - 1).astype(np.intp)
+
+    def add(self, values: np.ndarray) -> None:
+        at = self.place(values)
+        self.count += np.bincount(at, minlength=CELLS)
+        self.total += np.bincount(at, values, CELLS)
+
+    def close(self) -> None:
+        self.counts, self.totals = (np.concatenate([[0], np.cumsum(x)]) for x in (self.count, self.total))
+        self.n = int(self.counts[-1])
+
+    def below(self, middle: float, needed: set) -> tuple[float, float]:
+        """How many values are under ``middle``, and their sum. An estimate, if cells are ``needed``: those are then looked into."""
+        at, edge = int(self.place(middle)), self.width / CELLS / 20
+        n, total = self.counts[at], self.totals[at]
+        own = self.inner.get(at)
+        if isinstance(own, _Cells):
+            inside = own.below(middle, needed)
+        elif own is not None:
+            k = int(np.searchsorted(own[0], middle))
+            inside = k, own[1][k]
+        elif self.count[at] and self.width / CELLS > 1e-15:
+            needed.update((self, j) for j in map(int, self.place(np.array([middle - edge, middle, middle + edge]))) if self.count[j] and j not in self.inner)
+            share = min(1.0, max(0.0, (middle - self.low) * CELLS / self.width - at))
+            inside = share * self.count[at], share * self.total[at]
+        else:  # as good as one value
+            inside = (self.count[at], self.total[at]) if self.count[at] and self.total[at] / self.count[at] < middle else (0, 0.0)
+        return n + inside[0], total + inside[1]
+
+    def look(self, values: np.ndarray, new: dict) -> None:
+        """``values`` to the ``new`` cells or lists within."""
+        at = self.place(values)
+        for j, own in self.inner.items():
+            if (self, j) in new:
+                (own.add if isinstance(own, _Cells) else own.append)(values[at == j])
+            elif isinstance(own, _Cells):
+                own.look(values[at == j], new)
+
+
+def _rounds(lo: float, hi: float, count: int, below) -> tuple[float, float]:
+    """The two modes from the least and largest value, by counts and sums of the values below their middle."""
+    for _ in range(ROUNDS):
+        n_below, under, total = below((lo + hi) / 2)
+        if n_below <= 0 or n_below >= count:
+            break
+        before = lo, hi
+        lo, hi = under / n_below, (total - under) / (count - n_below)
+        if before == (lo, hi):
+            break
+    return lo, hi
+
+
+def _bounded(cells: _Cells, lo: float, hi: float) -> tuple[bool, float | None]:
+    """Whether the counts of whole cells alone settle the threshold, and what it is then.
+
+    Both modes' means only rise with the middle, so those for the cell's lower edge and for its upper one bound them, round by round.
+    """
+    low, high = (lo, hi), (lo, hi)
+    for _ in range(ROUNDS):
+        found = []
+        for modes, upper in ((low, 0), (high, 1)):
+            at = int(cells.place(sum(modes) / 2)) + upper
+            n, under = int(cells.counts[at]), cells.totals[at]
+            if not 0 < n < cells.n:
+                return False, None
+            found.append((under / n, (cells.totals[-1] - under) / (cells.n - n)))
+        low, high = found
+    middle, gap = (sum(low) / 2, sum(high) / 2), (low[1] - high[0], high[1] - low[0])
+    if gap[1] < ONE_VOICE - SURE:
+        return True, None
+    if gap[0] > ONE_VOICE + SURE and middle[1] < LEAST - SURE:
+        return True, LEAST
+    if gap[0] > ONE_VOICE + SURE and middle[0] > MOST + SURE:
+        return True, MOST
+    return False, None
+
+
 def _threshold_of(x: np.ndarray) -> float | None:
-    """:func:`threshold` of the similarities of all pairs of rows. Of many rows they are made again for each round, a block at a time."""
+    """:func:`threshold` of the similarities of all pairs of rows.
+
+    Those of many rows are counted and summed in cells, a block at a time. That mostly settles a threshold beyond its bounds; for
+    one between them they are made again for the cells in which a round's middle lies, until it is exact.
+    """
     n = len(x)
     if n <= KEPT_ROWS:
         return threshold(_similarities(x))
+    if not np.isfinite(x).all():
+        return LEAST
     block = min(512, max(16, BLOCK_CELLS // n))
 
     def parts() -> Iterator[np.ndarray]:
@@ -344,24 +437,38 @@ def _threshold_of(x: np.ndarray) -> float | None:
             sims = x[k : k + block] @ x[k:].T
             b = len(sims)
             yield sims[:, :b][np.triu_indices(b, 1)]
-            yield sims[:, b:]
+            step = max(1, 8 * CELLS // n)
+            for i in range(0, b if sims.shape[1] > b else 0, step):
+                yield sims[i : i + step, b:].ravel()
 
-    lo, hi, total, count = np.inf, -np.inf, 0.0, n * (n - 1) // 2
+    lo, hi, cells = np.inf, -np.inf, _Cells(-1.0, 2.0)
     for part in parts():
         if part.size:
-            lo, hi, total = min(lo, part.min()), max(hi, part.max()), total + part.sum()
-    for _ in range(ROUNDS):
-        middle, below, n_below = (lo + hi) / 2, 0.0, 0
-        for part in parts():
-            low = part < middle
-            n_below += np.count_nonzero(low)
-            below += np.sum(part, where=low)
-        if n_below in (0, count):
-            break
-        before = lo, hi
-        lo, hi = below / n_below, (total - below) / (count - n_below)
-        if before == (lo, hi):
+            lo, hi = min(lo, part.min()), max(hi, part.max())
+            cells.add(part)
+    cells.close()
+    settled, found = _bounded(cells, lo, hi)
+    if settled:
+        return found
+    while True:
+        needed: set = set()
+        modes = _rounds(lo, hi, cells.n, lambda m: (*cells.below(m, needed), cells.totals[-1]))
+        if not needed:
             break
+        listed = sum(int(own.count[j]) for own, j in needed) <= BLOCK_CELLS
+        for own, j in needed:
+            own.inner[j] = [] if listed else _Cells(own.low + j * own.width / CELLS, own.width / CELLS)
+        wanted = np.zeros(CELLS, bool)
+        wanted[list(cells.inner)] = True
+        for part in parts():
+            cells.look(part[wanted[cells.place(part)]], needed)
+        for own, j in needed:
+            if listed:
+                values = np.sort(np.concatenate(own.inner[j]))
+                own.inner[j] = values, np.concatenate([[0.0], np.cumsum(values)])
+            else:
+                own.inner[j].close()
+    lo, hi = modes
     return None if hi - lo < ONE_VOICE else float(min(MOST, max(LEAST, (lo + hi) / 2)))
 
 

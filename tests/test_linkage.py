@@ -92,6 +92,29 @@ def test_long_sessions(spark, monkeypatch):
         assert sorted(r.win_ord for r in got) == list(range(5000)) and 1 < len({r.label for r in got}) <= 8
 
 
+def test_threshold_by_cells(monkeypatch):
+    """Similarities in cells give the threshold of all of them, settled by bounds or looked into; they are not made again for each round."""
+    rnd = np.random.default_rng(5)
+    x = rnd.standard_normal((12_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    began = time.process_time()
+    assert cluster._threshold_of(x) == cluster.LEAST and time.process_time() - began < 10
+    bounded, between = cluster._bounded, 0
+    monkeypatch.setattr(cluster, "KEPT_ROWS", 10)
+    for k in range(60):
+        monkeypatch.setattr(cluster, "CELLS", int(rnd.choice([16, 256, 1 << 14])))
+        monkeypatch.setattr(cluster, "BLOCK_CELLS", int(rnd.choice([3, 2000, 1 << 22])))
+        monkeypatch.setattr(cluster, "_bounded", bounded if k % 2 else lambda *_: (False, None))
+        n, voices, d = int(rnd.integers(20, 500)), int(rnd.integers(1, 5)), int(rnd.integers(2, 30))
+        y = cluster._unit(rnd.standard_normal((voices, d))[rnd.integers(0, voices, n)] + float(rnd.choice([0, 0.05, 0.4, 1])) * rnd.standard_normal((n, d)))
+        got, want = cluster._threshold_of(y), cluster.threshold(cluster._similarities(y))
+        assert got == want if want is None or got is None else abs(got - want) < 1e-11
+        between += want is not None and cluster.LEAST < want < cluster.MOST
+    assert between > 5
+    y[3, 0] = np.nan
+    assert cluster._threshold_of(y) == cluster.threshold(cluster._similarities(y)) == cluster.LEAST
+
+
 def test_given_vectors(spark):
     """The registered queries on the smallest tables."""
     from colloquy.plans import catalogue
