@@ -22,6 +22,10 @@ ONE_VOICE, LEAST, MOST, SMALL, FIXED, ROUNDS = 0.08, 0.45, 0.8, 3, 0.6, 20
 KEPT_ROWS, BLOCK_CELLS = 4096, 1 << 22
 #: Cells for similarities, and what a bound must be off by to settle a threshold.
 CELLS, SURE = 1 << 14, 1e-9
+#: Rows of similarities that are held for merges, and what stands for a row that is gone.
+KEPT_LIKE, GONE = 128, -9.0
+#: How far a held row of up to a hundred dimensions may be off when it is made, what a merge adds, and when it is made again.
+FIRST_OFF, STEP_OFF, FAR_OFF = 1e-5, 1e-6, 1e-4
 #: Pitch jumps that split a run. Fixed values.
 JUMP, AGREE, SMOOTH = 0.45, 0.2, 0.3
 
@@ -230,73 +234,150 @@ def _last_max(values: np.ndarray) -> int:
     return values.size - 1 - int(values[::-1].argmax())
 
 
+class _Likeness:
+    """Similarities of some rows to all, about, and how far they may be off.
+
+    Rows are asked for again soon, as those that merge next are much alike. So a row is made together with others that may follow, in one product, and a
+    merged row from the two it comes from. Gone rows are at :data:`GONE`.
+    """
+
+    def __init__(self, c: np.ndarray):
+        self.c = c.astype(np.float32)
+        self.rows, self.off = np.empty((min(KEPT_LIKE, len(c)), len(c)), np.float32), np.full(min(KEPT_LIKE, len(c)), np.inf)
+        self.slot, self.owner, self.used = {}, [None] * len(self.off), np.zeros(len(self.off), int)
+        self.time, self.lost = 0, np.zeros(len(c), np.float32)
+        self.wide = max(1.0, c.shape[1] / 100)
+
+    def _free(self, keep: tuple = ()) -> int:
+        self.used[[self.slot[k] for k in keep if k in self.slot]] = self.time
+        at = int(self.used.argmin())
+        if self.owner[at] is not None:
+            del self.slot[self.owner[at]]
+        return at
+
+    def of(self, k: int, like: np.ndarray, near: np.ndarray, keep: int | None = None) -> tuple[np.ndarray, float]:
+        """The row of ``k``; ``keep`` is one that must stay."""
+        self.time += 1
+        at = self.slot.get(k)
+        if at is None or self.off[at] > FAR_OFF * self.wide:
+            beside = self.rows[self.slot[keep]] if keep in self.slot else None
+            self._make(k, beside, like, near, keep)
+            at = self.slot[k]
+        self.used[at] = self.time
+        return self.rows[at], float(self.off[at])
+
+    def _make(self, k: int, beside: np.ndarray | None, like: np.ndarray, near: np.ndarray, keep: int | None) -> None:
+        n, most = len(self.c), len(self.off) // 4
+        wanted = [k]
+        if n > most > 1:
+            best = np.argpartition(like, n - most)[n - most :]
+            best = best[np.argsort(-like[best])][: most // 3]
+            wanted += [int(j) for pair in zip(best, near[best]) for j in pair]
+            if beside is not None:
+                wanted += [int(j) for j in np.argpartition(beside, n - most)[n - most :]]
+        wanted = [j for j in dict.fromkeys(wanted) if j == k or (j not in self.slot and not self.lost[j])][: max(1, most)]
+        made = self.c[wanted] @ self.c.T
+        made += self.lost
+        for j, row in zip(wanted, made):
+            at = self.slot[j] if j in self.slot else self._free((keep,) if keep is not None else ())
+            self.rows[at], self.off[at], self.owner[at], self.slot[j] = row, FIRST_OFF * self.wide, j, at
+            self.used[at] = self.time
+
+    def merge(self, a: int, b: int, center: np.ndarray, shares: tuple[float, float], like: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, float]:
+        """The row of ``a`` once it has ``center``, the ``shares`` of what both were; ``b`` is gone."""
+        self.of(a, like, near)
+        other, far = self.of(b, like, near, a)
+        mine, off = self.rows[self.slot[a]], self.off[self.slot[a]]
+        mine *= np.float32(shares[0])
+        mine += np.float32(shares[1]) * other
+        self.c[a], self.lost[b] = center, GONE
+        self.off[self.slot[a]] = off = off * shares[0] + far * shares[1] + STEP_OFF * sum(shares)
+        at = self.slot.pop(b)
+        self.owner[at], self.used[at] = None, -1
+        held = list(self.slot)
+        slots = [self.slot[j] for j in held]
+        self.rows[slots, a] = self.c[held] @ self.c[a]
+        self.rows[:, b] = GONE
+        return mine, float(off)
+
+
 def _join_nearest(groups: list[list[int]], centers: list[np.ndarray], least: float, until: int) -> None:
     """Merge the most alike pair, in place, while it is at least ``least`` alike and more than ``until`` remain.
 
     Of pairs as much alike, the last in order goes first. No matrix of similarities is kept: each row knows
     its nearest later row. A merge renews the merged row and whatever has become nearer to it; a row whose
     nearest one is gone or has moved off keeps its old similarity as a bound, and looks again only
-    when that bound is the best of all.
+    when that bound is the best of all. Rows that may be nearest or nearer come from :class:`_Likeness`; their exact products decide.
     """
     if len(groups) <= until:
         return
     c, sizes = np.array(centers), np.array([len(g) for g in groups])
     rows, left = list(groups), len(groups)
     near, like = _nearest_later(c)
-    alive, stale = np.ones(left, bool), np.zeros(left, bool)
+    alive, about = np.ones(left, bool), _Likeness(c)
+    #: How often a row has moved or gone, and what that was of its nearest row when it looked.
+    moves, seen = np.zeros(left, int), np.zeros(left, int)
+
+    def nearest(a: int, row: np.ndarray, off: float) -> None:
+        """The nearest later row of ``a``, the last of several."""
+        near[a], like[a], later = 0, -np.inf, row[a + 1 :]
+        best = later.max(initial=GONE)
+        if best > GONE / 2:
+            at = a + 1 + np.flatnonzero(later >= best - 2 * off)
+            at = at[alive[at]]
+            sims = c[at] @ c[a]
+            k = _last_max(sims)
+            near[a], like[a] = at[k], sims[k]
+        seen[a] = moves[near[a]]
+
     while left > until:
         a = _last_max(like)
-        if stale[a]:
-            near[a], like[a] = _nearest_in(c[a + 1 :] @ c[a], alive[a + 1 :], a + 1)
-            stale[a] = False
-            continue
         if not like[a] >= least:
             break
         b = int(near[a])
-        c[a] = _unit((c[a] * sizes[a] + c[b] * sizes[b]) / (sizes[a] + sizes[b]))
+        if seen[a] != moves[b]:
+            nearest(a, *about.of(a, like, near))
+            continue
+        total = c[a] * sizes[a] + c[b] * sizes[b]
+        length = np.linalg.norm(total) or 1.0
+        c[a] = total / length
+        row, off = about.merge(a, b, c[a], (sizes[a] / length, sizes[b] / length), like, near)
         sizes[a] += sizes[b]
         rows[a] = rows[a] + rows[b]
-        alive[b], like[b], stale[b], left = False, -np.inf, False, left - 1
-        new = c @ c[a]
-        near[a], like[a] = _nearest_in(new[a + 1 :], alive[a + 1 :], a + 1)
-        before = slice(0, a)
-        nearer = alive[before] & ((new[before] > like[before]) | ((new[before] == like[before]) & (near[before] < a) & ~stale[before]))
-        moved = (near == a) | (near == b)
-        moved[a] = moved[b] = False
-        stale |= moved & alive
-        near[before][nearer], like[before][nearer], stale[before][nearer] = a, new[before][nearer], False
+        alive[b], like[b], left = False, -np.inf, left - 1
+        moves[[a, b]] += 1
+        nearest(a, row, off)
+        at = np.flatnonzero(row[:a] >= like[:a] - off)
+        at = at[alive[at]]
+        sims = c[at] @ c[a]
+        fresh = seen[at] == moves[near[at]]
+        nearer = (sims > like[at]) | ((sims == like[at]) & (near[at] < a) & fresh)
+        at, sims = at[nearer], sims[nearer]
+        near[at], like[at], seen[at] = a, sims, moves[a]
         if left < alive.size // 2:
             place = np.cumsum(alive) - 1
             keep = np.flatnonzero(alive)
-            lost = ~alive[near]
-            near, stale = place[near][keep], (stale | lost)[keep]
-            c, sizes, like, rows = c[keep], sizes[keep], like[keep], [rows[k] for k in keep]
-            alive = np.ones(left, bool)
+            fresh = seen == moves[near]
+            near, c, sizes, like, rows = place[near][keep], c[keep], sizes[keep], like[keep], [rows[k] for k in keep]
+            moves, seen, alive, about = np.zeros(left, int), np.where(fresh[keep], 0, -1), np.ones(left, bool), _Likeness(c)
     keep = np.flatnonzero(alive)
     groups[:], centers[:] = [rows[k] for k in keep], list(c[keep])
 
 
 def _nearest_later(c: np.ndarray, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """For each row the later one that is most alike, the last of several, and how much."""
-    n = len(c)
+    n, back = len(c), c[::-1].copy()
     block = min(block, max(16, BLOCK_CELLS // n))
     near, like = np.zeros(n, int), np.full(n, -np.inf)
     for k in range(0, n, block):
-        sims = c[k : k + block] @ c[k:].T
-        sims[np.tril_indices(len(sims), 0, sims.shape[1])] = -np.inf
-        best = sims.shape[1] - 1 - sims[:, ::-1].argmax(1)
-        near[k : k + block], like[k : k + block] = k + best, sims[np.arange(len(sims)), best]
+        sims = c[k : k + block] @ back[: n - k].T
+        b = len(sims)
+        sims[:, n - k - b :][np.tril_indices(b)[0], b - 1 - np.tril_indices(b)[1]] = -np.inf
+        best = sims.argmax(1)
+        near[k : k + block], like[k : k + block] = n - 1 - best, sims[np.arange(b), best]
     return near, like
 
 
-def _nearest_in(sims: np.ndarray, alive: np.ndarray, first: int) -> tuple[int, float]:
-    if not alive.any():
-        return 0, -np.inf
-    sims = np.where(alive, sims, -np.inf)
-    best = _last_max(sims)
-    return first + best, float(sims[best])
-
-
 def _similarities(x: np.ndarray, block: int = 512) -> np.ndarray:
     """Similarities of all pairs of rows, each once, in one flat array."""
     n, at = len(x), 0

@@ -92,6 +92,19 @@ def test_long_sessions(spark, monkeypatch):
         assert sorted(r.win_ord for r in got) == list(range(5000)) and 1 < len({r.label for r in got}) <= 8
 
 
+@pytest.mark.parametrize("kept", [2, 5, 16])
+def test_held_rows(monkeypatch, kept):
+    """Few held rows of similarities, made again when they are off, and sessions of near copies: the same clusters as by all pairs."""
+    monkeypatch.setattr(cluster, "KEPT_LIKE", kept)
+    for seed in range(6):
+        monkeypatch.setattr(cluster, "FAR_OFF", (1e-4, 1.5e-5)[seed % 2])
+        rnd = np.random.default_rng(seed)
+        n, d = int(rnd.integers(30, 60)), int(rnd.integers(3, 12))
+        x = rnd.standard_normal((9, d))[rnd.integers(0, 9, n)] + (0.02, 0.3)[seed % 3 == 0] * rnd.standard_normal((n, d))
+        vectors = [row.tolist() for row in x]
+        assert cluster.adaptive_labels(vectors).tolist() == plain(vectors, True) and cluster.fixed_labels(vectors).tolist() == plain(vectors, False)
+
+
 def test_threshold_by_cells(monkeypatch):
     """Similarities in cells give the threshold of all of them, settled by bounds or looked into; they are not made again for each round."""
     rnd = np.random.default_rng(5)
