@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from colloquy.functions import signal
+from colloquy.sources import scratch
 
 #: Seconds of a unit, bytes of a task's range, and seconds that a unit has of the next ones: those of a frame.
 UNIT_S, RANGE_BYTES, OVERLAP_S = 60, 64 << 20, signal.FRAME / signal.RATE
@@ -31,6 +32,8 @@ UNIT_S, RANGE_BYTES, OVERLAP_S = 60, 64 << 20, signal.FRAME / signal.RATE
 OPEN_BYTES = 1 << 18
 #: Tasks that read samples, at most; beyond it each reads more.
 MAX_TASKS = 20_000
+#: Bytes of files that are on disk at once, about, where they are made to be analyzed only.
+TURN_BYTES = 2 << 30
 #: first and n_own: place and number of the unit's own samples at 16 kHz; pcm has the overlap behind them.
 UNITS = (
     "session_id string, path string, unit bigint, first bigint, n_own int, n_samples bigint, duration_s double, "
@@ -309,6 +312,29 @@ def write(rows: DataFrame, path: str, rate: int = signal.RATE, width: int = 2, s
     files.write.partitionBy("session_id").option("maxRecordsPerFile", 1).text(path)
 
 
+def analyzed(rows: DataFrame, n_bytes: int, analyze: Callable[[str], DataFrame], **layout) -> DataFrame:
+    """What ``analyze`` makes of the folder of wave files that :func:`write` makes of ``rows``, of about ``n_bytes`` together.
+
+    More than :data:`TURN_BYTES` are written and analyzed in turns, each with some of the sessions: only its results stay, and its files go
+    before those of the next one are written.
+    """
+    spark, turns = rows.sparkSession, -(-n_bytes // TURN_BYTES)
+    deal = lambda df: df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "session_id")
+    if turns <= 1:
+        path = scratch.new_path(spark, "waves")
+        write(deal(rows), path, **layout)
+        return analyze(path)
+    kept, out = scratch.new_path(spark, "recordings"), scratch.new_path(spark, "analyzed")
+    rows.withColumn("_turn", F.pmod(F.xxhash64("session_id"), F.lit(turns)).cast("int")).write.partitionBy("_turn").parquet(kept)
+    for turn in range(turns):
+        path = scratch.new_path(spark, "waves")
+        write(deal(spark.read.parquet(kept).where(F.col("_turn") == turn).select(*rows.columns)), path, **layout)
+        found = analyze(path)
+        found.write.mode("append").parquet(out)
+        scratch.dropped(spark, path)
+    return spark.read.schema(found.schema).parquet(out)
+
+
 def lengths(spark: SparkSession, path: str, unit_s: int = UNIT_S) -> DataFrame:
     """``session_id, duration_s`` of the wave files at ``path``."""
     rows = _read(spark, path, True, unitSeconds=unit_s, overlapSeconds=0)

@@ -114,3 +114,32 @@ def test_samples_stay_in_their_task(spark, folder):
     assert "Join" not in plan and all("pcm" not in line for line in plan.splitlines() if "Repartition" in line or "Window" in line)
     assert waves.units(spark, folder, level=False).rdd.getNumPartitions() == 1
     assert key(waves.file_frames(spark, folder, unit_s=7, range_bytes=600_000)) == key(waves.frames(waves.units(spark, folder)))
+
+
+def test_files_in_turns(spark, monkeypatch):
+    """Recordings of 2 MB each way are 10 turns: the same frames as at once, and no turn's files are there when the next ones are written."""
+    import glob
+    import os
+
+    from colloquy.plans import catalogue
+    from colloquy.sources import scratch
+
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    want = rows(catalogue.QUERIES["wave_file_frames"](spark, "/root/testdata/sf0.01"))
+    paths, counts, new, write = [], [], scratch.new_path, waves.write
+
+    def new_path(session, name):
+        paths.append(new(session, name).removeprefix("file:"))
+        return f"file:{paths[-1]}"
+
+    def written(*a, **b):
+        assert not any(os.path.exists(p) for p in paths if "/waves-" in p)
+        write(*a, **b)
+        counts.append(len(glob.glob(f"{paths[-1]}/session_id=*")))
+
+    monkeypatch.setattr(scratch, "new_path", new_path)
+    monkeypatch.setattr(waves, "write", written)
+    monkeypatch.setattr(waves, "TURN_BYTES", 2_000_000)
+    got = catalogue.QUERIES["wave_file_frames"](spark, "/root/testdata/sf0.01")
+    assert len(counts) == 10 and sum(counts) == 20 and max(counts) < 8
+    assert got.dtypes == [("session_id", "string"), ("time_s", "double"), ("energy", "double")] and rows(got) == want and len(want) > 9000
