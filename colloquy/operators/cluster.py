@@ -553,6 +553,19 @@ def _threshold_of(x: np.ndarray) -> float | None:
     return None if hi - lo < ONE_VOICE else float(min(MOST, max(LEAST, (lo + hi) / 2)))
 
 
+def _alike(x: np.ndarray) -> tuple[list[list[int]], list[np.ndarray]]:
+    """Groups of equal rows by first appearance, and their rows: these merge before all others, and their center stays. Rows of zeros are like no row."""
+    known = np.column_stack([x, np.where(x.any(axis=1), -1, np.arange(len(x)))])
+    _, first, own = np.unique(known, axis=0, return_index=True, return_inverse=True)
+    order = np.argsort(first)
+    place = np.empty(len(first), int)
+    place[order] = np.arange(len(first))
+    groups: list[list[int]] = [[] for _ in first]
+    for i, k in enumerate(place[own.ravel()].tolist()):
+        groups[k].append(i)
+    return groups, list(x[first[order]])
+
+
 def adaptive_labels(vectors: list, most: int = MAX_SPEAKERS) -> np.ndarray:
     """Clusters of vectors by a threshold that their own similarities give; -1 without a vector."""
     out = np.full(len(vectors), -1)
@@ -564,7 +577,7 @@ def adaptive_labels(vectors: list, most: int = MAX_SPEAKERS) -> np.ndarray:
     if limit is None:
         out[at] = 0
         return out
-    groups, centers = [[i] for i in range(len(x))], list(x)
+    groups, centers = _alike(x)
     _join_nearest(groups, centers, limit, 1)
     c, alive = np.array(centers), np.ones(len(groups), bool)
     for k in range(len(groups) - 1, -1, -1):  # the smallest join what is nearest, from the last on
@@ -584,7 +597,7 @@ def fixed_labels(vectors: list, limit: float = FIXED, most: int = MAX_SPEAKERS)
     """Clusters of vectors by a fixed threshold; -1 without a vector."""
     out = np.full(len(vectors), -1)
     at, x = _present(vectors)
-    groups, centers = [[i] for i in range(len(x))], list(x)
+    groups, centers = _alike(x) if limit < 1 - SURE and at else ([[i] for i in range(len(x))], list(x))
     if groups:
         _join_nearest(groups, centers, limit, 1)
         _join_nearest(groups, centers, -1.0, most)

@@ -105,6 +105,20 @@ def test_held_rows(monkeypatch, kept):
         assert cluster.adaptive_labels(vectors).tolist() == plain(vectors, True) and cluster.fixed_labels(vectors).tolist() == plain(vectors, False)
 
 
+def test_equal_vectors():
+    """Copies of a vector are one group from the start: the same clusters as by all pairs, and many copies take no merges."""
+    for seed in range(8):
+        rnd = np.random.default_rng(seed)
+        x = rnd.standard_normal((12, 5))[rnd.integers(0, 12, 45)]
+        x[:9] += 0.2 * rnd.standard_normal((9, 5))
+        vectors = [row.tolist() for row in x] + [None, [0.0] * 5, [0.0] * 5]
+        assert cluster.adaptive_labels(vectors).tolist() == plain(vectors, True) and cluster.fixed_labels(vectors).tolist() == plain(vectors, False)
+    x = np.random.default_rng(1).standard_normal((300, 64))[np.arange(30_000) % 300]
+    began = time.process_time()
+    labels = cluster.fixed_labels(list(x))
+    assert time.process_time() - began < 5 and labels[:300].tolist() * 100 == labels.tolist() and len(set(labels.tolist())) == 8
+
+
 def test_threshold_by_cells(monkeypatch):
     """Similarities in cells give the threshold of all of them, settled by bounds or looked into; they are not made again for each round."""
     rnd = np.random.default_rng(5)
